@@ -1,0 +1,257 @@
+"""Classifiers of the experiments on ``pyspark.ml``: settings, weights, per-run fits and scoring.
+
+Fits of the same protocol do not depend on each other and are submitted from a small thread pool; every fit itself
+is a distributed Spark job series over the shared, cached folds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+from itertools import combinations
+from multiprocessing.pool import ThreadPool
+
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import (
+    DecisionTreeClassifier,
+    LinearSVC,
+    LogisticRegression,
+    OneVsRest,
+    RandomForestClassifier,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reviewlab.operators.sampling import BASE_SEED, RUNS, in_run
+from reviewlab.operators.weights import balanced_weights, model_classes, train_class_counts, with_weights
+from reviewlab.session import control_rows
+
+FIT_THREADS = 4
+MODEL_LIMIT = 10_000
+
+# The settings of the experiments' models. Trees without a depth limit get Spark's deepest.
+DEEPEST = 30
+FOREST_TREES = 100
+REGULARISATION_C = 1.0
+SOLVER_STEPS = 1000
+
+
+@dataclass(frozen=True)
+class FitInput:
+    """The training rows of one model: features, label_index, weight, and what the estimators need to know."""
+
+    rows: DataFrame
+    classes: list[str]
+    total_weight: float
+    seed: int
+
+
+Fitted = Callable[[DataFrame], DataFrame]
+"""Adds ``prediction`` (class index) and ``score`` (probability of the second class, null unless two classes)."""
+
+
+def _second_probability(df: DataFrame, classes: list[str]) -> DataFrame:
+    if len(classes) != 2:
+        return df.withColumn("score", F.lit(None).cast("double"))
+    return df.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+
+
+def _plain(estimator: Estimator, given: FitInput) -> Fitted:
+    model = estimator.fit(given.rows)
+    return lambda df: _second_probability(model.transform(df), given.classes)
+
+
+def _common(given: FitInput, weighted: bool) -> dict[str, str]:
+    columns = {"featuresCol": "features", "labelCol": "label_index"}
+    return columns | ({"weightCol": "weight"} if weighted else {})
+
+
+def fit_forest(given: FitInput, depth: int = DEEPEST, trees: int = FOREST_TREES, weighted: bool = True) -> Fitted:
+    forest = RandomForestClassifier(
+        numTrees=trees,
+        maxDepth=depth,
+        featureSubsetStrategy="sqrt",
+        impurity="gini",
+        seed=given.seed,
+        **_common(given, weighted),
+    )
+    return _plain(forest, given)
+
+
+def fit_tree(given: FitInput, depth: int = DEEPEST) -> Fitted:
+    return _plain(DecisionTreeClassifier(maxDepth=depth, impurity="gini", seed=given.seed, **_common(given, True)), given)
+
+
+def _penalty(given: FitInput, c: float) -> float:
+    """Spark's per-unit-weight L2 penalty for an inverse regularisation strength ``c``."""
+    return 1.0 / (c * given.total_weight)
+
+
+def fit_logistic(given: FitInput, c: float = REGULARISATION_C, steps: int = SOLVER_STEPS) -> Fitted:
+    """L2 logistic regression, free intercept, multinomial beyond two classes."""
+    logistic = LogisticRegression(
+        regParam=_penalty(given, c), elasticNetParam=0.0, standardization=False, maxIter=steps, tol=1e-6, **_common(given, True)
+    )
+    return _plain(logistic, given)
+
+
+def fit_logistic_one_vs_rest(given: FitInput, c: float = REGULARISATION_C, steps: int = SOLVER_STEPS) -> Fitted:
+    """L2 logistic regression whose intercept is penalised too; one model per class beyond two classes.
+
+    The intercept is the weight of a constant feature, so it falls under the penalty.
+    """
+
+    def with_constant(df: DataFrame) -> DataFrame:
+        return df.withColumn("features", array_to_vector(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))))
+
+    logistic = LogisticRegression(
+        regParam=_penalty(given, c),
+        elasticNetParam=0.0,
+        standardization=False,
+        fitIntercept=False,
+        maxIter=steps,
+        tol=1e-6,
+        **_common(given, True),
+    )
+    estimator = logistic
+    if len(given.classes) > 2:
+        estimator = OneVsRest(classifier=logistic, parallelism=len(given.classes), **_common(given, True))
+    model = estimator.fit(with_constant(given.rows))
+    return lambda df: _second_probability(model.transform(with_constant(df)), given.classes)
+
+
+def _margin(model: Model, df: DataFrame, into: str) -> DataFrame:
+    scored = model.setRawPredictionCol("_raw").setPredictionCol("_side").transform(df)
+    return scored.withColumn(into, F.get(vector_to_array("_raw"), F.lit(1))).drop("_raw", "_side")
+
+
+def fit_svm(given: FitInput, c: float = REGULARISATION_C, steps: int = 100, folds: int = 5) -> Fitted:
+    """Linear SVM by pairwise votes (ties to the first class), with calibrated probabilities for two classes.
+
+    The calibration is a one-dimensional logistic regression on margins of rows the margin model has not seen.
+    """
+
+    def svm(rows: DataFrame, low: int, high: int) -> Model:
+        pair = rows.where(F.col("label_index").isin(low, high)).withColumn(
+            "side", (F.col("label_index") == high).cast("double")
+        )
+        estimator = LinearSVC(
+            regParam=_penalty(given, c),
+            standardization=False,
+            maxIter=steps,
+            featuresCol="features",
+            labelCol="side",
+            weightCol="weight",
+        )
+        return estimator.fit(pair)
+
+    pairs = list(combinations(range(len(given.classes)), 2))
+    machines = [(low, high, svm(given.rows, low, high)) for low, high in pairs]
+
+    def vote(df: DataFrame) -> DataFrame:
+        for place, (_, _, machine) in enumerate(machines):
+            df = _margin(machine, df, f"margin_{place}")
+        ballots = [
+            F.when(F.col(f"margin_{place}") > 0, high).otherwise(low) for place, (low, high, _) in enumerate(machines)
+        ]
+        counts = F.array(
+            *[
+                sum((F.when(ballot == index, 1).otherwise(0) for ballot in ballots), F.lit(0))
+                for index in range(len(given.classes))
+            ]
+        )
+        return df.withColumn("prediction", (F.array_position(counts, F.array_max(counts)) - 1).cast("double"))
+
+    if len(given.classes) != 2:
+        return lambda df: vote(df).withColumn("score", F.lit(None).cast("double"))
+
+    fold = F.pmod(F.xxhash64("row_id", F.lit(given.seed)), F.lit(folds))
+    held_out = []
+    for part in range(folds):
+        rest = given.rows.where(fold != part)
+        if rest.select("label_index").distinct().count() == 2:
+            held_out.append(_margin(svm(rest, 0, 1), given.rows.where(fold == part), "margin"))
+    unseen = reduce(DataFrame.unionByName, held_out) if held_out else _margin(machines[0][2], given.rows, "margin")
+    one = unseen.withColumn("margin_vector", array_to_vector(F.array("margin")))
+    curve = LogisticRegression(
+        featuresCol="margin_vector", labelCol="label_index", maxIter=SOLVER_STEPS, standardization=False
+    ).fit(one)
+    slope, offset = float(curve.coefficients[0]), float(curve.intercept)
+    return lambda df: vote(df).withColumn("score", 1 / (1 + F.exp(-(F.col("margin_0") * slope + offset))))
+
+
+FITS: dict[str, Callable[..., Fitted]] = {
+    "RF": fit_forest,
+    "RT": fit_tree,
+    "REGRESSION": fit_logistic,
+    "REGRESSION_OVR": fit_logistic_one_vs_rest,
+    "SVM": fit_svm,
+}
+
+
+def _weighted_rows(folds: DataFrame, runs: int) -> tuple[DataFrame, list[dict]]:
+    """The balanced weights as a control table, and per model its class list and total weight."""
+    weights, known = control_rows(balanced_weights(train_class_counts(folds, runs=runs)), MODEL_LIMIT)
+    if known is None:
+        raise ValueError(f"more than {MODEL_LIMIT} (model set, run, class) combinations to fit one by one")
+    models: dict[tuple[str, int], dict] = {}
+    for row in sorted(known.to_pylist(), key=lambda r: (r["model_set"], r["run"], r["label"])):
+        entry = models.setdefault(
+            (row["model_set"], row["run"]),
+            {"model_set": row["model_set"], "run": row["run"], "classes": [], "total": 0.0},
+        )
+        entry["classes"].append(row["label"])
+        entry["total"] += row["n"] * row["weight"]
+    return weights, list(models.values())
+
+
+@dataclass(frozen=True)
+class SparkClassifier:
+    """One of ``FITS`` as a protocol model; ``options`` go to its fit function."""
+
+    kind: str
+    options: dict = field(default_factory=dict)
+    label: str | None = None
+    threads: int = FIT_THREADS
+
+    @property
+    def name(self) -> str:
+        return self.label or self.kind
+
+    def score(self, folds: DataFrame, runs: int = RUNS, base_seed: int = BASE_SEED) -> DataFrame:
+        """Fit one model per (model set, run) and score that run's test rows with it."""
+        features = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+        points = folds.select(
+            "model_set", "eval_set", "row_id", "label", features, "train_mask", "test_mask"
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        weights, models = _weighted_rows(points, runs)
+
+        def fit(entry: dict) -> DataFrame:
+            name, run, classes = entry["model_set"], entry["run"], entry["classes"]
+            listed = F.array(*[F.lit(c) for c in classes])
+            mine = points.where(F.col("model_set") == name)
+            test = mine.where(in_run("test_mask", run)).withColumn("run", F.lit(run))
+            if len(classes) == 1:
+                scored = test.withColumn("prediction", F.lit(0.0)).withColumn("score", F.lit(None).cast("double"))
+            else:
+                index = (F.array_position(listed, F.col("label")) - 1).cast("double")
+                train = with_weights(mine.where(in_run("train_mask", run)).withColumn("run", F.lit(run)), weights)
+                train = train.withColumn("label_index", index)
+                given = FitInput(train, classes, entry["total"], base_seed + run)
+                scored = FITS[self.kind](given, **self.options)(test)
+            return scored.select(
+                "model_set",
+                "eval_set",
+                "run",
+                "row_id",
+                F.col("label").alias("y"),
+                F.get(listed, F.col("prediction").cast("int")).alias("yhat"),
+                F.col("score").cast("double").alias("score"),
+            )
+
+        with ThreadPool(self.threads) as pool:
+            parts = pool.map(inheritable_thread_target(points.sparkSession)(fit), models)
+        return reduce(DataFrame.unionByName, parts)
