@@ -1,7 +1,7 @@
 """Classifiers of the experiments on ``pyspark.ml``: settings, weights, per-run fits and scoring.
 
 Fits of the same protocol do not depend on each other and are submitted from a small thread pool; every fit itself
-is a distributed Spark job series over the shared, cached folds.
+is a distributed Spark job series over the shared folds, which the protocols checkpoint first.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -31,6 +31,8 @@ from reviewlab.session import control_rows
 
 FIT_THREADS = 4
 MODEL_LIMIT = 10_000
+ROWS_PER_TASK = 50_000
+"""A fit uses no more tasks per pass than one for this many training rows; large fits keep their partitions."""
 
 # The settings of the experiments' models. Trees without a depth limit get Spark's deepest.
 DEEPEST = 30
@@ -192,8 +194,8 @@ FITS: dict[str, Callable[..., Fitted]] = {
 }
 
 
-def _weighted_rows(folds: DataFrame, runs: int) -> tuple[DataFrame, list[dict]]:
-    """The balanced weights as a control table, and per model its class list and total weight."""
+def weighted_models(folds: DataFrame, runs: int) -> tuple[DataFrame, list[dict]]:
+    """The balanced weights as a control table, and per model its class list, their weights and the total weight."""
     weights, known = control_rows(balanced_weights(train_class_counts(folds, runs=runs)), MODEL_LIMIT)
     if known is None:
         raise ValueError(f"more than {MODEL_LIMIT} (model set, run, class) combinations to fit one by one")
@@ -201,9 +203,11 @@ def _weighted_rows(folds: DataFrame, runs: int) -> tuple[DataFrame, list[dict]]:
     for row in sorted(known.to_pylist(), key=lambda r: (r["model_set"], r["run"], r["label"])):
         entry = models.setdefault(
             (row["model_set"], row["run"]),
-            {"model_set": row["model_set"], "run": row["run"], "classes": [], "total": 0.0},
+            {"model_set": row["model_set"], "run": row["run"], "classes": [], "weights": [], "rows": 0, "total": 0.0},
         )
         entry["classes"].append(row["label"])
+        entry["weights"].append(row["weight"])
+        entry["rows"] += row["n"]
         entry["total"] += row["n"] * row["weight"]
     return weights, list(models.values())
 
@@ -226,8 +230,8 @@ class SparkClassifier:
         features = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
         points = folds.select(
             "model_set", "eval_set", "row_id", "label", features, "train_mask", "test_mask"
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        weights, models = _weighted_rows(points, runs)
+        )
+        weights, models = weighted_models(points, runs)
 
         def fit(entry: dict) -> DataFrame:
             name, run, classes = entry["model_set"], entry["run"], entry["classes"]
@@ -239,7 +243,7 @@ class SparkClassifier:
             else:
                 index = (F.array_position(listed, F.col("label")) - 1).cast("double")
                 train = with_weights(mine.where(in_run("train_mask", run)).withColumn("run", F.lit(run)), weights)
-                train = train.withColumn("label_index", index)
+                train = train.withColumn("label_index", index).coalesce(-(-entry["rows"] // ROWS_PER_TASK))
                 given = FitInput(train, classes, entry["total"], base_seed + run)
                 scored = FITS[self.kind](given, **self.options)(test)
             return scored.select(
