@@ -105,8 +105,15 @@ def _folds(spark: SparkSession, sf_dir: str, protocol: str = "own") -> DataFrame
     return make_folds(points_from_embeddings(spark, sf_dir), protocol, base, RUNS)
 
 
-def _scored(spark: SparkSession, sf_dir: str, protocol: str = "own", weights: str = "uniform"):
-    """Scored rows of the neighbour model and its class lists."""
+def _scored(spark: SparkSession, sf_dir: str, protocol: str = "own", weights: str = "uniform") -> DataFrame:
+    """Scored rows of the neighbour model."""
+    return Knn(weights=weights).score(_folds(spark, sf_dir, protocol), RUNS)
+
+
+def _scored_with_classes(
+    spark: SparkSession, sf_dir: str, protocol: str = "own", weights: str = "uniform"
+) -> tuple[DataFrame, DataFrame]:
+    """Scored rows of the neighbour model and the class lists of its models."""
     folds = _folds(spark, sf_dir, protocol)
     return Knn(weights=weights).score(folds, RUNS), fold_classes(folds, RUNS)
 
@@ -236,11 +243,11 @@ def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_predict_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_scored(spark, sf_dir)[0])
+    return _plain(_scored(spark, sf_dir))
 
 
 def knn_predict_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_scored(spark, sf_dir, weights="distance")[0])
+    return _plain(_scored(spark, sf_dir, weights="distance"))
 
 
 def knn_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,32 +261,32 @@ def knn_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, _ = _scored(spark, sf_dir)
+    scored = _scored(spark, sf_dir)
     return _plain(scored.select("model_set", "run", "row_id", (F.col("y") == F.col("yhat")).alias("matched")))
 
 
 def accuracy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(accuracy(_scored(spark, sf_dir)[0]))
+    return _plain(accuracy(_scored(spark, sf_dir)))
 
 
 def confusion_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, classes = _scored(spark, sf_dir)
+    scored, classes = _scored_with_classes(spark, sf_dir)
     return _plain(confusion_matrix(scored, classes).drop("note"))
 
 
 def confusion_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, classes = _scored(spark, sf_dir)
+    scored, classes = _scored_with_classes(spark, sf_dir)
     return _plain(confusion_wide(confusion_matrix(scored, classes), LABELS))
 
 
 def confusion_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, classes = _scored(spark, sf_dir, "transfer")
+    scored, classes = _scored_with_classes(spark, sf_dir, "transfer")
     return _plain(confusion_matrix(scored, classes, restrict=True))
 
 
 def label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test labels, model classes and what both have; and whether an AUC is due."""
-    scored, classes = _scored(spark, sf_dir, "transfer")
+    scored, classes = _scored_with_classes(spark, sf_dir, "transfer")
     counts = label_counts(scored)
     keys = ["model_set", "eval_set", "run"]
     lists = shared_labels(counts, classes, keys)
@@ -290,11 +297,11 @@ def label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classification_report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(classification_report(_scored(spark, sf_dir, "mix")[0]).drop("place"))
+    return _plain(classification_report(_scored(spark, sf_dir, "mix")).drop("place"))
 
 
 def roc_auc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, classes = _scored(spark, sf_dir, "mix", "distance")
+    scored, classes = _scored_with_classes(spark, sf_dir, "mix", "distance")
     return _plain(roc_auc(scored, classes))
 
 
@@ -319,7 +326,7 @@ def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _accuracies(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
-    return accuracy_metrics(_scored(spark, sf_dir, protocol)[0])
+    return accuracy_metrics(_scored(spark, sf_dir, protocol))
 
 
 def own_train_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +347,7 @@ def transfer_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, classes = _scored(spark, sf_dir)
+    scored, classes = _scored_with_classes(spark, sf_dir)
     return _plain(run_metrics(durable(scored), classes))
 
 
@@ -372,7 +379,7 @@ def compare_knn_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, classes = _scored(spark, sf_dir)
+    scored, classes = _scored_with_classes(spark, sf_dir)
     lines = report_lines(durable(scored), classes, "own", order=VECTOR_SETS)
     return _plain(lines.select("run", "set_place", "part", "line"))
 

@@ -82,7 +82,9 @@ def make_folds(
         raise ValueError(f"protocol must be one of {PROTOCOLS}, not {protocol!r}")
     if (base is None) != (protocol == "own"):
         raise ValueError("every protocol but 'own' needs the name of the base dataset, and 'own' takes none")
-    sizes, known = control_rows(group_sizes(points, ["dataset"], "label"))
+    sizes, known = group_sizes(points, ["dataset"], "label"), None
+    if protocol in ("mix", "fraction"):
+        sizes, known = control_rows(sizes)
     n, is_base = F.col("n_group"), F.col("dataset") == F.lit(base)
     n_train = train_rows_for_test_fraction(n, test_fraction)
     if protocol == "transfer":
