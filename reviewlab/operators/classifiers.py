@@ -25,8 +25,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.operators.sampling import BASE_SEED, RUNS, in_run
-from reviewlab.operators.weights import balanced_weights, model_classes, train_class_counts, with_weights
+from reviewlab.operators.folds import Folds
+from reviewlab.operators.sampling import in_run
+from reviewlab.operators.weights import with_weights
 from reviewlab.session import control_rows
 
 FIT_THREADS = 4
@@ -35,6 +36,8 @@ ROWS_PER_TASK = 50_000
 """A fit uses no more tasks per pass than one for this many training rows; large fits keep their partitions."""
 
 # The settings of the experiments' models. Trees without a depth limit get Spark's deepest.
+SVM_TOLERANCE = 1e-3
+LOGISTIC_TOLERANCE = 1e-4
 DEEPEST = 30
 FOREST_TREES = 100
 REGULARISATION_C = 1.0
@@ -95,7 +98,12 @@ def _penalty(given: FitInput, c: float) -> float:
 def fit_logistic(given: FitInput, c: float = REGULARISATION_C, steps: int = SOLVER_STEPS) -> Fitted:
     """L2 logistic regression, free intercept, multinomial beyond two classes."""
     logistic = LogisticRegression(
-        regParam=_penalty(given, c), elasticNetParam=0.0, standardization=False, maxIter=steps, tol=1e-6, **_common(given, True)
+        regParam=_penalty(given, c),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=steps,
+        tol=LOGISTIC_TOLERANCE,
+        **_common(given, True),
     )
     return _plain(logistic, given)
 
@@ -115,7 +123,7 @@ def fit_logistic_one_vs_rest(given: FitInput, c: float = REGULARISATION_C, steps
         standardization=False,
         fitIntercept=False,
         maxIter=steps,
-        tol=1e-6,
+        tol=LOGISTIC_TOLERANCE,
         **_common(given, True),
     )
     estimator = logistic
@@ -144,6 +152,7 @@ def fit_svm(given: FitInput, c: float = REGULARISATION_C, steps: int = 100, fold
             regParam=_penalty(given, c),
             standardization=False,
             maxIter=steps,
+            tol=SVM_TOLERANCE,
             featuresCol="features",
             labelCol="side",
             weightCol="weight",
@@ -194,9 +203,9 @@ FITS: dict[str, Callable[..., Fitted]] = {
 }
 
 
-def weighted_models(folds: DataFrame, runs: int) -> tuple[DataFrame, list[dict]]:
+def weighted_models(folds: Folds) -> tuple[DataFrame, list[dict]]:
     """The balanced weights as a control table, and per model its class list, their weights and the total weight."""
-    weights, known = control_rows(balanced_weights(train_class_counts(folds, runs=runs)), MODEL_LIMIT)
+    weights, known = control_rows(folds.weights, MODEL_LIMIT)
     if known is None:
         raise ValueError(f"more than {MODEL_LIMIT} (model set, run, class) combinations to fit one by one")
     models: dict[tuple[str, int], dict] = {}
@@ -225,13 +234,13 @@ class SparkClassifier:
     def name(self) -> str:
         return self.label or self.kind
 
-    def score(self, folds: DataFrame, runs: int = RUNS, base_seed: int = BASE_SEED) -> DataFrame:
+    def score(self, folds: Folds) -> DataFrame:
         """Fit one model per (model set, run) and score that run's test rows with it."""
         features = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-        points = folds.select(
+        points = folds.rows.select(
             "model_set", "eval_set", "row_id", "label", features, "train_mask", "test_mask"
         )
-        weights, models = weighted_models(points, runs)
+        weights, models = weighted_models(folds)
 
         def fit(entry: dict) -> DataFrame:
             name, run, classes = entry["model_set"], entry["run"], entry["classes"]
@@ -244,7 +253,7 @@ class SparkClassifier:
                 index = (F.array_position(listed, F.col("label")) - 1).cast("double")
                 train = with_weights(mine.where(in_run("train_mask", run)).withColumn("run", F.lit(run)), weights)
                 train = train.withColumn("label_index", index).coalesce(-(-entry["rows"] // ROWS_PER_TASK))
-                given = FitInput(train, classes, entry["total"], base_seed + run)
+                given = FitInput(train, classes, entry["total"], folds.base_seed + run)
                 scored = FITS[self.kind](given, **self.options)(test)
             return scored.select(
                 "model_set",

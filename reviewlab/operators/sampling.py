@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +126,21 @@ def _cut_points(
     )
 
 
-def stratified_split(
+class Split(NamedTuple):
+    """A split and what is known of it without another pass over the rows."""
+
+    rows: DataFrame
+    quotas: DataFrame
+    known: pa.Table | None
+    """The quotas' rows on the driver, where they are few enough to be a control table."""
+
+
+def stratified_split(df: DataFrame, n_train: Column | None = None, **options) -> DataFrame:
+    """Add ``train_mask`` to ``df``; see ``split_with_quotas`` for the arguments."""
+    return split_with_quotas(df, n_train, **options).rows
+
+
+def split_with_quotas(
     df: DataFrame,
     n_train: Column | None = None,
     by: Sequence[str] = ("dataset",),
@@ -135,8 +151,8 @@ def stratified_split(
     test_fraction: float | str = "0.3",
     sizes: DataFrame | None = None,
     direct_rows: int = DIRECT_RANK_ROWS,
-) -> DataFrame:
-    """Add ``train_mask`` to ``df``.
+) -> Split:
+    """Split every group of ``df`` by class, for all runs.
 
     ``n_train`` gives the training rows of a group as an expression over ``n_group`` and the ``by`` columns; by
     default it follows from ``test_fraction``. ``sizes`` takes a ``group_sizes`` table that is already there.
@@ -166,7 +182,7 @@ def stratified_split(
         .when(F.col("quota") <= 0, F.lit(0).cast("bigint"))
         .otherwise(F.aggregate("cuts", F.lit(0).cast("bigint"), mark))
     )
-    return df.join(marks, strata).withColumn("train_mask", mask).drop("n", "quota", "cuts")
+    return Split(df.join(marks, strata).withColumn("train_mask", mask).drop("n", "quota", "cuts"), quotas, rows)
 
 
 def in_run(mask: str, run: Column | int) -> Column:

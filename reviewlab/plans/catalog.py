@@ -34,6 +34,7 @@ from reviewlab.operators.filters import (
     filter_min_length,
     index_labels,
 )
+from reviewlab.operators.folds import Folds
 from reviewlab.operators.metrics import (
     accuracy,
     auc_ready,
@@ -55,9 +56,9 @@ from reviewlab.operators.sampling import (
     train_rows_for_test_fraction,
     with_runs,
 )
-from reviewlab.operators.weights import balanced_weights, model_classes, train_class_counts, with_weights
-from reviewlab.plans.protocols import Knn, accuracy_metrics, fold_classes, make_folds
-from reviewlab.session import control_table, durable
+from reviewlab.operators.weights import balanced_weights, train_class_counts, with_weights
+from reviewlab.plans.protocols import Knn, accuracy_metrics, make_folds
+from reviewlab.session import durable
 from reviewlab.sources.reports import mix_summary_lines, own_summary_lines, report_lines
 from reviewlab.sources.tables import VECTOR_SETS, points_from_embeddings, reviews_from_documents
 
@@ -100,14 +101,14 @@ def _text_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _folds(spark: SparkSession, sf_dir: str, protocol: str = "own") -> DataFrame:
+def _folds(spark: SparkSession, sf_dir: str, protocol: str = "own") -> Folds:
     base = None if protocol == "own" else BASE
     return make_folds(points_from_embeddings(spark, sf_dir), protocol, base, RUNS)
 
 
 def _scored(spark: SparkSession, sf_dir: str, protocol: str = "own", weights: str = "uniform") -> DataFrame:
     """Scored rows of the neighbour model."""
-    return Knn(weights=weights).score(_folds(spark, sf_dir, protocol), RUNS)
+    return Knn(weights=weights).score(_folds(spark, sf_dir, protocol))
 
 
 def _scored_with_classes(
@@ -115,7 +116,7 @@ def _scored_with_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """Scored rows of the neighbour model and the class lists of its models."""
     folds = _folds(spark, sf_dir, protocol)
-    return Knn(weights=weights).score(folds, RUNS), fold_classes(folds, RUNS)
+    return Knn(weights=weights).score(folds), folds.classes
 
 
 # -- cleaning, filters, labels --------------------------------------------------------------------
@@ -191,7 +192,7 @@ def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fold_parts(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
     """One row per model set, run and row: in the training union or in the test remainder."""
-    parts = explode_runs(_folds(spark, sf_dir, protocol), RUNS)
+    parts = explode_runs(_folds(spark, sf_dir, protocol).rows, RUNS)
     return _plain(parts.select("model_set", "eval_set", "row_id", "label", "run", "part"))
 
 
@@ -210,7 +211,7 @@ def transfer_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_fallback_90_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 70:30 mix over reviews, where the small datasets fall back to a 90:10 split."""
     points = _reviews(spark, sf_dir).select("dataset", "row_id", F.col("sentiment").alias("label"))
-    parts = explode_runs(make_folds(points, "mix", "en", RUNS), RUNS)
+    parts = explode_runs(make_folds(points, "mix", "en", RUNS).rows, RUNS)
     return _plain(parts.select("model_set", "eval_set", "row_id", "label", "run", "part"))
 
 
@@ -218,27 +219,26 @@ def mix_fallback_90_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balanced_weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = train_class_counts(_folds(spark, sf_dir, "mix"), runs=RUNS)
+    counts = train_class_counts(_folds(spark, sf_dir, "mix").rows, runs=RUNS)
     return _plain(balanced_weights(counts))
 
 
 def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = _folds(spark, sf_dir)
-    weights = control_table(balanced_weights(train_class_counts(folds, runs=RUNS)))
-    rows = explode_runs(folds, RUNS).where(F.col("part") == "train")
-    return _plain(with_weights(rows, weights).select("model_set", "run", "row_id", "label", "weight"))
+    rows = explode_runs(folds.rows, RUNS).where(F.col("part") == "train")
+    return _plain(with_weights(rows, folds.weights).select("model_set", "run", "row_id", "label", "weight"))
 
 
 def model_class_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = train_class_counts(_folds(spark, sf_dir, "mix"), runs=RUNS)
-    return _plain(model_classes(counts).withColumn("classes", F.array_join("classes", ",")))
+    lists = _folds(spark, sf_dir, "mix").classes
+    return _plain(lists.withColumn("classes", F.array_join("classes", ",")))
 
 
 # -- nearest neighbours ---------------------------------------------------------------------------
 
 
 def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nearest_neighbors(_folds(spark, sf_dir), 5, RUNS)
+    found = nearest_neighbors(_folds(spark, sf_dir).rows, 5, RUNS)
     return _plain(found.select("model_set", "run", "row_id", "place", "neighbor_id", "label", "distance"))
 
 
@@ -252,7 +252,7 @@ def knn_predict_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = _folds(spark, sf_dir)
-    shares = class_shares(nearest_neighbors(folds, 5, RUNS), fold_classes(folds, RUNS), "distance")
+    shares = class_shares(nearest_neighbors(folds.rows, 5, RUNS), folds.classes, "distance")
     long = shares.select("model_set", "run", "row_id", F.explode(F.arrays_zip("classes", "shares")).alias("c"))
     return _plain(long.select("model_set", "run", "row_id", F.col("c.classes").alias("label"), F.col("c.shares").alias("share")))
 
@@ -366,10 +366,10 @@ def welch_t_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_knn_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both neighbour models side by side over the own-train protocol."""
-    folds = durable(_folds(spark, sf_dir))
+    folds = _folds(spark, sf_dir).stored()
     rows = None
     for name, weights in (("uniform", "uniform"), ("distance", "distance")):
-        part = Knn(weights=weights).score(folds, RUNS).withColumn("model", F.lit(name))
+        part = Knn(weights=weights).score(folds).withColumn("model", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     facts = accuracy_metrics(rows).withColumn("protocol", F.lit("own"))
     return _plain(compare_models(facts, ["uniform", "distance"]))
@@ -458,19 +458,19 @@ def embed_cached_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fitted(model, runs: int = 1, protocol: str = "own", base: str | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folds = durable(make_folds(_text_points(spark, sf_dir), protocol, base, runs))
-        return _plain(model.score(folds, runs, 42).select("model_set", "eval_set", "run", "row_id", "y", "yhat", "score"))
+        folds = make_folds(_text_points(spark, sf_dir), protocol, base, runs).stored()
+        return _plain(model.score(folds).select("model_set", "eval_set", "run", "row_id", "y", "yhat", "score"))
 
     return query
 
 
 def compare_fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of several model kinds over the reviews, own-train, two runs."""
-    folds = durable(make_folds(_text_points(spark, sf_dir), "own", None, 2))
+    folds = make_folds(_text_points(spark, sf_dir), "own", None, 2).stored()
     models = [Knn(), SparkClassifier("RT"), short_network()]
     rows = None
     for model in models:
-        part = model.score(folds, 2, 42).withColumn("model", F.lit(model.name))
+        part = model.score(folds).withColumn("model", F.lit(model.name))
         rows = part if rows is None else rows.unionByName(part)
     facts = accuracy_metrics(rows).withColumn("protocol", F.lit("own"))
     return _plain(compare_models(facts, [model.name for model in models]))

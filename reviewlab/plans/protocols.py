@@ -22,7 +22,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlab.functions.scores import positive_score
 from reviewlab.operators.comparison import paired_t, run_summary, welch_t
+from reviewlab.operators.folds import Folds
 from reviewlab.operators.metrics import accuracy, run_metrics
 from reviewlab.operators.neighbors import class_shares, nearest_neighbors
 from reviewlab.operators.sampling import (
@@ -30,13 +32,11 @@ from reviewlab.operators.sampling import (
     RUNS,
     group_sizes,
     mix_size,
-    stratified_split,
+    split_with_quotas,
     train_rows_for_target,
     train_rows_for_test_fraction,
 )
-from reviewlab.operators.weights import model_classes, train_class_counts
-from reviewlab.functions.scores import positive_score
-from reviewlab.session import control_rows, control_table, durable
+from reviewlab.session import control_rows, durable
 
 PROTOCOLS = ("transfer", "fraction", "mix", "own")
 
@@ -46,7 +46,7 @@ class Model(Protocol):
 
     name: str
 
-    def score(self, folds: DataFrame, runs: int, base_seed: int) -> DataFrame: ...
+    def score(self, folds: Folds) -> DataFrame: ...
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,8 @@ class Knn:
     weights: str = "uniform"
     name: str = "KNN"
 
-    def score(self, folds: DataFrame, runs: int = RUNS, base_seed: int = BASE_SEED) -> DataFrame:
-        shares = class_shares(nearest_neighbors(folds, self.k, runs), fold_classes(folds, runs), self.weights)
+    def score(self, folds: Folds) -> DataFrame:
+        shares = class_shares(nearest_neighbors(folds.rows, self.k, folds.runs), folds.classes, self.weights)
         score = F.when(F.size("classes") == 2, positive_score(F.col("shares")))
         return shares.withColumn("score", score).drop("shares", "classes")
 
@@ -73,7 +73,7 @@ def make_folds(
     external_test_fraction: str = "0.8",
     base_share: str = "0.7",
     fallback: str = "0.9",
-) -> DataFrame:
+) -> Folds:
     """Add model_set, eval_set, train_mask and test_mask to ``points`` (dataset, row_id, label, ...).
 
     Base rows are repeated once per external where each external has a model of its own.
@@ -95,23 +95,27 @@ def make_folds(
         base_rows = sizes.where(is_base).select(n_train).first()
         target = mix_size(F.lit(base_rows[0] if base_rows else 0), base_share)
         n_train = F.when(is_base, n_train).otherwise(train_rows_for_target(n, target, fallback))
-    split = stratified_split(points, n_train, ["dataset"], "label", runs=runs, base_seed=base_seed, sizes=sizes)
+    rows, quotas, quota_rows = split_with_quotas(
+        points, n_train, by=["dataset"], label="label", runs=runs, base_seed=base_seed, sizes=sizes
+    )
     all_runs = F.lit((1 << runs) - 1).cast("bigint")
-    split = split.withColumn("test_mask", all_runs.bitwiseXOR(F.col("train_mask"))).withColumnRenamed("dataset", "eval_set")
+    rows = rows.withColumn("test_mask", all_runs.bitwiseXOR(F.col("train_mask")))
     if protocol == "own":
-        return split.withColumn("model_set", F.col("eval_set"))
-    if protocol == "transfer":
-        return split.withColumn("model_set", F.lit(base))
-    if known is None:
+        model_sets = F.array("dataset")
+    elif protocol == "transfer":
+        model_sets = F.array(F.lit(base))
+    elif known is None:
         raise ValueError("too many datasets for one model each")
-    externals = sorted(set(known["dataset"].to_pylist()) - {base})
-    names = F.when(F.col("eval_set") == base, F.array(*[F.lit(name) for name in externals]))
-    return split.withColumn("model_set", F.explode(F.coalesce(names, F.array("eval_set"))))
+    else:
+        externals = sorted(set(known["dataset"].to_pylist()) - {base})
+        model_sets = F.when(is_base, F.array(*[F.lit(name) for name in externals])).otherwise(F.array("dataset"))
+    rows, quotas = (frame.withColumn("model_set", F.explode(model_sets)) for frame in (rows, quotas))
+    return Folds.of_quotas(rows.withColumnRenamed("dataset", "eval_set"), _summed(quotas), quota_rows, runs, base_seed)
 
 
-def fold_classes(folds: DataFrame, runs: int = RUNS) -> DataFrame:
-    """The class list of every model, as a control table."""
-    return control_table(model_classes(train_class_counts(folds, runs=runs)))
+def _summed(quotas: DataFrame) -> DataFrame:
+    """Quotas per model set, over the datasets it trains on."""
+    return quotas.groupBy("model_set", "label").agg(F.sum("quota").alias("quota"))
 
 
 def score_protocol(
@@ -124,10 +128,10 @@ def score_protocol(
     **fold_options: str,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit and score every model; return the scored rows (checkpointed, as several metrics read them) and classes."""
-    folds = durable(make_folds(points, protocol, base, runs, base_seed, **fold_options))
+    folds = make_folds(points, protocol, base, runs, base_seed, **fold_options).stored()
     scored = None
     for model in models:
-        part = model.score(folds, runs, base_seed).select(
+        part = model.score(folds).select(
             F.lit(protocol).alias("protocol"),
             F.lit(model.name).alias("model"),
             "model_set",
@@ -141,7 +145,7 @@ def score_protocol(
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         raise ValueError("give at least one model")
-    return durable(scored), fold_classes(folds, runs)
+    return durable(scored), folds.classes
 
 
 def accuracy_metrics(scored: DataFrame) -> DataFrame:

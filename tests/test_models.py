@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reviewlab.operators.classifiers import SparkClassifier
 from reviewlab.operators.densenet import DenseNet, _forward, _gradient, _layers, _shapes, adam_logistic
+from reviewlab.operators.folds import Folds
 from reviewlab.operators.metrics import accuracy
 from reviewlab.operators.weights import balanced_weights, train_class_counts, with_weights
 from reviewlab.plans import protocols
@@ -15,7 +16,7 @@ RUNS = 2
 
 @pytest.fixture(scope="module")
 def folds(points):
-    return durable(make_folds(points, "own", None, RUNS))
+    return make_folds(points, "own", None, RUNS).stored()
 
 
 @pytest.fixture(scope="module")
@@ -28,17 +29,19 @@ def easy(spark):
         centre = 2.0 if i % 4 else -2.0
         rows.append(("d", i, label, [float(v) for v in rng.normal(centre, 0.6, 4)]))
     df = spark.createDataFrame(rows, "dataset string, row_id bigint, label string, embedding array<float>")
-    return durable(make_folds(df, "own", None, RUNS))
+    return make_folds(df, "own", None, RUNS).stored()
 
 
 def test_balanced_weights_sum_to_the_rows(folds):
-    counts = train_class_counts(folds, runs=RUNS)
+    counts = train_class_counts(folds.rows, runs=RUNS)
+    columns = ["model_set", "run", "label", "n"]
+    assert sorted(counts.select(columns).collect()) == sorted(folds.train_counts.select(columns).collect())
     weights = balanced_weights(counts)
     sums = weights.groupBy("model_set", "run").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("w"))
     assert all(r.n == pytest.approx(r.w) for r in sums.collect())
     per_class = weights.where("model_set = 'two' and run = 0").collect()
     assert all(r.weight == pytest.approx(64 / (3 * r.n)) for r in per_class)
-    rows = folds.where("model_set = 'two' and train_mask & 1 = 1").withColumn("run", F.lit(0))
+    rows = folds.rows.where("model_set = 'two' and train_mask & 1 = 1").withColumn("run", F.lit(0))
     assert with_weights(rows, weights).agg(F.sum("weight")).first()[0] == pytest.approx(64)
 
 
@@ -57,7 +60,7 @@ MODELS = [
 
 @pytest.mark.parametrize("model", MODELS, ids=lambda m: m.name)
 def test_models_score_every_test_row(folds, easy, model):
-    scored = durable(model.score(easy, RUNS, 42))
+    scored = durable(model.score(easy))
     assert scored.count() == RUNS * 48
     assert min(r.accuracy for r in accuracy(scored).collect()) > 0.9
     rows = scored.collect()
@@ -68,7 +71,8 @@ def test_models_score_every_test_row(folds, easy, model):
 
 @pytest.mark.parametrize("model", [MODELS[0], MODELS[4], MODELS[5], MODELS[6]], ids=lambda m: m.name)
 def test_three_classes_have_labels_but_no_score(folds, model):
-    rows = model.score(folds.where("model_set = 'two'"), RUNS, 42).collect()
+    two = Folds.of(folds.rows.where("model_set = 'two'"), RUNS)
+    rows = model.score(two).collect()
     assert len(rows) == RUNS * 28
     assert all(r.score is None and r.yhat in ("Negatief", "Neutraal", "Positief") for r in rows)
 
@@ -76,7 +80,7 @@ def test_three_classes_have_labels_but_no_score(folds, model):
 @pytest.mark.parametrize("model", [SparkClassifier("REGRESSION"), SparkClassifier("RF", {"trees": 3}), DenseNet((4,), 3, 8)], ids=lambda m: m.name)
 def test_same_seed_same_scores(easy, model):
     def run():
-        return sorted((r.run, r.row_id, r.yhat, r.score) for r in model.score(easy, RUNS, 42).collect())
+        return sorted((r.run, r.row_id, r.yhat, r.score) for r in model.score(easy).collect())
 
     assert run() == run()
 
@@ -85,7 +89,7 @@ def test_a_single_training_class_is_predicted_everywhere(spark):
     rows = [("d", i, "A", [float(i)]) for i in range(10)]
     one = make_folds(spark.createDataFrame(rows, "dataset string, row_id bigint, label string, embedding array<float>"), "own", None, 1)
     for model in (SparkClassifier("REGRESSION"), DenseNet((2,), 1, 4), Knn()):
-        assert {(r.yhat, r.score) for r in model.score(one, 1, 42).collect()} == {("A", None)}
+        assert {(r.yhat, r.score) for r in model.score(one).collect()} == {("A", None)}
 
 
 def test_gradient_matches_differences():
@@ -111,7 +115,7 @@ def test_many_workers_average(easy, monkeypatch):
 
     monkeypatch.setattr(densenet, "ROWS_PER_WORKER", 30)
     monkeypatch.setattr(densenet, "CHUNK", 7)
-    scored = DenseNet((8,), 30, 8, learning_rate=0.02).score(easy, RUNS, 42)
+    scored = DenseNet((8,), 30, 8, learning_rate=0.02).score(easy)
     assert min(r.accuracy for r in accuracy(scored).collect()) > 0.9
 
 
@@ -119,11 +123,11 @@ def test_weights_shift_an_unbalanced_fit(spark):
     rng = np.random.default_rng(5)
     rows = [("d", i, "AB"[i % 10 > 0], [float(rng.normal(0.7 * (i % 10 > 0)))]) for i in range(300)]
     df = spark.createDataFrame(rows, "dataset string, row_id bigint, label string, embedding array<float>")
-    one = durable(make_folds(df, "own", None, 1))
+    one = make_folds(df, "own", None, 1).stored()
     minority = {}
     for weighted in (True, False):
         net = DenseNet((), 60, 32, learning_rate=0.02, weighted=weighted)
-        minority[weighted] = net.score(one, 1, 42).where("yhat = 'A'").count()
+        minority[weighted] = net.score(one).where("yhat = 'A'").count()
     assert minority[True] > minority[False]
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from reviewlab.operators.neighbors import class_shares, nearest_neighbors
-from reviewlab.plans.protocols import Knn, fold_classes, make_folds
+from reviewlab.plans.protocols import Knn, make_folds
 
 RUNS = 3
 
@@ -34,7 +34,7 @@ def _spark(found):
 @pytest.mark.parametrize("block_rows, copy_share", [(2048, 2.0), (16, 2.0), (16, 0.0), (2048, 0.0)])
 @pytest.mark.parametrize("protocol", ["own", "mix"])
 def test_neighbors_equal_brute_force(points, protocol, block_rows, copy_share):
-    folds = make_folds(points, protocol, None if protocol == "own" else "base", RUNS).cache()
+    folds = make_folds(points, protocol, None if protocol == "own" else "base", RUNS).rows.cache()
     got = _spark(nearest_neighbors(folds, 5, RUNS, block_rows, copy_share))
     want = _brute(folds, 5)
     assert set(got) == set(want)
@@ -70,8 +70,8 @@ def test_votes(spark):
 
 def test_scores_are_second_class_shares_of_binary_models_only(points):
     folds = make_folds(points, "own", None, RUNS)
-    rows = Knn().score(folds, RUNS).collect()
+    rows = Knn().score(folds).collect()
     assert all((r.score is None) == (r.model_set == "two") for r in rows)
     assert all(0 <= r.score <= 1 for r in rows if r.score is not None)
-    lists = {r.model_set: r.classes for r in fold_classes(folds, RUNS).collect()}
+    lists = {r.model_set: r.classes for r in folds.classes.collect()}
     assert lists["two"] == ["Negatief", "Neutraal", "Positief"] and lists["one"] == ["Negatief", "Positief"]

@@ -110,7 +110,7 @@ def test_too_many_runs(spark):
 @pytest.mark.parametrize("protocol", ["own", "transfer", "fraction", "mix"])
 def test_folds_partition_each_dataset(spark, points, protocol):
     folds = make_folds(points, protocol, None if protocol == "own" else "base", runs=2)
-    rows = explode_runs(folds, 2).groupBy("model_set", "eval_set", "run", "part").count().collect()
+    rows = explode_runs(folds.rows, 2).groupBy("model_set", "eval_set", "run", "part").count().collect()
     got = {(r.model_set, r.eval_set, r.run, r.part): r["count"] for r in rows}
     sizes = {"base": 110, "one": 55, "two": 92}
     want = {
