@@ -1,7 +1,7 @@
 """Classifiers of the experiments on ``pyspark.ml``: settings, weights, per-run fits and scoring.
 
 Fits of the same protocol do not depend on each other and are submitted from a small thread pool; every fit itself
-is a distributed Spark job series over the shared folds, which the protocols checkpoint first.
+is a distributed Spark job series over the shared folds, which the protocols write out by model set first.
 """
 
 from __future__ import annotations

@@ -58,5 +58,8 @@ class Folds:
         return self._hinted(balanced_weights(self.train_counts))
 
     def stored(self) -> Folds:
-        """The same folds on checkpointed rows, for models that read them many times."""
-        return replace(self, rows=durable(self.rows))
+        """The same folds on a written table, for models that read them many times.
+
+        It is partitioned by model set: a fit reads its own set's files and columns only.
+        """
+        return replace(self, rows=durable(self.rows, ["model_set"]))

@@ -25,11 +25,17 @@ from reviewlab.functions.scores import argmax_label
 from reviewlab.operators.sampling import in_run
 from reviewlab.session import control_rows
 
-BLOCK_ROWS = 2048
+BLOCK_BYTES = 64 << 20
+"""Size of the vectors of one block. Large blocks mean few copies: a row travels once per block of the other side."""
+SMALL_BLOCK_ROWS = 2048
+"""Test blocks may be as small as this to keep all cores busy."""
+TILE_CELLS = 8_000_000
+"""Most distances held at once; a task works through its test rows in tiles."""
+SHARED_LIST = 6
+"""Length of the candidate list that all runs share, in multiples of k."""
 MAX_TASKS = 16_384
 COPY_SHARE = 0.2
 """Collapse copies when at least this share of the rows repeats a vector."""
-PAIR_CHUNK = 2_000_000
 
 NEIGHBOR_SCHEMA = StructType(
     [
@@ -41,6 +47,7 @@ NEIGHBOR_SCHEMA = StructType(
         StructField("neighbor_id", LongType()),
         StructField("label", StringType()),
         StructField("distance", DoubleType()),
+        StructField("place", IntegerType()),
     ]
 )
 _NEIGHBOR_ARROW = pa.schema(
@@ -53,6 +60,7 @@ _NEIGHBOR_ARROW = pa.schema(
         ("neighbor_id", pa.int64()),
         ("label", pa.string()),
         ("distance", pa.float64()),
+        ("place", pa.int32()),
     ]
 )
 
@@ -62,30 +70,69 @@ def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.astype("float64").reshape(rows, -1)
 
 
-def _best(test: np.ndarray, train: np.ndarray, ids: np.ndarray, dots: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(test position, train position, squared distance) of the k nearest of each test row, ties by id.
+def _measure(
+    test: np.ndarray, train: np.ndarray, ids: np.ndarray, rough: np.ndarray, margin: np.ndarray, m: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The m nearest (or more) training rows of each test row, and how far out that list is complete.
 
-    The matrix product picks candidates with a margin for its rounding; only those are measured exactly.
+    ``rough`` holds squared distances up to ``margin``, infinite where a training row does not count; it picks the
+    candidates and only those are measured exactly. Returns (test position, train position, squared distance) in
+    order of distance and id, and per test row the squared distance up to which no training row is missing.
     """
-    k = min(k, len(train))
-    test_sq, train_sq = (test**2).sum(1), (train**2).sum(1)
-    rough = test_sq[:, None] + train_sq[None, :] - 2 * dots
-    limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    margin = 8 * (test.shape[1] + 8) * np.finfo("float64").eps * (test_sq + train_sq.max() + 1e-300)
-    near = rough <= (limit + 2 * margin)[:, None]
-    picked: list[tuple[np.ndarray, ...]] = []
-    rows_left = np.cumsum(near.sum(1) * test.shape[1]) // PAIR_CHUNK
-    for part in np.unique(rows_left):
-        first, last = np.searchsorted(rows_left, [part, part + 1])
+    limit = np.partition(rough, m - 1, axis=1)[:, m - 1] if m < rough.shape[1] else np.full(len(test), np.inf)
+    near = np.isfinite(rough) & (rough <= (limit + 2 * margin)[:, None])
+    measured: list[tuple[np.ndarray, ...]] = []
+    chunk = np.cumsum(near.sum(1) * test.shape[1]) // TILE_CELLS
+    for part in np.unique(chunk):
+        first, last = np.searchsorted(chunk, [part, part + 1])
         i, j = np.nonzero(near[first:last])
         i = i + first
         exact = ((test[i] - train[j]) ** 2).sum(1)
         order = np.lexsort((ids[j], exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = place < k
-        picked.append((i[keep], j[keep], exact[keep]))
-    return tuple(np.concatenate(column) for column in zip(*picked))
+        measured.append((i[order], j[order], exact[order]))
+    i, j, exact = (np.concatenate(column) for column in zip(*measured))
+    return i, j, exact, limit + margin
+
+
+def _first(i: np.ndarray, j: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first k of each test row of an ordered list, with their places."""
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = place < k
+    return i[keep], j[keep], exact[keep], place[keep] + 1
+
+
+def _tile_neighbors(
+    test: np.ndarray, test_mask: np.ndarray, train: np.ndarray, train_sq: np.ndarray, ids: np.ndarray, training: list, k: int
+) -> list[tuple[np.ndarray, ...]]:
+    """Neighbours of a tile of test rows in every run: (run, test position, train position, squared distance, place).
+
+    One list of the nearest rows of any run serves all runs. Where it does not reach the k-th neighbour of a run for
+    certain, that test row is searched again among the rows of that run alone.
+    """
+    test_sq = (test**2).sum(1)
+    rough = test_sq[:, None] + train_sq[None, :] - 2 * (test @ train.T)
+    margin = 8 * (train.shape[1] + 8) * np.finfo("float64").eps * (test_sq + train_sq.max() + 1e-300)
+    i, j, exact, reach = _measure(test, train, ids, rough, margin, min(len(train), SHARED_LIST * k))
+    found = []
+    for run, members in enumerate(training):
+        wanted = ((test_mask >> run) & 1).astype(bool)
+        enough = min(k, int(members.sum()))
+        if not enough or not wanted.any():
+            continue
+        mine = wanted[i] & members[j]
+        near = _first(i[mine], j[mine], exact[mine], enough)
+        last = np.full(len(test), np.inf)
+        ends = near[3] == enough
+        last[near[0][ends]] = near[2][ends]
+        sure = last <= reach if len(train) > SHARED_LIST * k else np.isfinite(last)
+        keep = sure[near[0]]
+        found.append((np.full(int(keep.sum()), run, "int32"), *[column[keep] for column in near]))
+        again = np.flatnonzero(wanted & ~sure)
+        if len(again):
+            alone = np.where(members, rough[again], np.inf)
+            rest = _first(*_measure(test[again], train, ids, alone, margin[again], enough)[:3], enough)
+            found.append((np.full(len(rest[0]), run, "int32"), again[rest[0]], *rest[1:]))
+    return found
 
 
 def _block_join(k: int, runs: int):
@@ -93,23 +140,23 @@ def _block_join(k: int, runs: int):
         if left.num_rows == 0 or right.num_rows == 0:
             return _NEIGHBOR_ARROW.empty_table()
         train, test = _matrix(left["embedding"], left.num_rows), _matrix(right["embedding"], right.num_rows)
-        train_ids = left["row_id"].to_numpy()
-        train_mask, test_mask = left["train_mask"].to_numpy(), right["test_mask"].to_numpy()
-        dots = test @ train.T
+        ids, train_mask = left["row_id"].to_numpy(), left["train_mask"].to_numpy()
+        test_mask = right["test_mask"].to_numpy()
+        train_sq = (train**2).sum(1)
+        training = [((train_mask >> run) & 1).astype(bool) for run in range(runs)]
         found = []
-        for run in range(runs):
-            rows = np.flatnonzero((test_mask >> run) & 1)
-            cols = np.flatnonzero((train_mask >> run) & 1)
-            if len(rows) and len(cols):
-                i, j, squared = _best(test[rows], train[cols], train_ids[cols], dots[np.ix_(rows, cols)], k)
-                found.append((np.full(len(i), run, "int32"), rows[i], cols[j], np.sqrt(squared)))
+        height = max(1, TILE_CELLS // len(train))
+        for top in range(0, len(test), height):
+            tile = slice(top, top + height)
+            for run, i, *rest in _tile_neighbors(test[tile], test_mask[tile], train, train_sq, ids, training, k):
+                found.append((run, i + top, *rest))
         if not found:
             return _NEIGHBOR_ARROW.empty_table()
-        run, i, j, distance = (np.concatenate(column) for column in zip(*found))
+        run, i, j, squared, place = (np.concatenate(column) for column in zip(*found))
         asked = right.select(["model_set", "eval_set", "row_id", "label"]).take(pa.array(i))
         given = left.select(["row_id", "label"]).take(pa.array(j))
         columns = {name: asked[name] for name in ("model_set", "eval_set", "row_id")}
-        columns |= {"y": asked["label"], "run": run, "distance": distance}
+        columns |= {"y": asked["label"], "run": run, "distance": np.sqrt(squared), "place": place.astype("int32")}
         columns |= {"neighbor_id": given["row_id"], "label": given["label"]}
         return pa.table({name: columns[name] for name in _NEIGHBOR_ARROW.names}, schema=_NEIGHBOR_ARROW)
 
@@ -166,17 +213,20 @@ def nearest_neighbors(
     points: DataFrame,
     k: int = 5,
     runs: int = 10,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     copy_share: float = COPY_SHARE,
 ) -> DataFrame:
     """The k nearest training rows of every test row, per model set and run, with ``place`` 1..k.
 
+    ``block_rows`` overrides the block size that follows from ``BLOCK_BYTES``.
+
     ``points`` has model_set, eval_set, row_id (unique within a set), label, embedding, train_mask and test_mask.
     """
     points = points.select("model_set", "eval_set", "row_id", "label", "embedding", "train_mask", "test_mask")
     parts = [
         F.count_if(F.col("train_mask") != 0).alias("n_train"),
         F.count_if(F.col("test_mask") != 0).alias("n_test"),
+        F.max(F.size("embedding")).alias("width"),
     ]
     repeats = (1 - F.approx_count_distinct("embedding") / F.count("*")).alias("repeats")
     sizes, known = control_rows(points.groupBy("model_set").agg(*parts, repeats))
@@ -186,14 +236,18 @@ def nearest_neighbors(
         points = points.withColumn("vector_key", key)
         source = _first_of_copies(points, k, runs)
         sizes, known = control_rows(source.groupBy("model_set").agg(*parts))
-    blocks = sizes.where((F.col("n_train") > 0) & (F.col("n_test") > 0)).select(
-        "model_set",
-        F.ceil(F.col("n_train") / block_rows).alias("train_block_count"),
-        F.ceil(F.col("n_test") / block_rows).alias("test_block_count"),
+    full = block_rows or max(SMALL_BLOCK_ROWS, BLOCK_BYTES // (4 * max(1, int(_largest(sizes, known, "width")))))
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    n_train, n_test, train_blocks = F.col("n_train"), F.col("n_test"), F.ceil(F.col("n_train") / full)
+    busy = F.least(F.ceil(n_test / min(full, SMALL_BLOCK_ROWS)), F.ceil(2 * cores / train_blocks))
+    test_blocks = F.greatest(F.ceil(n_test / full), busy)
+    blocks, shape = control_rows(
+        sizes.where((n_train > 0) & (n_test > 0)).select(
+            "model_set", train_blocks.alias("train_block_count"), test_blocks.alias("test_block_count")
+        )
     )
-    most = [max(1, math.ceil(_largest(sizes, known, part) / block_rows)) for part in ("n_train", "n_test")]
-    sets = MAX_TASKS if known is None else known.num_rows
-    tasks = max(1, min(most[0] * most[1] * sets, MAX_TASKS))
+    cells = [t["train_block_count"] * t["test_block_count"] for t in shape.to_pylist()] if shape else [MAX_TASKS]
+    tasks = max(1, min(sum(cells), MAX_TASKS))
     placed = source.join(blocks, "model_set")
     cell = ["model_set", "train_block", "test_block"]
     left = _blocks(placed, "train_mask", "train_block", "test_block", ["row_id", "label", "embedding", "train_mask"])
@@ -206,8 +260,10 @@ def nearest_neighbors(
         .cogroup(right.repartition(tasks, *cell).groupBy(*cell))
         .applyInArrow(_block_join(k, runs), NEIGHBOR_SCHEMA)
     )
-    order = Window.partitionBy("model_set", "run", "row_id").orderBy("distance", "neighbor_id")
-    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    best = found
+    if _largest(blocks, shape, "train_block_count") > 1:
+        order = Window.partitionBy("model_set", "run", "row_id").orderBy("distance", "neighbor_id")
+        best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     if not collapsed:
         return best
     # Each answer belongs to the first of a group of equal test vectors; hand it to all of them.
@@ -219,7 +275,7 @@ def nearest_neighbors(
     return (
         asked.join(answer, ["model_set", "vector_key"])
         .where(in_run("test_mask", F.col("run")))
-        .select(*NEIGHBOR_SCHEMA.fieldNames(), "place")
+        .select(*NEIGHBOR_SCHEMA.fieldNames())
     )
 
 

@@ -168,21 +168,22 @@ def split_with_quotas(
     largest = max(rows["n"].to_pylist(), default=0) if rows is not None else quotas.agg(F.max("n")).first()[0]
     keys = df.select(*strata, row_id)
     cuts = _cut_points(keys, quotas, by, label, row_id, runs, base_seed, largest, direct_rows)
-    bit = F.expr("shiftleft(1L, run)")
-    per_class = cuts.groupBy(*strata).agg(F.collect_list(F.struct("run", "h", row_id, bit.alias("bit"))).alias("cuts"))
-    marks = control_table(quotas.select(*strata, "n", "quota").join(per_class, strata, "left"))
-
-    def mark(acc: Column, cut: Column) -> Column:
-        place = F.struct(_hash(cut["run"] + base_seed, F.col(row_id)).alias("h"), F.col(row_id))
-        inside = place <= F.struct(cut["h"].alias("h"), cut[row_id].alias(row_id))
-        return acc.bitwiseOR(F.when(inside, cut["bit"]).otherwise(F.lit(0).cast("bigint")))
-
+    cut = [F.max(F.when(F.col("run") == run, F.struct("h", row_id))).alias(f"cut_{run}") for run in range(runs)]
+    marks = control_table(
+        quotas.select(*strata, "n", "quota").join(cuts.groupBy(*strata).agg(*cut), strata, "left")
+    )
+    # One plain comparison per run stays inside generated code, which a lambda over an array of cuts would not.
+    bits = []
+    for run in range(runs):
+        place = F.struct(_hash(F.lit(base_seed + run), F.col(row_id)).alias("h"), F.col(row_id))
+        bits.append(F.when(place <= F.col(f"cut_{run}"), F.lit(1 << run)).otherwise(F.lit(0)).cast("bigint"))
     mask = (
         F.when(F.col("quota") >= F.col("n"), F.lit((1 << runs) - 1).cast("bigint"))
         .when(F.col("quota") <= 0, F.lit(0).cast("bigint"))
-        .otherwise(F.aggregate("cuts", F.lit(0).cast("bigint"), mark))
+        .otherwise(sum(bits[1:], bits[0]))
     )
-    return Split(df.join(marks, strata).withColumn("train_mask", mask).drop("n", "quota", "cuts"), quotas, rows)
+    extra = ["n", "quota", *[f"cut_{run}" for run in range(runs)]]
+    return Split(df.join(marks, strata).withColumn("train_mask", mask).drop(*extra), quotas, rows)
 
 
 def in_run(mask: str, run: Column | int) -> Column:

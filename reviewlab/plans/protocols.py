@@ -125,10 +125,16 @@ def score_protocol(
     base: str | None = None,
     runs: int = RUNS,
     base_seed: int = BASE_SEED,
+    store: bool = True,
     **fold_options: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit and score every model; return the scored rows (checkpointed, as several metrics read them) and classes."""
-    folds = make_folds(points, protocol, base, runs, base_seed, **fold_options).stored()
+    """Fit and score every model; return the scored rows (written out, as several metrics read them) and classes.
+
+    ``store=False`` leaves the folds unwritten, which saves a copy where ``points`` is a plain scan of stored vectors
+    and the models read it once or twice.
+    """
+    folds = make_folds(points, protocol, base, runs, base_seed, **fold_options)
+    folds = folds.stored() if store else folds
     scored = None
     for model in models:
         part = model.score(folds).select(

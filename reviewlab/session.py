@@ -1,8 +1,12 @@
-"""Session set-up and the two ways a plan may be cut: small control tables and durable checkpoints."""
+"""Session set-up and the two ways a plan may be cut: small control tables and durable written tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,29 +32,39 @@ def get_session(app: str = "reviewlab", master: str | None = None, **conf: objec
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Where cut plans are written: the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder stands in only when
-    that is unset and the session runs in local mode.
+    A temporary folder, removed at exit, stands in only when that is unset and the session runs in local mode.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="reviewlab-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="reviewlab-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def durable(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Cut the lineage of ``df`` by writing it to the shared folder and reading it back.
+
+    Unlike a checkpointed RDD the table keeps column pruning, filter pushdown and, with ``partition_by``, partition
+    pruning for everything that reads it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/reviewlab-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def control_rows(df: DataFrame, max_rows: int = CONTROL_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """Evaluate a small result once; return it as a frame that is safe to broadcast, and its rows.
 
     At most ``max_rows + 1`` rows reach the driver. Within the bound the rows become a local relation with a
-    broadcast hint; beyond it the result is checkpointed instead (rows: None) and later joins on it shuffle as
+    broadcast hint; beyond it the result is written out instead (rows: None) and later joins on it shuffle as
     usual, so no row is lost either way.
     """
     head = df.limit(max_rows + 1).toArrow()

@@ -31,7 +31,7 @@ def _spark(found):
     return {key: [x[1:] for x in sorted(rows)] for key, rows in got.items()}
 
 
-@pytest.mark.parametrize("block_rows, copy_share", [(2048, 2.0), (16, 2.0), (16, 0.0), (2048, 0.0)])
+@pytest.mark.parametrize("block_rows, copy_share", [(None, 2.0), (16, 2.0), (16, 0.0), (None, 0.0)])
 @pytest.mark.parametrize("protocol", ["own", "mix"])
 def test_neighbors_equal_brute_force(points, protocol, block_rows, copy_share):
     folds = make_folds(points, protocol, None if protocol == "own" else "base", RUNS).rows.cache()
@@ -43,6 +43,19 @@ def test_neighbors_equal_brute_force(points, protocol, block_rows, copy_share):
         assert np.allclose([d for d, *_ in got[key]], [d for d, *_ in near])
 
 
+def test_tiles_and_chunks_change_nothing(points, monkeypatch):
+    from reviewlab.operators import neighbors
+
+    folds = make_folds(points, "own", None, RUNS).rows.cache()
+    want = _spark(nearest_neighbors(folds, 5, RUNS))
+    monkeypatch.setattr(neighbors, "TILE_CELLS", 150)
+    assert _spark(nearest_neighbors(folds, 5, RUNS)) == want
+    monkeypatch.setattr(neighbors, "SHARED_LIST", 1)
+    assert _spark(nearest_neighbors(folds, 5, RUNS)) == want
+    monkeypatch.setattr(neighbors, "SHARED_LIST", 1000)
+    assert _spark(nearest_neighbors(folds, 5, RUNS)) == want
+
+
 def test_fewer_training_rows_than_k(spark):
     rows = [("s", "s", 1, "A", [0.0], 1, 0), ("s", "s", 2, "B", [1.0], 1, 0), ("s", "s", 3, "B", [0.4], 0, 1)]
     schema = "model_set string, eval_set string, row_id bigint, label string, embedding array<float>, train_mask bigint, test_mask bigint"
