@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlab.session import durable
+
 KEYS = ("protocol", "model", "model_set", "eval_set", "run")
 AUC_CELLS = 256
 
@@ -38,34 +40,39 @@ def _with_classes(df: DataFrame, classes: DataFrame | Sequence[str]) -> DataFram
 
 
 def shared_labels(counts: DataFrame, classes: DataFrame | Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Per key: the labels that both the test rows and the model have."""
-    seen = counts.groupBy(*keys).agg(F.array_sort(F.collect_set("y")).alias("test_labels"))
+    """Per key: the labels that both the test rows and the model have, and the counts as an array of ``cells``."""
+    seen = counts.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("y")).alias("test_labels"),
+        F.collect_list(F.struct("y", "yhat", "n")).alias("cells"),
+    )
     joined = _with_classes(seen, classes)
     return joined.withColumn("labels", F.array_sort(F.array_intersect("test_labels", "classes")))
 
 
 def confusion_matrix(
-    scored: DataFrame, classes: DataFrame | Sequence[str], restrict: bool = False, keys: Sequence[str] | None = None
+    scored: DataFrame,
+    classes: DataFrame | Sequence[str],
+    restrict: bool = False,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Long confusion matrix (key, y, yhat, n) with its zero cells.
 
     The labels are the model's classes; with ``restrict`` only those that the test rows have too. Then a row counts
     only if both its labels are left, and a key without any label in common gets one row with ``note``.
+
+    The counts travel with the label lists, so the scored rows are read once.
     """
     keys = keys_of(scored, keys)
-    counts = label_counts(scored, keys)
-    lists = shared_labels(counts, classes, keys)
-    label_list = "labels" if restrict else "classes"
+    lists = shared_labels(label_counts(scored, keys), classes, keys)
     grid = (
-        lists.select(*keys, F.col(label_list).alias("axis"))
+        lists.select(*keys, "cells", F.col("labels" if restrict else "classes").alias("axis"))
         .withColumn("y", F.explode_outer("axis"))
         .withColumn("yhat", F.explode_outer("axis"))
-        .drop("axis")
     )
-    cells = grid.join(counts, [*keys, "y", "yhat"], "left")
+    here = F.filter("cells", lambda c: (c["y"] == F.col("y")) & (c["yhat"] == F.col("yhat")))
+    n = F.when(F.col("y").isNotNull(), F.aggregate(here, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"]))
     note = F.when(F.col("y").isNull(), F.lit("no labels in common"))
-    n = F.when(F.col("y").isNotNull(), F.coalesce("n", F.lit(0)))
-    return cells.select(*keys, "y", "yhat", n.cast("bigint").alias("n"), note.alias("note"))
+    return grid.select(*keys, "y", "yhat", n.alias("n"), note.alias("note"))
 
 
 def confusion_wide(matrix: DataFrame, labels: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
@@ -157,14 +164,17 @@ def roc_auc(
 
     Rows collapse to counts per distinct score. The running count of negatives over sorted scores is then taken in
     two levels, inside value ranges and over the ranges of a key, so that no task sorts a whole key. The ranges
-    come from approximate quantiles over all keys; any ranges give the same area.
+    come from approximate quantiles over all keys; any ranges give the same area. The counts are written out, as the
+    quantiles and the area both read them and the scored rows should be computed once.
     """
     keys = keys_of(scored, keys)
     known = _with_classes(scored, classes).where((F.size("classes") == 2) & F.col("score").isNotNull())
     positive = F.col("y") == F.get("classes", F.lit(1))
     stranger = ~F.array_contains("classes", F.col("y"))
-    by_score = known.groupBy(*keys, "score").agg(
-        F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"), F.count_if(stranger).alias("strangers")
+    by_score = durable(
+        known.groupBy(*keys, "score").agg(
+            F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"), F.count_if(stranger).alias("strangers")
+        )
     )
     quantiles = [i / cells for i in range(1, cells)]
     bounds = by_score.agg(F.percentile_approx("score", quantiles, 10 * cells).alias("bounds"))

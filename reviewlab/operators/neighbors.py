@@ -12,7 +12,6 @@ sides are collapsed before the block join and the answers are joined back.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from reviewlab.functions.scores import argmax_label
+from reviewlab.operators.joins import lookup_join
 from reviewlab.operators.sampling import in_run
 from reviewlab.session import control_rows
 
@@ -267,14 +267,20 @@ def nearest_neighbors(
     if not collapsed:
         return best
     # Each answer belongs to the first of a group of equal test vectors; hand it to all of them.
-    keyed = points.select("model_set", "row_id", "vector_key")
-    answer = best.join(keyed, ["model_set", "row_id"]).drop("row_id", "eval_set", "y")
+    group = F.concat_ws(":", "vector_key", "model_set").alias("group")
+    keyed = points.select("model_set", "row_id", group)
+    near = ["run", "neighbor_id", "label", "distance", "place"]
+    answers = (
+        best.join(keyed, ["model_set", "row_id"]).groupBy("group").agg(F.collect_list(F.struct(*near)).alias("answers"))
+    )
     asked = points.where(F.col("test_mask") != 0).select(
-        "model_set", "eval_set", "vector_key", "row_id", F.col("label").alias("y"), "test_mask"
+        "model_set", "eval_set", "row_id", F.col("label").alias("y"), "test_mask", group
     )
     return (
-        asked.join(answer, ["model_set", "vector_key"])
-        .where(in_run("test_mask", F.col("run")))
+        lookup_join(asked, answers, "group")
+        .withColumn("answer", F.explode("answers"))
+        .where(in_run("test_mask", F.col("answer.run")))
+        .select("model_set", "eval_set", "row_id", "y", *[F.col(f"answer.{name}").alias(name) for name in near])
         .select(*NEIGHBOR_SCHEMA.fieldNames())
     )
 
