@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlab.llm import fingerprints, language, lines, packing, sharding, simhash
+from reviewlab.llm import fingerprints, language, lines, packing, quality, sharding, simhash, toxicity
 from reviewlab.llm.common import documents, fold
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,27 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, column: str, docs: DataFrame) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(column).alias("label"))
+    return docs.select("doc_id", "text").join(labels.where("label IS NOT NULL"), "doc_id")
+
+
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(_labelled(spark, sf_dir, "quality", docs.where(fold(5) != 0)))
+    scored = quality.score_quality(docs, model)
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", predicted)
+
+
+def op7_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(_labelled(spark, sf_dir, "toxic", docs.where(fold(3) != 1)), max_fit_rows=16_000)
+    scored = toxicity.score_toxicity(docs, model)
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", predicted)
+
+
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), [1.0] * SHARDS)
 
@@ -49,7 +70,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op3_simhash_near_dedup,
+        op4_quality_discriminant,
         op5_rendezvous_sharding,
+        op7_toxicity_machine,
         op8_line_dedup,
         op9_document_fingerprints,
         op10_language_id,
