@@ -172,7 +172,7 @@ class _Labeller:
 
     def rows(self, tokens: list[str]) -> np.ndarray:
         known = self.known
-        for token in set(tokens) - known.keys():
+        for token in {t for t in tokens if t not in known}:
             i = len(known)
             if i == len(self.letters):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])

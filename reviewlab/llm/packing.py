@@ -57,7 +57,7 @@ class ChunkedTokenizer:
         return (self.CUT.split(text) if self.INNER_BLANK.search(text) else text.split(" "))
 
     def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
+        new = [c for c in chunks if c not in self.known]
         if len(self.known) + len(new) > CACHED_CHUNKS:
             self.known.clear()
             new = list(chunks)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlab.llm import fingerprints, language, lines, packing, quality, sharding, simhash, toxicity
+from reviewlab.llm import decontaminate, fingerprints, language, lines, packing, quality, sharding, simhash, toxicity
 from reviewlab.llm.common import documents, fold
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,10 @@ def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", predicted)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(_labelled(spark, sf_dir, "toxic", docs.where(fold(3) != 1)), max_fit_rows=16_000)
@@ -72,6 +76,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash_near_dedup,
         op4_quality_discriminant,
         op5_rendezvous_sharding,
+        op6_benchmark_decontamination,
         op7_toxicity_machine,
         op8_line_dedup,
         op9_document_fingerprints,
@@ -79,6 +84,14 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+LLM_QUERIES["pipeline"] = pipeline
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 LLM_ORACLE: dict[str, str] = {
