@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlab.llm import decontaminate, fingerprints, language, lines, packing, quality, sharding, simhash, toxicity
+from reviewlab.llm import decontaminate, fingerprints, language, lines, packing, quality, repeats, sharding, simhash, toxicity
 from reviewlab.llm.common import documents, fold
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER, width=1024, end_id=2)
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(documents(spark, sf_dir), min_words=50, similarity=0.8)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(documents(spark, sf_dir), radius=2, words_per_shingle=3, seed=42)
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -73,6 +77,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_repeated_passages,
         op3_simhash_near_dedup,
         op4_quality_discriminant,
         op5_rendezvous_sharding,
