@@ -30,7 +30,11 @@ def clean_label(col: Column) -> Column:
     return strip_unicode(col.cast("string"))
 
 
+def split_tokens(col: Column) -> Column:
+    """All lower-case tokens, split on runs of anything but letters and digits."""
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda word: word != "")
+
+
 def cap_tokens(col: Column, max_tokens: int = 512) -> Column:
-    """The first ``max_tokens`` lower-case tokens, split on runs of anything but letters and digits."""
-    words = F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda word: word != "")
-    return F.slice(words, 1, max_tokens)
+    """The first ``max_tokens`` tokens."""
+    return F.slice(split_tokens(col), 1, max_tokens)

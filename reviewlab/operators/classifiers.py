@@ -30,10 +30,10 @@ from reviewlab.operators.sampling import in_run
 from reviewlab.operators.weights import with_weights
 from reviewlab.session import control_rows
 
-FIT_THREADS = 4
 MODEL_LIMIT = 10_000
-ROWS_PER_TASK = 50_000
-"""A fit uses no more tasks per pass than one for this many training rows; large fits keep their partitions."""
+FIT_SHARDS = 16
+"""Default number of hash shards that a fit's rows are put in. It fixes the layout, on which a forest's draws depend, for
+every cluster and input size; give ``shards`` in proportion to the cluster for large fits."""
 
 # The settings of the experiments' models. Trees without a depth limit get Spark's deepest.
 SVM_TOLERANCE = 1e-3
@@ -138,7 +138,7 @@ def _margin(model: Model, df: DataFrame, into: str) -> DataFrame:
     return scored.withColumn(into, F.get(vector_to_array("_raw"), F.lit(1))).drop("_raw", "_side")
 
 
-def fit_svm(given: FitInput, c: float = REGULARISATION_C, steps: int = 100, folds: int = 5) -> Fitted:
+def fit_svm(given: FitInput, c: float = REGULARISATION_C, steps: int = SOLVER_STEPS, folds: int = 5) -> Fitted:
     """Linear SVM by pairwise votes (ties to the first class), with calibrated probabilities for two classes.
 
     The calibration is a one-dimensional logistic regression on margins of rows the margin model has not seen.
@@ -228,7 +228,8 @@ class SparkClassifier:
     kind: str
     options: dict = field(default_factory=dict)
     label: str | None = None
-    threads: int = FIT_THREADS
+    threads: int | None = None
+    shards: int = FIT_SHARDS
 
     @property
     def name(self) -> str:
@@ -252,7 +253,8 @@ class SparkClassifier:
             else:
                 index = (F.array_position(listed, F.col("label")) - 1).cast("double")
                 train = with_weights(mine.where(in_run("train_mask", run)).withColumn("run", F.lit(run)), weights)
-                train = train.withColumn("label_index", index).coalesce(-(-entry["rows"] // ROWS_PER_TASK))
+                shard = F.pmod(F.xxhash64("row_id", F.lit(folds.base_seed)), F.lit(self.shards))
+                train = train.withColumn("label_index", index).repartition(self.shards, shard).sortWithinPartitions("row_id")
                 given = FitInput(train, classes, entry["total"], folds.base_seed + run)
                 scored = FITS[self.kind](given, **self.options)(test)
             return scored.select(
@@ -265,6 +267,7 @@ class SparkClassifier:
                 F.col("score").cast("double").alias("score"),
             )
 
-        with ThreadPool(self.threads) as pool:
+        threads = self.threads or max(2, points.sparkSession.sparkContext.defaultParallelism)
+        with ThreadPool(threads) as pool:
             parts = pool.map(inheritable_thread_target(points.sparkSession)(fit), models)
         return reduce(DataFrame.unionByName, parts)

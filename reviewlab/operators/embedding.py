@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from reviewlab.functions.text import cap_tokens
+from reviewlab.functions.text import cap_tokens, split_tokens
 from reviewlab.operators.joins import lookup_join
 
-MAX_TOKENS = 512
-
 
 def pool(states: np.ndarray, how: str = "first") -> np.ndarray:
     """Reduce (rows, positions, width) token states to one vector per row: the first position or the mean."""
@@ -32,13 +31,13 @@ class ModelEmbedder:
     """A frozen model that the user supplies.
 
     ``load`` runs once per Python worker and returns a function from an array of texts to a float array, either
-    (rows, width) or (rows, positions, width); the latter is pooled. Texts are cut to ``max_tokens`` words first
-    unless it is None; a model with its own tokenizer may cut further.
+    (rows, width) or (rows, positions, width); the latter is pooled. Whole texts are passed unless ``max_tokens`` words
+    are asked for. A null text has a null vector.
     """
 
     load: Callable[[], Callable[[np.ndarray], np.ndarray]]
     batch_size: int = 64
-    max_tokens: int | None = MAX_TOKENS
+    max_tokens: int | None = None
     pool: str = "first"
 
     def transform(self, df: DataFrame, col: str = "review", into: str = "embedding") -> DataFrame:
@@ -56,70 +55,56 @@ class ModelEmbedder:
         encode = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=self.batch_size)
         text = F.col(col)
         if self.max_tokens is not None:
-            text = F.array_join(F.slice(F.split(text, r"\s+"), 1, self.max_tokens), " ")
-        return df.withColumn(into, encode(text))
-
-
-@dataclass(frozen=True)
-class OnnxText:
-    """``load`` for ``ModelEmbedder``: a local ONNX encoder and its tokenizer file, opened once per worker."""
-
-    model_path: str
-    tokenizer_path: str
-    max_tokens: int = MAX_TOKENS
-
-    def __call__(self) -> Callable[[np.ndarray], np.ndarray]:
-        try:
-            import onnxruntime
-            import tokenizers
-        except ImportError as missing:
-            raise RuntimeError("OnnxText needs the onnxruntime and tokenizers packages on every executor") from missing
-        session = onnxruntime.InferenceSession(self.model_path, providers=["CPUExecutionProvider"])
-        tokenizer = tokenizers.Tokenizer.from_file(self.tokenizer_path)
-        tokenizer.enable_truncation(self.max_tokens)
-        tokenizer.enable_padding()
-        wanted = {item.name for item in session.get_inputs()}
-
-        def predict(texts: np.ndarray) -> np.ndarray:
-            encoded = tokenizer.encode_batch([str(text) for text in texts])
-            feeds = {
-                "input_ids": np.array([e.ids for e in encoded], dtype="int64"),
-                "attention_mask": np.array([e.attention_mask for e in encoded], dtype="int64"),
-                "token_type_ids": np.array([e.type_ids for e in encoded], dtype="int64"),
-            }
-            return session.run(None, {name: value for name, value in feeds.items() if name in wanted})[0]
-
-        return predict
+            text = F.array_join(cap_tokens(text, self.max_tokens), " ")
+        vector = encode(F.coalesce(text, F.lit("")))
+        return df.withColumn(into, F.when(F.col(col).isNotNull(), vector))
 
 
 @dataclass(frozen=True)
 class HashedTfEmbedder:
-    """Hashed term frequencies of the first ``max_tokens`` words, optionally idf-weighted and scaled to length 1.
+    """Hashed term frequencies of all words of a text, optionally idf-weighted and scaled to length 1.
 
-    Needs no model file. Without idf it is as stateless as a frozen encoder; ``fit`` returns a copy with idf
-    weights learned from the given (training) rows only.
+    Needs no model file. A word's bucket comes from its md5, which other engines have too. Without ``idf`` the embedder
+    is as stateless as a frozen encoder; ``fit`` returns a copy with idf weights, ln((n + 1) / (df + 1)), learned from
+    the given (training) rows only. A null text has a null vector. ``max_tokens`` keeps the first words only.
     """
 
     width: int = 256
-    max_tokens: int = MAX_TOKENS
+    max_tokens: int | None = None
     normalise: bool = True
-    idf: IDFModel | None = None
+    idf: tuple[float, ...] | None = None
+    precision: str = "float"
 
-    def _counts(self, df: DataFrame, col: str) -> DataFrame:
-        words = df.withColumn("_words", cap_tokens(F.col(col), self.max_tokens))
-        return HashingTF(inputCol="_words", outputCol="_tf", numFeatures=self.width).transform(words).drop("_words")
+    def _buckets(self, col: str) -> Column:
+        words = cap_tokens(F.col(col), self.max_tokens) if self.max_tokens else split_tokens(F.col(col))
+        number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 7), 16, 10).cast("int")
+        return F.transform(words, lambda w: F.pmod(number(w), F.lit(self.width)))
 
     def fit(self, df: DataFrame, col: str = "review") -> HashedTfEmbedder:
-        model = IDF(inputCol="_tf", outputCol="_idf").fit(self._counts(df, col))
-        return HashedTfEmbedder(self.width, self.max_tokens, self.normalise, model)
+        """Document counts per bucket: at most ``width`` rows reach the driver."""
+        seen = df.select(F.explode(F.array_distinct(self._buckets(col))).alias("bucket"))
+        n = df.where(F.col(col).isNotNull()).count()
+        counts = {r["bucket"]: r["df"] for r in seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).collect()}
+        idf = tuple(math.log((n + 1) / (counts.get(b, 0) + 1)) for b in range(self.width))
+        return replace(self, idf=idf)
 
     def transform(self, df: DataFrame, col: str = "review", into: str = "embedding") -> DataFrame:
-        out, last = self._counts(df, col), "_tf"
-        if self.idf is not None:
-            out, last = self.idf.transform(out), "_idf"
-        if self.normalise:
-            out, last = Normalizer(p=2.0, inputCol=last, outputCol="_unit").transform(out), "_unit"
-        return out.withColumn(into, vector_to_array(F.col(last), "float32")).drop("_tf", "_idf", "_unit")
+        width, scale, normalise = self.width, np.array(self.idf or [1.0] * self.width), self.normalise
+
+        kind = {"float": "float32", "double": "float64"}[self.precision]
+
+        @F.pandas_udf(f"array<{self.precision}>")
+        def vector(buckets: pd.Series) -> pd.Series:
+            def one(found: np.ndarray | None) -> np.ndarray | None:
+                if found is None:
+                    return None
+                counts = np.bincount(np.asarray(found, "int64"), minlength=width) * scale
+                length = np.sqrt((counts**2).sum()) if normalise else 0.0
+                return (counts / length if length else counts).astype(kind)
+
+            return buckets.map(one, na_action="ignore")
+
+        return df.withColumn(into, vector(self._buckets(col)))
 
 
 def embed(df: DataFrame, embedder, col: str = "review", into: str = "embedding") -> DataFrame:
@@ -131,36 +116,44 @@ def content_key(col: str = "review"):
     return F.sha2(F.col(col), 256)
 
 
-def distinct_texts(df: DataFrame, col: str = "review") -> DataFrame:
-    """Each text once, under its content key. Copies are merged on the map side before the shuffle."""
-    return df.select(content_key(col).alias("content_key"), col).groupBy("content_key").agg(F.first(col).alias(col))
+def distinct_texts(df: DataFrame, col: str = "review", id_col: str = "row_id") -> DataFrame:
+    """Each text that is not null once, under its content key: the copy of the least id.
 
+    Keys and ids are aggregated by hash; texts are not aggregated but fetched for the ids that were found.
+    """
+    keyed = df.where(F.col(col).isNotNull()).select(content_key(col).alias("content_key"), F.col(id_col).alias("_id"), col)
+    first = keyed.groupBy("content_key").agg(F.min("_id").alias("_id"))
+    return keyed.join(first, ["content_key", "_id"], "left_semi").select("content_key", col)
 
-def missing_texts(df: DataFrame, store: DataFrame | None, col: str = "review") -> DataFrame:
+
+def missing_texts(df: DataFrame, store: DataFrame | None, col: str = "review", id_col: str = "row_id") -> DataFrame:
     """Distinct texts whose vector the store does not have."""
-    texts = distinct_texts(df, col)
+    texts = distinct_texts(df, col, id_col)
     return texts if store is None else texts.join(store.select("content_key"), "content_key", "left_anti")
 
 
-def embed_cached(df: DataFrame, embedder, path: str, col: str = "review", into: str = "embedding") -> DataFrame:
+def embed_cached(
+    df: DataFrame, embedder, path: str, name: str, col: str = "review", into: str = "embedding", id_col: str = "row_id"
+) -> DataFrame:
     """Add vectors through a Parquet store of (content_key, embedding): new texts are embedded once and appended.
 
-    All runs, protocols and model kinds read the same vectors instead of encoding a text again for each.
+    ``name`` identifies the embedder and its settings; every name has a store of its own under ``path``. All runs,
+    protocols and model kinds read the same vectors instead of encoding a text again for each.
     """
-    spark = df.sparkSession
-    new = embed(missing_texts(df, read_store(df, path), col), embedder, col, into)
-    new.select("content_key", into).write.mode("append").parquet(path)
-    return lookup_embeddings(df, spark.read.parquet(path), col)
+    spark, place = df.sparkSession, f"{path}/{name}"
+    new = embed(missing_texts(df, read_store(df, place), col, id_col), embedder, col, into)
+    new.select("content_key", into).write.mode("append").parquet(place)
+    return lookup_embeddings(df, read_store(df, place), col)
 
 
 def read_store(df: DataFrame, path: str) -> DataFrame | None:
-    """The vector store at ``path``, or None where there is none yet."""
+    """The vectors at ``path``, one per key however often a retried or parallel run appended it; None if there are none."""
     spark = df.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if system.exists(folder) else None
+    return spark.read.parquet(path).dropDuplicates(["content_key"]) if system.exists(folder) else None
 
 
 def lookup_embeddings(df: DataFrame, store: DataFrame, col: str = "review") -> DataFrame:
-    """Attach stored vectors by content; a text that fills much of the table does not gather in one task."""
+    """Attach stored vectors by content; a row whose text is null or not stored keeps a null vector."""
     return lookup_join(df.withColumn("content_key", content_key(col)), store, "content_key")

@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.session import control_rows
+SALTS = 32
 
-HOT_ROWS = 1_000_000
-HOT_KEYS = 2_000
 
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """Left join of ``rows`` with a table that has each ``key`` once; rows without an answer are kept.
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of ``rows`` with a table that has each ``key`` once.
-
-    Keys that more than ``hot_rows`` rows share are answered by broadcasting just their table rows (at most
-    ``HOT_KEYS``), so those rows never gather in one task; all other keys join by a shuffle as usual.
+    Rows of a key are dealt over ``salts`` tasks by their content, and the narrow answers are repeated as often, so a hot
+    key does not gather in one task and nothing has to be counted first. Adaptive execution broadcasts or splits further
+    where that is cheaper.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(key)
-    hot, known = control_rows(hot, HOT_KEYS)
-    if known is None or known.num_rows == 0:
-        return rows.join(table, key)
-    answers, _ = control_rows(table.join(hot, key, "left_semi"), HOT_KEYS)
-    return rows.join(answers, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+    others = [c for c in rows.columns if c != key]
+    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(spread, [key, "_salt"], "left").drop("_salt")

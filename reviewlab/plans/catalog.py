@@ -5,7 +5,9 @@ Floats are rounded to six decimals and counts are BIGINT, so that results compar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +15,16 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType
 
 from reviewlab.functions.scores import argmax_label, binarise, softmax
 from reviewlab.functions.student import paired_p_ten_runs
-from reviewlab.functions.text import cap_tokens
+from reviewlab.functions.text import cap_tokens, clean_text
 from reviewlab.operators.classifiers import SparkClassifier
 from reviewlab.operators.comparison import compare_models, paired_t, run_summary, welch_t
 from reviewlab.operators.densenet import adam_logistic, plain_network, short_network, weighted_network
 from reviewlab.operators.embedding import (
     HashedTfEmbedder,
     ModelEmbedder,
-    content_key,
     distinct_texts,
     embed,
-    lookup_embeddings,
+    embed_cached,
 )
 from reviewlab.operators.filters import (
     class_counts,
@@ -51,6 +52,7 @@ from reviewlab.operators.sampling import (
     allocate_quota,
     explode_runs,
     group_sizes,
+    in_run,
     stratified_split,
     train_rows_for_target,
     train_rows_for_test_fraction,
@@ -58,7 +60,7 @@ from reviewlab.operators.sampling import (
 )
 from reviewlab.operators.weights import balanced_weights, train_class_counts, with_weights
 from reviewlab.plans.protocols import Knn, accuracy_metrics, make_folds
-from reviewlab.session import durable
+from reviewlab.session import durable, shared_folder
 from reviewlab.sources.reports import mix_summary_lines, own_summary_lines, report_lines
 from reviewlab.sources.tables import VECTOR_SETS, points_from_embeddings, reviews_from_documents
 
@@ -397,9 +399,15 @@ def mix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- embedding ------------------------------------------------------------------------------------
 
 
+def _all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cleaned text, labelled or not."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return documents.select(F.col("doc_id").alias("row_id"), clean_text(F.col("text")).alias("review"))
+
+
 def token_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cap_tokens(F.col("review"), 512)
-    rows = _long_enough(spark, sf_dir).withColumn("words", words)
+    rows = _all_texts(spark, sf_dir).withColumn("words", words)
     return _plain(
         rows.select(
             "row_id",
@@ -409,54 +417,64 @@ def token_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _entries(rows: DataFrame, *columns: str) -> DataFrame:
+    """The entries of the vectors that are not zero."""
+    spread = rows.select(*columns, F.posexplode("embedding").alias("place", "value"))
+    return _plain(spread.where(F.col("value") != 0))
+
+
 def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed term frequencies of every review; their mass is the number of words kept."""
-    rows = embed(_long_enough(spark, sf_dir), HashedTfEmbedder(normalise=False))
-    mass = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v)
-    return _plain(rows.select("row_id", F.size("embedding").alias("width"), mass.alias("mass")))
+    """Hashed term frequencies of every document."""
+    return _entries(embed(_all_texts(spark, sf_dir), HashedTfEmbedder(normalise=False)), "row_id")
 
 
 def embed_hashed_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed tf-idf with the weights learned on the training part of the first run only."""
-    split = stratified_split(_reviews(spark, sf_dir), runs=1)
-    embedder = HashedTfEmbedder(width=64).fit(split.where(F.col("train_mask") == 1))
-    rows = embed(split, embedder).select("row_id", F.posexplode("embedding").alias("place", "value"))
-    return _plain(rows.where(F.col("value") != 0))
+    """Hashed tf-idf of the reviews, with the weights learned on the training part of every run in turn."""
+    split = durable(stratified_split(_reviews(spark, sf_dir), runs=RUNS))
+    parts = []
+    for run in range(RUNS):
+        embedder = HashedTfEmbedder(width=64, precision="double").fit(split.where(in_run("train_mask", run)))
+        parts.append(_entries(embed(split, embedder).withColumn("run", F.lit(run)), "run", "row_id"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def embed_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user model in Arrow batches: here it counts words and characters of the capped text."""
+    """A frozen user model in Arrow batches: a fixed projection of the counts of some characters."""
 
     def load():
         import numpy as np
 
+        letters = ["a", "e", "i", "n", " "]
+        projection = np.array([[1, 0], [1, 0], [1, 0], [0, 2], [0, 1]], dtype="float32")
+
         def model(texts):
-            return np.array([[len(text.split(" ")), len(text)] for text in texts], dtype="float32")
+            counts = np.stack([np.char.count(texts.astype(str), letter) for letter in letters], axis=1)
+            return counts.astype("float32") @ projection
 
         return model
 
-    rows = embed(_long_enough(spark, sf_dir), ModelEmbedder(load))
-    return _plain(rows.select("row_id", F.get("embedding", F.lit(0)).alias("words"), F.get("embedding", F.lit(1)).alias("chars")))
+    rows = embed(_all_texts(spark, sf_dir), ModelEmbedder(load))
+    return _plain(rows.select("row_id", F.get("embedding", F.lit(0)).alias("first"), F.get("embedding", F.lit(1)).alias("second")))
 
 
 def embed_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to encode when copies are encoded once."""
-    texts = distinct_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text")
+    texts = distinct_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "doc_id")
     return _plain(texts.select("content_key", F.length("text").alias("n_chars")))
 
 
 def embed_cached_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of distinct texts, found again for every document through the content key."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    store = distinct_texts(documents, "text").select("content_key", F.length("text").alias("stored"))
-    found = lookup_embeddings(documents, store, "text")
-    return _plain(found.select("doc_id", "content_key", "stored"))
+    """Vectors of distinct texts through the store: embedded once, found again for every document by content."""
+    texts = _all_texts(spark, sf_dir)
+    embedder = HashedTfEmbedder(width=16, normalise=False)
+    store = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    return _entries(embed_cached(texts, embedder, store, "hashed-16"), "row_id", "content_key")
 
 
 # -- fitted models --------------------------------------------------------------------------------
 
 
-def _fitted(model, runs: int = 1, protocol: str = "own", base: str | None = None) -> Query:
+def _fitted(model, runs: int = RUNS, protocol: str = "own", base: str | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folds = make_folds(_text_points(spark, sf_dir), protocol, base, runs).stored()
         return _plain(model.score(folds).select("model_set", "eval_set", "run", "row_id", "y", "yhat", "score"))
@@ -465,8 +483,8 @@ def _fitted(model, runs: int = 1, protocol: str = "own", base: str | None = None
 
 
 def compare_fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of several model kinds over the reviews, own-train, two runs."""
-    folds = make_folds(_text_points(spark, sf_dir), "own", None, 2).stored()
+    """Accuracy of several model kinds over the reviews, own-train, ten runs."""
+    folds = make_folds(_text_points(spark, sf_dir), "own", None, RUNS).stored()
     models = [Knn(), SparkClassifier("RT"), short_network()]
     rows = None
     for model in models:
@@ -534,7 +552,7 @@ QUERIES: dict[str, Query] = {
     "fit_dt": _fitted(SparkClassifier("RT")),
     "fit_logreg": _fitted(SparkClassifier("REGRESSION")),
     "fit_logreg_one_vs_rest": _fitted(SparkClassifier("REGRESSION_OVR")),
-    "fit_svm": _fitted(SparkClassifier("SVM", {"folds": 3})),
+    "fit_svm": _fitted(SparkClassifier("SVM")),
     "fit_densenet": _fitted(short_network()),
     "fit_densenet_weighted": _fitted(weighted_network()),
     "fit_densenet_early_stopping": _fitted(plain_network()),

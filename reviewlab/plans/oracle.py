@@ -257,7 +257,15 @@ def _split_rows(n_train: str) -> str:
     return f"{_with(CLEAN, split('reviews', 'sentiment', n_train))} SELECT dataset, row_id, run, part FROM split"
 
 
-_WORDS = "[w FOR w IN regexp_split_to_array(lower(review), '[^\\p{L}\\p{N}]+') IF w <> ''][1:512]"
+_WORDS = "[w FOR w IN regexp_split_to_array(lower(review), '[^\\p{L}\\p{N}]+') IF w <> '']"
+_ALL_TEXTS = f"texts AS (SELECT doc_id AS row_id, replace(trim(text, {SPACES}), '\"\"\"', '') AS review FROM documents)"
+
+
+def _buckets(source: str, width: int) -> str:
+    return f"""words AS (SELECT row_id, unnest({_WORDS}) AS word FROM {source}),
+buckets AS (SELECT row_id, ('0x' || substr(md5(word), 1, 7))::BIGINT % {width} AS place FROM words)"""
+
+
 
 _MATRIX_LINES = """
 axis AS (
@@ -459,19 +467,29 @@ UNION ALL
 SELECT model_set, 3, 'Gepaarde t-test: t-stat= ' || printf('%.4f', t) || ', p-value= ' || printf('%.6f', {P_VALUE})
 FROM paired
 UNION ALL SELECT model_set, 4, '' FROM paired""",
-    "token_cap": f"""{_with(CLEAN)}, w AS (SELECT row_id, {_WORDS} AS words FROM long_enough)
+    "token_cap": f"""WITH {_ALL_TEXTS}, w AS (SELECT row_id, {_WORDS}[1:512] AS words FROM texts)
 SELECT row_id, len(words) AS n_words, md5(array_to_string(words, ' ')) AS words_md5 FROM w""",
-    "embed_hashed": f"""{_with(CLEAN)}
-SELECT row_id, 256::BIGINT AS width, len({_WORDS})::DOUBLE AS mass FROM long_enough""",
-    "embed_user_model": f"""{_with(CLEAN)},
-capped AS (
-  SELECT row_id, array_to_string(regexp_split_to_array(review, '\\s+')[1:512], ' ') AS text FROM long_enough)
-SELECT row_id, len(string_split(text, ' '))::DOUBLE AS words, length(text)::DOUBLE AS chars FROM capped""",
+    "embed_hashed": f"""WITH {_ALL_TEXTS}, {_buckets("texts", 256)}
+SELECT row_id, place, count(*)::DOUBLE AS value FROM buckets GROUP BY row_id, place""",
+    "embed_hashed_idf": f"""{_with(CLEAN, split("reviews", "sentiment", TEST_30))}, {_buckets("reviews", 64)},
+runs AS (SELECT s.run, s.row_id, b.place, s.part FROM split s JOIN buckets b ON s.row_id = b.row_id),
+sizes AS (SELECT run, count(*) AS n FROM split WHERE part = 'train' GROUP BY run),
+seen AS (SELECT run, place, count(DISTINCT row_id) AS df FROM runs WHERE part = 'train' GROUP BY run, place),
+tf AS (SELECT run, row_id, place, count(*) AS tf FROM runs GROUP BY run, row_id, place),
+weighed AS (
+  SELECT tf.run, tf.row_id, tf.place, tf.tf * ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) AS v
+  FROM tf JOIN sizes ON tf.run = sizes.run LEFT JOIN seen ON tf.run = seen.run AND tf.place = seen.place),
+lengths AS (SELECT run, row_id, sqrt(sum(v * v)) AS length FROM weighed GROUP BY run, row_id)
+SELECT w.run::BIGINT AS run, w.row_id, w.place, round(w.v / length, 6) AS value
+FROM weighed w JOIN lengths l ON w.run = l.run AND w.row_id = l.row_id WHERE length > 0 AND v / length <> 0""",
+    "embed_user_model": f"""WITH {_ALL_TEXTS},
+counts AS (
+  SELECT row_id, {", ".join(f"length(review) - length(replace(review, '{c}', '')) AS n_{n}" for n, c in enumerate("aein "))}
+  FROM texts)
+SELECT row_id, (n_0 + n_1 + n_2)::DOUBLE AS "first", (2 * n_3 + n_4)::DOUBLE AS "second" FROM counts""",
     "embed_distinct_texts": """
 SELECT sha256(text) AS content_key, any_value(length(text)) AS n_chars FROM documents GROUP BY sha256(text)""",
-    "embed_cached_lookup": """
-SELECT d.doc_id, k.content_key, k.stored
-FROM documents d
-JOIN (SELECT sha256(text) AS content_key, any_value(length(text)) AS stored FROM documents GROUP BY 1) k
-  ON sha256(d.text) = k.content_key""",
+    "embed_cached_lookup": f"""WITH {_ALL_TEXTS}, {_buckets("texts", 16)}
+SELECT t.row_id, sha256(t.review) AS content_key, b.place, count(*)::DOUBLE AS value
+FROM texts t JOIN buckets b ON t.row_id = b.row_id GROUP BY t.row_id, sha256(t.review), b.place""",
 }

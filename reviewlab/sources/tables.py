@@ -43,14 +43,26 @@ def read_registry(spark: SparkSession, sources: Sequence[Source | tuple]) -> Dat
     return whole
 
 
+def content_row_ids(rows: DataFrame) -> DataFrame:
+    """Adds ``row_id`` from dataset, label and text, so that the same files give the same ids on any cluster.
+
+    Exact copies of a row are counted before the shuffle and told apart by an ordinal that enters the hash.
+    """
+    columns = ["dataset", "sentiment", "review"]
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    return numbered.withColumn("row_id", F.xxhash64(*parts, "_copy")).select(*rows.columns, "row_id")
+
+
 def ingest_registry(spark: SparkSession, sources: Sequence[Source | tuple], path: str, mode: str = "overwrite") -> DataFrame:
     """Write the registry as Parquet, partitioned by dataset, and read it back with a fixed ``row_id`` per row.
 
-    The ids are only stable once they are stored, and the later passes then read just the columns they need.
+    The later passes then read just the columns they need. Dataset names come back as they were given.
     """
-    numbered = read_registry(spark, sources).withColumn("row_id", F.monotonically_increasing_id())
+    numbered = content_row_ids(read_registry(spark, sources))
     numbered.write.mode(mode).partitionBy("dataset").parquet(path)
-    return spark.read.parquet(path).withColumn("dataset", F.col("dataset").cast("string"))
+    return spark.read.schema(numbered.schema).parquet(path)
 
 
 def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

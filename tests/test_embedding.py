@@ -32,7 +32,7 @@ def test_user_model_is_pooled(texts):
     mean = {r.row_id: list(r.embedding) for r in embed(texts, ModelEmbedder(load, pool="mean")).collect()}
     assert first[1] == [8.0, 0.0] and mean[1] == [4.0, 4.0]
     capped = {r.row_id: list(r.embedding) for r in embed(texts, ModelEmbedder(load, max_tokens=2)).collect()}
-    assert capped[4] == [7.0, 0.0]
+    assert capped[4] == [7.0, 0.0] and first[4] == [16.0, 0.0]
     with pytest.raises(ValueError):
         pool(np.zeros((1, 1, 1)), "last")
 
@@ -61,18 +61,35 @@ def test_store_is_filled_once(spark, texts, tmp_path):
         return model
 
     embedder = ModelEmbedder(load, max_tokens=None)
-    rows = embed_cached(texts.where("row_id < 3"), embedder, path).collect()
+    rows = embed_cached(texts.where("row_id < 3"), embedder, path, "length").collect()
     assert {r.row_id: r.embedding[0] for r in rows} == {0: 15.0, 1: 8.0, 2: 15.0} and calls.value == 2
-    rows = embed_cached(texts, embedder, path).collect()
+    rows = embed_cached(texts, embedder, path, "length").collect()
     assert len(rows) == 5 and calls.value == 4
-    store = spark.read.parquet(path)
+    store = spark.read.parquet(f"{path}/length")
     assert store.count() == 4 and missing_texts(texts, store).count() == 0
     assert lookup_embeddings(texts, store).count() == 5
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 3, 0])
-def test_lookup_join_is_whole_with_hot_keys(spark, hot_rows):
+def test_stores_of_different_embedders_do_not_mix(spark, texts, tmp_path):
+    path = str(tmp_path / "vectors")
+    for width in (8, 16):
+        rows = embed_cached(texts, HashedTfEmbedder(width), path, f"hashed-{width}").collect()
+        assert {len(r.embedding) for r in rows} == {width}
+    # A second append of the same vectors, as after a retried run, does not multiply rows.
+    spark.read.parquet(f"{path}/hashed-8").write.mode("append").parquet(f"{path}/hashed-8")
+    assert embed_cached(texts, HashedTfEmbedder(8), path, "hashed-8").count() == 5
+
+
+def test_null_texts_and_unknown_keys_keep_their_rows(spark, texts, tmp_path):
+    rows = texts.union(spark.createDataFrame([(9, None)], texts.schema))
+    found = embed_cached(rows, HashedTfEmbedder(8), str(tmp_path / "v"), "h").collect()
+    assert {r.row_id for r in found} == {0, 1, 2, 3, 4, 9}
+    assert [r.embedding for r in found if r.row_id == 9] == [None]
+
+
+@pytest.mark.parametrize("salts", [1, 7])
+def test_lookup_join_is_whole_with_hot_keys(spark, salts):
     rows = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id")).alias("k"), "id")
     table = spark.range(0, 95).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = {(r.id, r.k, r.v) for r in lookup_join(rows, table, "k", hot_rows).collect()}
-    assert got == {(i, k, 2 * k) for i in range(95) for k in [0 if i < 60 else i]}
+    got = {(r.id, r.k, r.v) for r in lookup_join(rows, table, "k", salts).collect()}
+    assert got == {(i, k, 2 * k if k < 95 else None) for i in range(100) for k in [0 if i < 60 else i]}

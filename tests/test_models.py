@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlab.operators.classifiers import SparkClassifier
-from reviewlab.operators.densenet import DenseNet, _forward, _gradient, _layers, _shapes, adam_logistic
+from reviewlab.operators.densenet import DenseNet, _forward, _gradient, _layers, _shapes, adam_logistic, transform
 from reviewlab.operators.folds import Folds
 from reviewlab.operators.metrics import accuracy
 from reviewlab.operators.weights import balanced_weights, train_class_counts, with_weights
@@ -53,7 +53,7 @@ MODELS = [
     SparkClassifier("REGRESSION_OVR"),
     SparkClassifier("SVM", {"folds": 2, "steps": 20}),
     DenseNet((16,), 20, 16, learning_rate=0.01),
-    DenseNet((8,), 40, 16, learning_rate=0.01, weighted=False, tolerance=1e-4, early_stopping=True, passes=10),
+    DenseNet((8,), 40, 16, learning_rate=0.01, weighted=False, tolerance=1e-4, early_stopping=True),
     DenseNet((), 20, 16, learning_rate=0.05),
 ]
 
@@ -110,13 +110,36 @@ def test_gradient_matches_differences():
         assert slope[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-5, rel=1e-3, abs=1e-6)
 
 
-def test_many_workers_average(easy, monkeypatch):
-    from reviewlab.operators import densenet
+def test_networks_depend_on_nothing_but_their_rows(spark, easy, points):
+    """Another dataset, another partitioning or a stored and reloaded model leave the scores as they are."""
+    net = DenseNet((8,), 30, 8, learning_rate=0.02, tolerance=1e-4, early_stopping=True, max_fit_rows=60)
 
-    monkeypatch.setattr(densenet, "ROWS_PER_WORKER", 30)
-    monkeypatch.setattr(densenet, "CHUNK", 7)
-    scored = DenseNet((8,), 30, 8, learning_rate=0.02).score(easy)
-    assert min(r.accuracy for r in accuracy(scored).collect()) > 0.9
+    def scores(df):
+        return {(r.run, r.row_id): r.score for r in df.where("model_set = 'd'").collect()}
+
+    alone = scores(net.score(easy))
+    others = easy.rows.unionByName(
+        easy.rows.withColumn("model_set", F.lit("e")).withColumn("eval_set", F.lit("e")).withColumn("row_id", F.col("row_id") + 1000)
+    )
+    assert scores(net.score(Folds.of(others.repartition(13), RUNS))) == pytest.approx(alone)
+
+
+def test_fitted_networks_are_kept_and_reloaded(spark, easy, tmp_path):
+    net = DenseNet((8,), 5, 8)
+    direct = sorted((r.run, r.row_id, r.score) for r in net.score(easy).collect())
+    net.fit(easy).write.parquet(str(tmp_path / "models"))
+    models = spark.read.parquet(str(tmp_path / "models"))
+    again = transform(models, easy.rows.where("test_mask <> 0"))
+    assert sorted((r.run, r.row_id, r.score) for r in again.collect()) == direct
+
+
+def test_forests_depend_on_nothing_but_their_rows(easy):
+    model = SparkClassifier("RF", {"trees": 5}, shards=4)
+    runs = []
+    for parts in (1, 9):
+        folds = Folds.of(easy.rows.repartition(parts), RUNS)
+        runs.append({(r.run, r.row_id): r.score for r in model.score(folds).collect()})
+    assert runs[0] == pytest.approx(runs[1])
 
 
 def test_weights_shift_an_unbalanced_fit(spark):

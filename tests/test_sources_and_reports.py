@@ -59,6 +59,20 @@ def test_ingest_fixes_row_ids_and_can_be_repeated(spark, sources, tmp_path):
     assert {r.dataset for r in table.select("dataset").distinct().collect()} == {"base", "other"}
 
 
+def test_names_and_ids_survive_the_registry(spark, tmp_path):
+    text = "a,b\n" + "Positief,same text twice\n" * 2 + "Negatief,another text\n"
+    paths = []
+    for i in range(2):
+        (tmp_path / f"{i}.csv").write_text(text)
+        paths.append(str(tmp_path / f"{i}.csv"))
+    sources = [Source("007", paths[0]), Source("1.50", paths[1])]
+    first = ingest_registry(spark, sources, str(tmp_path / "one"))
+    second = ingest_registry(spark, sources[::-1], str(tmp_path / "two"))
+    assert {r.dataset for r in first.collect()} == {"007", "1.50"} and first.count() == 6
+    ids = {(r.dataset, r.sentiment, r.row_id) for r in first.collect()}
+    assert len(ids) == 6 and ids == {(r.dataset, r.sentiment, r.row_id) for r in second.collect()}
+
+
 def test_metrics_round_trip(spark, tmp_path):
     rows = [("own", "KNN", "a", 0, "accuracy", 0.5), ("own", "RF", "a", 0, "accuracy", 0.75)]
     df = spark.createDataFrame(rows, "protocol string, model string, eval_set string, run int, metric string, value double")
