@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,43 +39,78 @@ PIECES = pa.schema(
 
 
 class ChunkedTokenizer:
-    """Token ids of whole texts from the ids of their space-separated chunks, which recur.
+    """Token ids of whole texts from the ids of parts that recur, each encoded once by the tokenizer itself.
 
-    A byte-level pre-tokenizer never joins a space that precedes a non-blank to what stands before it, so a text may be
-    cut in front of every such space, and each chunk (with its space) is encoded once by the tokenizer itself.
+    A byte-level pre-tokenizer never joins a space that precedes a non-blank, a single line break between non-blanks, or
+    the marks after a letter or digit to what stands before them, so texts may be cut there: into chunks at spaces, and
+    unknown chunks into parts at line breaks and closing marks. Parts are encoded together, with a special token between
+    them, where the vocabulary has one.
     """
 
     INNER_BLANK = re.compile(r" (?:\s|$)")
     CUT = re.compile(r" (?=\S)")
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
+        self.between = special[0] if special else None
+        self.known, self.older = {}, {}
+        self.parts, self.older_parts = {}, {}
 
     def chunks(self, text: str) -> list[str]:
-        return (self.CUT.split(text) if self.INNER_BLANK.search(text) else text.split(" "))
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, ids in zip(part, self._encode([" " + c for c in part])):
-                self.known[chunk] = ids
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.CUT.split(text) if self.INNER_BLANK.search(text) else text.split(" ")
+
+    def split_marks(self, word: str) -> list[str]:
+        stem = word.rstrip(self.MARKS)
+        return [word] if stem == word or not stem[-1:].isalnum() else [stem, word[len(stem) :]]
+
+    def split(self, chunk: str, before: str) -> list[str]:
+        """The parts of a chunk that has ``before`` (a space or nothing) in front."""
+        if "\n" not in chunk:
+            return self.split_marks(before + chunk)
+        lines = chunk.split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return [before + chunk]
+        parts = self.split_marks(before + lines[0])
+        for line in lines[1:]:
+            parts += ["\n", *self.split_marks(line)]
+        return parts
+
+    def learn(self, parts: set[str]) -> None:
+        if len(self.parts) > CACHED_CHUNKS:  # what is still in use comes over from the older half when it is next met
+            self.parts, self.older_parts = {}, self.parts
+        new = [p for p in parts if p not in self.parts]
+        self.parts.update((p, self.older_parts[p]) for p in new if p in self.older_parts)
+        new = [p for p in new if p not in self.parts]
+        plain = [p for p in new if self.between and self.between[1] not in p]
+        for at in range(0, len(plain), 1024):
+            some = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between[1].join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.between[0])
+            for part, first, last in zip(some, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]):
+                self.parts[part] = ids[first:last].tobytes()
+        for part in new:
+            if part not in self.parts:
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+                self.parts[part] = np.array(ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(t) for t in texts]
-        self.learn({c for chunks in split for c in chunks[1:]})
-        heads = self._encode([chunks[0] for chunks in split])
-        known = self.known
-        return [head + b"".join([known[c] for c in chunks[1:]]) for head, chunks in zip(heads, split)]
+        cut = [self.chunks(t) for t in texts]
+        if len(self.known) > CACHED_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        unknown = [c for c in set(chain.from_iterable(chunks[1:] for chunks in cut)) if c not in known]
+        known.update((c, older[c]) for c in unknown if c in older)
+        fresh = {c: self.split(c, " ") for c in unknown if c not in known}
+        heads = [self.split(chunks[0], "") for chunks in cut]
+        self.learn({p for parts in (*fresh.values(), *heads) for p in parts})
+        part = self.parts.__getitem__
+        for chunk, parts in fresh.items():
+            known[chunk] = b"".join(map(part, parts))
+        return [b"".join([*map(part, head), *map(known.__getitem__, chunks[1:])]) for head, chunks in zip(heads, cut)]
 
 
 @lru_cache(maxsize=2)
