@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType
 
@@ -383,7 +383,8 @@ def compare_knn_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, classes = _scored_with_classes(spark, sf_dir)
     lines = report_lines(durable(scored), classes, "own", order=VECTOR_SETS)
-    return _plain(lines.select("run", "set_place", "part", "line"))
+    order = Window.partitionBy("run").orderBy("set_place", "eval_place", "part", "line_no")
+    return _plain(lines.select("run", F.row_number().over(order).alias("line_no"), "line"))
 
 
 def own_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

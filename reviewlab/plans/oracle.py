@@ -277,41 +277,42 @@ widths AS (
   SELECT model_set, eval_set, run, yhat, max(greatest(length(yhat), length(n::VARCHAR))) AS w
   FROM axis GROUP BY model_set, eval_set, run, yhat),
 matrix_lines AS (
-  SELECT model_set, eval_set, run,
+  SELECT model_set, eval_set, run, 'y' || y AS place,
          rpad(y, max(length(y)) OVER (PARTITION BY model_set, eval_set, run)::INT, ' ') || cells AS line
   FROM (SELECT a.model_set, a.eval_set, a.run, a.y,
                string_agg('  ' || lpad(a.n::VARCHAR, w.w::INT, ' '), '' ORDER BY a.yhat) AS cells
         FROM axis a JOIN widths w USING (model_set, eval_set, run, yhat) GROUP BY a.model_set, a.eval_set, a.run, a.y)
   UNION ALL
-  SELECT model_set, eval_set, run,
+  SELECT model_set, eval_set, run, '',
          repeat(' ', max(length(yhat))::INT) || string_agg('  ' || lpad(yhat, w::INT, ' '), '' ORDER BY yhat)
   FROM widths GROUP BY model_set, eval_set, run)"""
 
 _REPORT_LINES = f"""{_knn("own", "uniform", ACCURACY, LISTS, REPORT, AUC, _MATRIX_LINES)},
 sections AS (
-  SELECT run, eval_set, 0 AS part, '--- Evaluatie ' || eval_set || ' (70/30 split) ---' AS line FROM facts
+  SELECT run, eval_set, 0 AS part, 0 AS a, '' AS b, '--- Evaluatie ' || eval_set || ' (70/30 split) ---' AS line FROM facts
   UNION ALL
-  SELECT run, eval_set, 1, lpad(class, 12, ' ') || ' '
+  SELECT run, eval_set, 1, CASE WHEN place = 0 THEN 2 ELSE 3 + place END, class, lpad(class, 12, ' ') || ' '
     || ' ' || lpad(CASE WHEN place = 1 THEN '' ELSE printf('%.2f', precision) END, 9, ' ')
     || ' ' || lpad(CASE WHEN place = 1 THEN '' ELSE printf('%.2f', recall) END, 9, ' ')
     || ' ' || lpad(printf('%.2f', f1), 9, ' ') || ' ' || lpad(support::VARCHAR, 9, ' ')
   FROM report
   UNION ALL
-  SELECT run, eval_set, 1, unnest([lpad('', 12, ' ') || '  precision    recall  f1-score   support', '', '', '']) FROM facts
+  SELECT run, eval_set, 1, 0, '', lpad('', 12, ' ') || '  precision    recall  f1-score   support' FROM facts
   UNION ALL
-  SELECT run, eval_set, 2, 'Confusion Matrix (' || eval_set || '):' FROM facts
+  SELECT run, eval_set, 1, unnest([1, 3, 7]), '', '' FROM facts
   UNION ALL
-  SELECT run, eval_set, 3, line FROM matrix_lines
+  SELECT run, eval_set, 3, 0, '', 'Confusion Matrix:' FROM facts
   UNION ALL
-  SELECT run, eval_set, 4, 'AUC-ROC score (' || eval_set || '): ' || printf('%.4f', auc) FROM auc WHERE auc IS NOT NULL
+  SELECT run, eval_set, 4, 0, place, line FROM matrix_lines
   UNION ALL
-  SELECT run, eval_set, 5, 'Accuracy ' || eval_set || ': ' || printf('%.4f', value) FROM facts
+  SELECT run, eval_set, 6, 0, '', 'AUC-ROC: ' || printf('%.4f', auc) FROM auc WHERE auc IS NOT NULL
   UNION ALL
-  SELECT run, eval_set, 6, '' FROM facts)
-SELECT run, lpad((list_position(['base', 'ext1', 'ext2', 'ext3'], eval_set))::VARCHAR, 6, '0') AS set_place,
-       part::BIGINT AS part, line FROM sections
-UNION ALL
-SELECT run, '', -1, '=== Run ' || (run + 1) || ' Evaluaties ===' FROM ({RUN_LIST})"""
+  SELECT run, eval_set, 7, unnest([0, 1]), '', '' FROM facts
+  UNION ALL
+  SELECT run, '', -1, 0, '', '=== Run ' || (run + 1) || ' Evaluaties ===' FROM ({RUN_LIST}))
+SELECT run, line, row_number() OVER (
+  PARTITION BY run ORDER BY coalesce(list_position(['base', 'ext1', 'ext2', 'ext3'], eval_set), 0), part, a, b) AS line_no
+FROM sections"""
 
 _TITLE = f"=== STATISTISCHE SAMENVATTING OVER {RUNS} RUNS ==="
 

@@ -22,7 +22,7 @@ REPORT_COLUMNS = ("precision", "recall", "f1-score", "support")
 NAME_WIDTH = 12
 NUMBER_WIDTH = 9
 SUMMARY_TITLE = "=== STATISTISCHE SAMENVATTING OVER {runs} RUNS ==="
-NO_OVERLAP = "Geen overlappende klassen met {base}."
+NO_OVERLAP = "\u26a0\ufe0f Geen overlappende klassen met {base}."
 PROTOCOL_TITLES = {
     "transfer": "100% test",
     "fraction": "80% test",
@@ -117,58 +117,73 @@ def _matrix_lines(matrix: DataFrame, keys: list[str], base: str) -> DataFrame:
             F.concat(F.repeat(F.lit(" "), F.col("index_width")), F.col("cells")).alias("line"),
         )
     )
-    none = cells.where(F.col("y").isNull()).select(
-        *keys, F.lit("1").alias("line_no"), F.lit(NO_OVERLAP.format(base=base)).alias("line")
-    )
-    return body.unionByName(head).unionByName(none)
+    return body.unionByName(head)
 
 
 def report_lines(
-    scored: DataFrame, classes: DataFrame, protocol: str, base: str | None = None, order: Sequence[str] = ()
+    scored: DataFrame,
+    classes: DataFrame,
+    protocol: str,
+    base: str | None = None,
+    order: Sequence[str] = (),
+    model: str = "",
 ) -> DataFrame:
-    """Lines of the per-run reports of one protocol and model: a report, matrix, AUC and accuracy per test set.
+    """Lines of the per-run reports of one protocol and model, as they are published.
 
-    ``order`` lists the model sets and test sets in the order wanted; others follow by name.
+    ``own``: a run title, then per set a report, matrix, AUC and two blank lines. ``mix`` and ``fraction``: per external
+    a title, the base's and the external's part, and for ``mix`` both accuracies at the end. ``transfer``: the base's
+    part under a title of its own, then the externals. ``order`` lists the sets in the order wanted; others follow by
+    name.
     """
     keys = ["model_set", "eval_set", "run"]
-    title = PROTOCOL_TITLES[protocol]
-    name = F.col("eval_set")
-    of_base = name == F.lit(base)
-    if protocol == "own":
-        head = F.array(
-            F.concat(F.lit("--- Evaluatie "), name, F.lit(f" ({title}) ---")),
-        )
+    own, transfer = protocol == "own", protocol == "transfer"
+    name, title = F.col("eval_set"), PROTOCOL_TITLES[protocol]
+    of_base = F.coalesce(name == F.lit(base), F.lit(False))
+    shown = F.when(of_base | F.lit(not transfer), F.concat(F.lit("("), name, F.lit(")"))).otherwise(name)
+    if own:
+        head = F.concat(F.lit("--- Evaluatie "), name, F.lit(f" ({title}) ---"))
     else:
-        head = F.array(
-            F.when(of_base, F.lit(f"--- Evaluatie op {base} testset ---")).otherwise(
-                F.concat(F.lit("--- Evaluatie op "), name, F.lit(f" ({title}) ---"))
-            )
-        )
+        kind = f" ({model})" if model else ""
+        base_head = f"=== EVALUATIE OP {base.upper()} TESTDATA{kind} ===" if transfer else f"--- Evaluatie op {base} testset ---"
+        head = F.when(of_base, F.lit(base_head)).otherwise(F.concat(F.lit("--- Evaluatie op "), name, F.lit(f" ({title}) ---")))
     facts = accuracy(scored, keys).join(roc_auc(scored, classes, keys).select(*keys, "auc"), keys, "left")
     four = F.lit(4)
-    auc = F.concat(F.lit("AUC-ROC score ("), name, F.lit("): "), fixed(F.col("auc"), four))
+    score = fixed(F.col("auc"), four)
+    auc = F.concat(F.lit("AUC-ROC: "), score) if own else F.concat(F.lit("AUC-ROC score "), shown, F.lit(": "), score)
     accuracy_line = F.concat(F.lit("Accuracy "), name, F.lit(": "), fixed(F.col("accuracy"), four))
-    matrix_title = F.concat(F.lit("Confusion Matrix ("), name, F.lit("):"))
+
+    matrix = confusion_matrix(scored, classes, restrict=False, keys=keys)
+    if not own:
+        restricted = confusion_matrix(scored, classes, restrict=True, keys=keys).where(~of_base)
+        matrix = matrix.where(of_base).unionByName(restricted)
+    overlaps = matrix.groupBy(*keys).agg(F.max(F.col("y").isNotNull()).alias("overlaps"))
+    facts = facts.join(overlaps, keys, "left")
+    matrix_title = F.lit("Confusion Matrix:") if own else F.concat(F.lit("Confusion Matrix "), shown, F.lit(":"))
+    none = F.lit(" " + NO_OVERLAP.format(base=base))
+    matrix_title = F.concat(matrix_title, F.when(F.coalesce("overlaps", F.lit(False)), F.lit("")).otherwise(none))
 
     def part(number: int, frame: DataFrame) -> DataFrame:
         return frame.select(*keys, F.lit(number).alias("part"), "line_no", "line")
 
-    def single(number: int, text: Column) -> DataFrame:
-        return part(number, facts.select(*keys, F.lit("0").alias("line_no"), text.alias("line")))
+    def single(number: int, text: Column, when: Column | None = None, times: int = 1) -> DataFrame:
+        rows = facts if when is None else facts.where(when)
+        numbered = rows.select(*keys, F.explode(F.array(*[F.lit(str(i)) for i in range(times)])).alias("line_no"), text.alias("line"))
+        return part(number, numbered)
 
-    matrix = confusion_matrix(scored, classes, restrict=False, keys=keys)
-    if protocol != "own":
-        restricted = confusion_matrix(scored, classes, restrict=True, keys=keys).where(~of_base)
-        matrix = matrix.where(of_base).unionByName(restricted)
+    blank, has_auc = F.lit(""), F.col("auc").isNotNull()
     pieces = [
-        single(0, head[0]),
+        single(0, head),
         part(1, _report_lines(scored, keys)),
-        single(2, matrix_title),
-        part(3, _matrix_lines(matrix, keys, base or "")),
-        single(4, auc).where(F.col("line").isNotNull()),
-        single(5, accuracy_line),
-        single(6, F.lit("")),
+        single(2, blank, F.lit(not own)),
+        single(3, matrix_title),
+        part(4, _matrix_lines(matrix.where(F.col("y").isNotNull()), keys, base or "")),
+        single(5, blank, has_auc & F.lit(not own)),
+        single(6, auc, has_auc),
     ]
+    if own:
+        pieces.append(single(7, blank, times=2))
+    elif transfer:
+        pieces.append(single(7, blank, of_base))
     lines = pieces[0]
     for piece in pieces[1:]:
         lines = lines.unionByName(piece)
@@ -179,31 +194,32 @@ def report_lines(
         listed = F.when(rank > 0, F.lpad(rank.cast("string"), 6, "0")).otherwise(F.concat(F.lit("x"), F.col(col)))
         return F.when(first, F.lit("")).otherwise(listed)
 
-    titles = lines.where(F.col("part") == 0).select("model_set", "run").distinct()
+    ordered = ["run", "set_place", "eval_place", "part", "line_no", "line"]
+    whole = lines.select(
+        "run", place("model_set", F.lit(False)).alias("set_place"), place("eval_set", of_base).alias("eval_place"),
+        "part", "line_no", "line",
+    )
     run_title = F.concat(F.lit("=== Run "), (F.col("run") + 1).cast("string"))
-    if protocol in ("mix", "fraction"):
-        run_title = F.concat(run_title, F.lit(" met extra dataset: "), F.col("model_set"), F.lit(" ==="))
-    else:
-        run_title = F.concat(run_title, F.lit(" Evaluaties ==="))
-        titles = titles.groupBy("run").agg(F.lit("").alias("model_set"))
-    heads = titles.select(
-        "run",
-        place("model_set", F.col("model_set") == "").alias("set_place"),
-        F.lit("").alias("eval_place"),
-        F.lit(-1).alias("part"),
-        F.lit("0").alias("line_no"),
-        run_title.alias("line"),
-    )
-    base_first = of_base if base is not None else F.lit(False)
-    body = lines.select(
-        "run",
-        place("model_set", F.lit(False)).alias("set_place"),
-        place("eval_set", F.coalesce(base_first, F.lit(False))).alias("eval_place"),
-        "part",
-        "line_no",
-        "line",
-    )
-    return heads.unionByName(body)
+    sets = facts.select("run", "model_set").distinct()
+    if own:
+        text = F.concat(run_title, F.lit(" Evaluaties ==="))
+        titles = sets.select("run", blank.alias("set_place"), blank.alias("eval_place"), F.lit(-1).alias("part"), F.lit("0").alias("line_no"), text.alias("line"))
+        whole = whole.unionByName(titles.distinct().select(ordered))
+    elif not transfer:
+        placed = sets.withColumn("set_place", place("model_set", F.lit(False)))
+        firsts = placed.groupBy("run").agg(F.min("set_place").alias("first"))
+        text = F.concat(run_title, F.lit(" met extra dataset: "), F.col("model_set"), F.lit(" ==="))
+        above = F.when(F.col("set_place") == F.col("first"), F.array(blank, blank, text, blank)).otherwise(F.array(blank, text, blank))
+        titles = placed.join(firsts, "run").select("run", "set_place", F.posexplode(above).alias("line_no", "line"))
+        titles = titles.withColumns({"eval_place": blank, "part": F.lit(-1), "line_no": F.col("line_no").cast("string")})
+        whole = whole.unionByName(titles.select(ordered))
+    if protocol == "mix":
+        after = facts.select(
+            "run", place("model_set", F.lit(False)).alias("set_place"), F.lit("~").alias("eval_place"), F.lit(8).alias("part"),
+            place("eval_set", of_base).alias("line_no"), accuracy_line.alias("line"),
+        )
+        whole = whole.unionByName(after)
+    return whole
 
 
 def mix_summary_lines(metrics: DataFrame, base: str) -> DataFrame:

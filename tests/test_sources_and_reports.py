@@ -82,9 +82,12 @@ def test_metrics_round_trip(spark, tmp_path):
     assert back.where("model = 'RF'").first().value == 0.75 and back.count() == 2
 
 
-# A published run report (three classes, one of them without support), apart from the names of the datasets.
-EXPECTED = """\
+# Parts of two published run reports, apart from the names of the datasets.
+EXPECTED_MIX = """\
+
+
 === Run 10 met extra dataset: SecondHospital ===
+
 --- Evaluatie op base testset ---
               precision    recall  f1-score   support
 
@@ -96,13 +99,12 @@ EXPECTED = """\
    macro avg       0.60      0.59      0.60        90
 weighted avg       0.90      0.89      0.89        90
 
+
 Confusion Matrix (base):
           Negatief  Neutraal  Positief
 Negatief        40         0         5
 Neutraal         0         0         0
 Positief         4         1        40
-Accuracy base: 0.8889
-
 --- Evaluatie op SecondHospital (externe testset) ---
               precision    recall  f1-score   support
 
@@ -114,24 +116,58 @@ Accuracy base: 0.8889
    macro avg       0.65      0.58      0.58       211
 weighted avg       0.75      0.72      0.72       211
 
+
 Confusion Matrix (SecondHospital):
           Negatief  Neutraal  Positief
 Negatief        25         3        13
 Neutraal        14         8         5
 Positief        23         1       119
+Accuracy base: 0.8889
 Accuracy SecondHospital: 0.7204
+"""
+EXPECTED_OWN = """\
+=== Run 1 Evaluaties ===
+--- Evaluatie SecondHospital (70/30 split) ---
+              precision    recall  f1-score   support
+
+    Negatief       0.50      0.41      0.45        17
+    Neutraal       1.00      0.08      0.15        12
+    Positief       0.75      0.92      0.83        62
+
+    accuracy                           0.71        91
+   macro avg       0.75      0.47      0.48        91
+weighted avg       0.74      0.71      0.67        91
+
+Confusion Matrix:
+          Negatief  Neutraal  Positief
+Negatief         7         0        10
+Neutraal         2         1         9
+Positief         5         0        57
+
 
 """
 
 
-def test_run_report_reads_as_published(spark, tmp_path):
+def _written(lines, path):
+    write_lines(lines, str(path))
+    files = list(path.glob("run=*/*.txt"))
+    assert len(files) == 1
+    return files[0].read_text()
+
+
+def test_mix_report_reads_as_published(spark, tmp_path):
     base = scored_from(spark, LABELS, [[40, 0, 5], [0, 0, 0], [4, 1, 40]], 9, "base")
     other = scored_from(spark, LABELS, [[25, 3, 13], [14, 8, 5], [23, 1, 119]], 9, "SecondHospital")
     scored = base.unionByName(other).withColumn("model_set", F.lit("SecondHospital"))
     classes = spark.createDataFrame([("SecondHospital", 9, LABELS)], "model_set string, run int, classes array<string>")
-    write_lines(report_lines(scored, classes, "mix", "base"), str(tmp_path / "report"))
-    files = list((tmp_path / "report").glob("run=9/*.txt"))
-    assert len(files) == 1 and files[0].read_text() == EXPECTED
+    assert _written(report_lines(scored, classes, "mix", "base"), tmp_path / "report") == EXPECTED_MIX
+
+
+def test_own_report_reads_as_published(spark, tmp_path):
+    scored = scored_from(spark, LABELS, [[7, 0, 10], [2, 1, 9], [5, 0, 57]], 0, "SecondHospital")
+    scored = scored.withColumn("model_set", F.lit("SecondHospital"))
+    classes = spark.createDataFrame([("SecondHospital", 0, LABELS)], "model_set string, run int, classes array<string>")
+    assert _written(report_lines(scored, classes, "own"), tmp_path / "report") == EXPECTED_OWN
 
 
 def test_report_of_disjoint_labels_and_binary_auc(spark):
@@ -140,5 +176,6 @@ def test_report_of_disjoint_labels_and_binary_auc(spark):
     classes = spark.createDataFrame([("base", 0, ["A", "B"])], "model_set string, run int, classes array<string>")
     lines = [r.line for r in report_lines(scored, classes, "transfer", "base").orderBy("eval_place", "part", "line_no").collect()]
     assert "AUC-ROC score (base): 1.0000" in lines
-    assert "Geen overlappende klassen met base." in lines
-    assert not any(line.startswith("AUC-ROC score (x)") for line in lines)
+    assert lines[0] == "=== EVALUATIE OP BASE TESTDATA ===" and "--- Evaluatie op x (100% test) ---" in lines
+    assert "Confusion Matrix x: \u26a0\ufe0f Geen overlappende klassen met base." in lines
+    assert not any(line.startswith("AUC-ROC score x") for line in lines)
