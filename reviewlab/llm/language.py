@@ -19,6 +19,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,31 @@ def letters_of(token: str) -> str:
     return "".join(LETTERS.findall(token.lower()))
 
 
-def features(letters: str) -> list[int]:
-    """Hash buckets of the whole word and of its character 1- to 4-grams with marked ends."""
-    marked = f"^{letters}$"
-    grams = {marked, *letters}
-    for n in (2, 3, 4):
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+def _buckets_of(values: np.ndarray) -> np.ndarray:
+    mixed = values * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word number, hash bucket) arrays: the whole words, then their character 1- to 4-grams with marked ends.
+
+    All words are hashed together: they are laid end to end and a gram counts where it stays inside one word.
+    """
+    yield np.arange(len(words)), np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    gram = points
+    for n in (1, 2, 3, 4):
+        if n > 1:
+            gram = gram[:-1] * np.uint64(0x10001B3) + points[n - 1 :]
+        inside = owner[: len(gram)] == owner[n - 1 :]
+        if n == 1:
+            ends = np.cumsum(sizes)
+            inside[ends - sizes] = inside[ends - 1] = False
+        yield owner[: len(gram)][inside], _buckets_of(gram[inside] + np.uint64(n << 40))
 
 
 @dataclass
@@ -69,16 +88,21 @@ class LanguageModel:
     switch: float = 6.0
     strength: float = 0.5
 
-    def token_scores(self, token: str) -> tuple[np.ndarray, int]:
-        """Scores by language (0 for the best) and number of letters."""
-        letters = letters_of(token)
-        if not letters:
-            return np.zeros(len(self.languages), np.float32), 0
-        scores = self.strength * self.logs[features(letters)].sum(axis=0)
-        candidates = self.seen[SCRIPTS.index(script_of(letters[0]))]
-        if candidates.any():
-            scores = np.where(candidates, scores, scores[candidates].max() - 30.0)
-        return np.maximum(scores - scores.max(), -30.0).astype(np.float32), len(letters)
+    def token_scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language (0 for the best) and number of letters of every token."""
+        words = [letters_of(t) for t in tokens]
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        scores = np.zeros((len(words), len(self.languages)))
+        for owner, buckets in features(words):
+            for k in range(scores.shape[1]):
+                scores[:, k] += np.bincount(owner, self.logs[buckets, k], len(words))
+        scores *= self.strength
+        scripts = np.fromiter((SCRIPTS.index(script_of(w[0])) if w else 0 for w in words), np.int64, len(words))
+        out = ~self.seen[scripts] & self.seen.any(axis=1)[scripts, None]
+        scores[out] -= 1e6
+        scores = np.maximum(scores - scores.max(axis=1, keepdims=True, initial=-1e12), -30.0)
+        scores[letters == 0] = 0.0
+        return scores.astype(np.float32), letters
 
 
 def train(docs: DataFrame, smoothing: float = 0.05) -> LanguageModel:
@@ -91,10 +115,15 @@ def train(docs: DataFrame, smoothing: float = 0.05) -> LanguageModel:
         def flush() -> None:
             for lang, counter in words.items():
                 table = tables.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                for token, n in counter.items():
-                    if letters := letters_of(token):
-                        table[features(letters)] += n
-                        table[BUCKETS + SCRIPTS.index(script_of(letters[0]))] += n * len(letters)
+                found = [(w, n) for w, n in ((letters_of(t), n) for t, n in counter.items()) if w]
+                if not found:
+                    continue
+                known, counts = [w for w, _ in found], np.array([n for _, n in found])
+                for owner, buckets in features(known):
+                    table[:BUCKETS] += np.bincount(buckets, counts[owner], BUCKETS).astype(np.int64)
+                scripts = np.array([SCRIPTS.index(script_of(w[0])) for w in known])
+                held = counts * np.fromiter(map(len, known), np.int64, len(known))
+                table[BUCKETS:] += np.bincount(scripts, held, len(SCRIPTS)).astype(np.int64)
             words.clear()
 
         for batch in batches:
@@ -170,26 +199,30 @@ class _Labeller:
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
 
-    def rows(self, tokens: list[str]) -> np.ndarray:
+    def learn(self, tokens: set[str]) -> None:
         known = self.known
-        for token in {t for t in tokens if t not in known}:
-            i = len(known)
-            if i == len(self.letters):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-            self.scores[i], self.letters[i] = self.model.token_scores(token)
-            known[token] = i
-        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+        new = [t for t in tokens if t not in known]
+        first, last = len(known), len(known) + len(new)
+        if last > len(self.letters):
+            room = max(last, 2 * len(self.letters)) - len(self.letters)
+            self.scores = np.concatenate([self.scores, np.zeros((room, self.scores.shape[1]), np.float32)])
+            self.letters = np.concatenate([self.letters, np.zeros(room, np.int64)])
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            end = first + at + len(part)
+            self.scores[first + at : end], self.letters[first + at : end] = self.model.token_scores(part)
+        known.update(zip(new, range(first, last)))
 
     def label(self, texts: list[str | None]) -> Iterator[tuple[str, float, list]]:
         """(language, score, spans of (first token, token after the last, language)) of each text."""
         languages, k = self.model.languages, len(self.model.languages)
         if len(self.known) > CACHED_TOKENS:
             self.reset()
-        split = [self.rows(t.split()) if t and k else np.zeros(0, np.int32) for t in texts]
+        split = [t.split() if t and k else [] for t in texts]
+        self.learn(set(chain.from_iterable(split)))
         lengths = np.array([len(x) for x in split], np.int64)
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        rows = np.concatenate(split)
+        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
         path = viterbi(self.scores, rows, starts, lengths, self.model.switch) if k else np.zeros(0, np.uint8)
         letters = self.letters[rows]
         for start, n in zip(starts.tolist(), lengths.tolist()):
@@ -201,7 +234,8 @@ class _Labeller:
             held = np.bincount(own, weights=weight, minlength=k)
             top = int(held.argmax())
             evidence = self.scores[rows[start : start + n]].sum(axis=0)
-            gap = float(evidence[top] - np.max(np.delete(evidence, top), initial=-1e9))
+            rest = np.r_[evidence[:top], evidence[top + 1 :]]
+            gap = float(evidence[top] - rest.max(initial=-1e9))
             sure = 1.0 / (1.0 + np.exp(-np.clip(gap, -30.0, 30.0)))
             turns = np.flatnonzero(own[1:] != own[:-1]) + 1
             bounds = [0, *turns.tolist(), n]
