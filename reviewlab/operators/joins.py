@@ -3,19 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 32
 
-
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join of ``rows`` with a table that has each ``key`` once; rows without an answer are kept.
 
-    Rows of a key are dealt over ``salts`` tasks by their content, and the narrow answers are repeated as often, so a hot
-    key does not gather in one task and nothing has to be counted first. Adaptive execution broadcasts or splits further
-    where that is cheaper.
+    Only ``rows`` can be skewed, which is the side that adaptive execution splits in a left join, so rows that share a
+    hot key are dealt over many tasks and the answers need no copies.
     """
-    others = [c for c in rows.columns if c != key]
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(spread, [key, "_salt"], "left").drop("_salt")
+    return rows.join(table, key, "left")

@@ -34,8 +34,6 @@ TILE_CELLS = 8_000_000
 SHARED_LIST = 6
 """Length of the candidate list that all runs share, in multiples of k."""
 MAX_TASKS = 16_384
-COPY_SHARE = 0.2
-"""Collapse copies when at least this share of the rows repeats a vector."""
 
 NEIGHBOR_SCHEMA = StructType(
     [
@@ -214,7 +212,6 @@ def nearest_neighbors(
     k: int = 5,
     runs: int = 10,
     block_rows: int | None = None,
-    copy_share: float = COPY_SHARE,
 ) -> DataFrame:
     """The k nearest training rows of every test row, per model set and run, with ``place`` 1..k.
 
@@ -228,14 +225,10 @@ def nearest_neighbors(
         F.count_if(F.col("test_mask") != 0).alias("n_test"),
         F.max(F.size("embedding")).alias("width"),
     ]
-    repeats = (1 - F.approx_count_distinct("embedding") / F.count("*")).alias("repeats")
-    sizes, known = control_rows(points.groupBy("model_set").agg(*parts, repeats))
-    source, collapsed = points, _largest(sizes, known, "repeats") >= copy_share
-    if collapsed:
-        key = F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256)
-        points = points.withColumn("vector_key", key)
-        source = _first_of_copies(points, k, runs)
-        sizes, known = control_rows(source.groupBy("model_set").agg(*parts))
+    key = F.concat_ws("-", F.xxhash64("embedding"), F.xxhash64(F.lit("second"), "embedding"))
+    points = points.withColumn("vector_key", key)
+    source = _first_of_copies(points, k, runs)
+    sizes, known = control_rows(source.groupBy("model_set").agg(*parts))
     full = block_rows or max(SMALL_BLOCK_ROWS, BLOCK_BYTES // (4 * max(1, int(_largest(sizes, known, "width")))))
     cores = points.sparkSession.sparkContext.defaultParallelism
     n_train, n_test, train_blocks = F.col("n_train"), F.col("n_test"), F.ceil(F.col("n_train") / full)
@@ -264,8 +257,6 @@ def nearest_neighbors(
     if _largest(blocks, shape, "train_block_count") > 1:
         order = Window.partitionBy("model_set", "run", "row_id").orderBy("distance", "neighbor_id")
         best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    if not collapsed:
-        return best
     # Each answer belongs to the first of a group of equal test vectors; hand it to all of them.
     group = F.concat_ws(":", "vector_key", "model_set").alias("group")
     keyed = points.select("model_set", "row_id", group)

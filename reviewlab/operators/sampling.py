@@ -23,8 +23,6 @@ from reviewlab.session import control_rows, control_table
 RUNS = 10
 BASE_SEED = 42
 MAX_RUNS = 62
-DIRECT_RANK_ROWS = 200_000
-"""A class up to this size is ranked directly; a larger one goes through the prefix histogram."""
 PREFIX_DIGITS = 4
 
 
@@ -98,26 +96,21 @@ def _cut_points(
     row_id: str,
     runs: int,
     base_seed: int,
-    largest: int,
-    direct_rows: int,
 ) -> DataFrame:
     """The last training row of every class and run, in hash order."""
     strata = [*by, label]
     wanted = quotas.where((F.col("quota") > 0) & (F.col("quota") < F.col("n"))).select(*strata, "n", "quota")
     draws = with_runs(keys, runs, base_seed).withColumn("h", _hash(F.col("seed"), F.col(row_id))).drop("seed")
-    if largest <= direct_rows:
-        near = draws.join(wanted, strata).withColumn("need", F.col("quota"))
-    else:
-        prefix = F.substring("h", 1, PREFIX_DIGITS).alias("prefix")
-        histogram = draws.groupBy(*strata, "run", prefix).agg(F.count("*").alias("here"))
-        upto = Window.partitionBy(*strata, "run").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-        cells = (
-            histogram.withColumn("upto", F.sum("here").over(upto))
-            .join(wanted, strata)
-            .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("here") < F.col("quota")))
-            .select(*strata, "run", "prefix", (F.col("quota") - F.col("upto") + F.col("here")).alias("need"))
-        )
-        near = draws.withColumn("prefix", prefix).join(control_table(cells), [*strata, "run", "prefix"])
+    prefix = F.substring("h", 1, PREFIX_DIGITS).alias("prefix")
+    histogram = draws.groupBy(*strata, "run", prefix).agg(F.count("*").alias("here"))
+    upto = Window.partitionBy(*strata, "run").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    cells = (
+        histogram.withColumn("upto", F.sum("here").over(upto))
+        .join(wanted, strata)
+        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("here") < F.col("quota")))
+        .select(*strata, "run", "prefix", (F.col("quota") - F.col("upto") + F.col("here")).alias("need"))
+    )
+    near = draws.withColumn("prefix", prefix).join(control_table(cells), [*strata, "run", "prefix"])
     order = Window.partitionBy(*strata, "run").orderBy("h", row_id)
     return (
         near.withColumn("place", F.row_number().over(order))
@@ -150,7 +143,6 @@ def split_with_quotas(
     base_seed: int = BASE_SEED,
     test_fraction: float | str = "0.3",
     sizes: DataFrame | None = None,
-    direct_rows: int = DIRECT_RANK_ROWS,
 ) -> Split:
     """Split every group of ``df`` by class, for all runs.
 
@@ -165,9 +157,8 @@ def split_with_quotas(
         n_train = train_rows_for_test_fraction(F.col("n_group"), test_fraction)
     sizes = group_sizes(df, by, label) if sizes is None else sizes
     quotas, rows = control_rows(allocate_quota(sizes.withColumn("n_train", n_train), by, label))
-    largest = max(rows["n"].to_pylist(), default=0) if rows is not None else quotas.agg(F.max("n")).first()[0]
     keys = df.select(*strata, row_id)
-    cuts = _cut_points(keys, quotas, by, label, row_id, runs, base_seed, largest, direct_rows)
+    cuts = _cut_points(keys, quotas, by, label, row_id, runs, base_seed)
     cut = [F.max(F.when(F.col("run") == run, F.struct("h", row_id))).alias(f"cut_{run}") for run in range(runs)]
     marks = control_table(
         quotas.select(*strata, "n", "quota").join(cuts.groupBy(*strata).agg(*cut), strata, "left")

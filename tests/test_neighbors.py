@@ -31,11 +31,11 @@ def _spark(found):
     return {key: [x[1:] for x in sorted(rows)] for key, rows in got.items()}
 
 
-@pytest.mark.parametrize("block_rows, copy_share", [(None, 2.0), (16, 2.0), (16, 0.0), (None, 0.0)])
+@pytest.mark.parametrize("block_rows", [None, 16])
 @pytest.mark.parametrize("protocol", ["own", "mix"])
-def test_neighbors_equal_brute_force(points, protocol, block_rows, copy_share):
+def test_neighbors_equal_brute_force(points, protocol, block_rows):
     folds = make_folds(points, protocol, None if protocol == "own" else "base", RUNS).rows.cache()
-    got = _spark(nearest_neighbors(folds, 5, RUNS, block_rows, copy_share))
+    got = _spark(nearest_neighbors(folds, 5, RUNS, block_rows))
     want = _brute(folds, 5)
     assert set(got) == set(want)
     for key, near in want.items():
