@@ -1,6 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
-Every text gives a vector of shares and counts on logit and log scales. Class moments over all labelled rows are summed
+Every text gives, in one pass, a vector of shares and counts on logit and log scales; training and scoring read these
+vectors, never the texts again. Class moments over all labelled rows are summed
 in Spark (one cell per row, so the driver sees a few hundred numbers whatever the input), shrunk towards the pooled
 diagonal, and factorised once; a score is the logistic of the difference of the two Gaussian log densities, computed
 from Mahalanobis distances with the cached Cholesky factors.
@@ -101,22 +102,38 @@ class QuadraticDiscriminant:
         return 1.0 / (1.0 + np.exp(np.clip(densities[0] - densities[1], -500, 500)))
 
 
+def with_statistics(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, the carried columns and ``statistics`` of every row. One pass over the texts, no shuffle."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([statistics(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64()))
+            yield pa.record_batch([*batch.columns[1:], found], names=[*batch.schema.names[1:], "statistics"])
+
+    rows = keyed(docs, *carry).select("text", "doc_id", *carry)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(compute, f"{fields}statistics array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
+
+
 def train(labelled: DataFrame, shrinkage: float = 0.1, ridge: float = 1e-3) -> QuadraticDiscriminant:
-    """Fits on every row of ``labelled`` (text, label 0/1; other labels are left out)."""
+    """Fits on every row of ``labelled`` (statistics, label 0/1; other labels are left out)."""
     d = len(STATISTICS)
     width = 1 + d + d * d
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, width))
         for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
-            x = np.array([statistics(t.as_py()) for t in batch.column(0)]).reshape(-1, d)
+            labels, x = batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(0))
             for c in (0, 1):
                 own = x[labels == c]
                 sums[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         yield pa.record_batch([pa.array(np.arange(2 * width), pa.int32()), pa.array(sums.ravel())], names=["cell", "value"])
 
-    rows = labelled.select(F.col("text").cast("string"), F.col("label").cast("int")).where("label IN (0, 1)")
+    rows = labelled.select("statistics", F.col("label").cast("int")).where("label IN (0, 1)")
     cells = np.zeros(2 * width)
     for row in rows.mapInArrow(moments, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("v")).collect():
         cells[row["cell"]] = row["v"]
@@ -125,16 +142,14 @@ def train(labelled: DataFrame, shrinkage: float = 0.1, ridge: float = 1e-3) -> Q
     return QuadraticDiscriminant.from_moments(cells[:, 0], cells[:, 1 : 1 + d], products, shrinkage, ridge)
 
 
-def score_quality(docs: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
-    """doc_id, score and the statistics that it rests on. One pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_quality(measured: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
+    """doc_id, score of rows with ``statistics``."""
+    shared = measured.sparkSession.sparkContext.broadcast(model)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array([statistics(t.as_py()) for t in batch.column(1)])
-            columns = [batch.column(0), pa.array(shared.value.scores(x)), pa.array(list(x), pa.list_(pa.float64()))]
-            yield pa.record_batch(columns, names=["doc_id", "score", "statistics"])
+            if batch.num_rows:
+                scores = pa.array(shared.value.scores(_matrix(batch.column(1))))
+                yield pa.record_batch([batch.column(0), scores], names=["doc_id", "score"])
 
-    return keyed(docs).mapInArrow(compute, "doc_id bigint, score double, statistics array<double>")
+    return measured.select("doc_id", "statistics").mapInArrow(compute, "doc_id bigint, score double")

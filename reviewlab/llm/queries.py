@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlab.llm import decontaminate, fingerprints, language, lines, packing, quality, repeats, sharding, simhash, toxicity
 from reviewlab.llm.common import documents, fold
+from reviewlab.session import durable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = 40
@@ -29,19 +30,24 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, column: str, docs: DataFrame) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str, column: str, features: DataFrame) -> DataFrame:
+    """Features of the rows with a label. Labels grow with the corpus, so neither side is ever broadcast."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(column).alias("label"))
-    return docs.select("doc_id", "text").join(labels.where("label IS NOT NULL"), "doc_id")
+    return features.join(labels.where("label IS NOT NULL").hint("merge"), "doc_id")
 
 
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    model = quality.train(_labelled(spark, sf_dir, "quality", docs.where(fold(5) != 0)))
-    scored = quality.score_quality(docs, model)
+    measured = durable(quality.with_statistics(documents(spark, sf_dir)))
+    model = quality.train(_labelled(spark, sf_dir, "quality", measured.where(fold(5) != 0)))
+    scored = quality.score_quality(measured, model)
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", predicted)
 
 
+def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir), [1.0] * SHARDS)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -54,10 +60,6 @@ def op7_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", predicted)
 
 
-def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(documents(spark, sf_dir), [1.0] * SHARDS)
-
-
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(documents(spark, sf_dir), min_chars=40, min_docs=5).drop("gone_words")
 
