@@ -31,7 +31,7 @@ from reviewlab.operators.weights import with_weights
 from reviewlab.session import control_rows
 
 MODEL_LIMIT = 10_000
-FIT_SHARDS = 16
+FIT_SHARDS = 2
 """Default number of hash shards that a fit's rows are put in. It fixes the layout, on which a forest's draws depend, for
 every cluster and input size; give ``shards`` in proportion to the cluster for large fits."""
 

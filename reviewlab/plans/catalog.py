@@ -476,13 +476,37 @@ def embed_cached_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(model, runs: int = RUNS, protocol: str = "own", base: str | None = None) -> Query:
+    """Fit and score over all runs; every test row with its checks.
+
+    ``label_known``: the predicted label is a class of its model; ``score_fits``: there is a score in [0, 1] just where the
+    model has two classes; ``argmax_agrees``: that score points to the label (left out where margins decide the label).
+    """
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folds = make_folds(_text_points(spark, sf_dir), protocol, base, runs).stored()
-        return _plain(model.score(folds).select("model_set", "eval_set", "run", "row_id", "y", "yhat", "score"))
+        rows = model.score(folds).join(folds.classes, ["model_set", "run"], "left")
+        score, two = F.col("score"), F.size("classes") == 2
+        second = F.col("yhat") == F.get("classes", F.lit(1))
+        agrees = ~two | (F.abs(score - 0.5) < 1e-6) | ((score > 0.5) == second)
+        checks = {
+            "label_known": F.coalesce(F.array_contains("classes", F.col("yhat")), F.lit(False)),
+            "score_fits": F.when(two, F.coalesce(score.between(0, 1), F.lit(False))).otherwise(score.isNull()),
+            "argmax_agrees": F.coalesce(agrees, F.lit(False)),
+        }
+        if model.name == "SVM":
+            del checks["argmax_agrees"]
+        columns = [check.alias(name) for name, check in checks.items()]
+        return _plain(rows.select("model_set", "eval_set", "run", "row_id", "y", *columns))
 
     return query
 
 
+def own_train_knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour votes over the hashed texts."""
+    folds = make_folds(_text_points(spark, sf_dir), "own", None, RUNS).stored()
+    return _plain(Knn().score(folds).select("model_set", "eval_set", "run", "row_id", "y", "yhat", "score"))
+
+
 def compare_fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of several model kinds over the reviews, own-train, ten runs."""
     folds = make_folds(_text_points(spark, sf_dir), "own", None, RUNS).stored()
@@ -559,6 +583,6 @@ QUERIES: dict[str, Query] = {
     "fit_densenet_early_stopping": _fitted(plain_network()),
     "fit_logreg_adam": _fitted(adam_logistic()),
     "transfer_logreg": _fitted(SparkClassifier("REGRESSION"), protocol="transfer", base="en"),
-    "own_train_knn_text": _fitted(Knn(), runs=RUNS),
+    "own_train_knn_text": own_train_knn_text,
     "compare_fitted_models": compare_fitted_models,
 }

@@ -257,6 +257,14 @@ def _split_rows(n_train: str) -> str:
     return f"{_with(CLEAN, split('reviews', 'sentiment', n_train))} SELECT dataset, row_id, run, part FROM split"
 
 
+def _fit_rows(protocol: str = "own", base: str = "base", argmax: bool = True) -> str:
+    """Every test row of every run; the checks of a fit must all hold."""
+    agrees = ", true AS argmax_agrees" if argmax else ""
+    return f"""{_with(CLEAN, folds(protocol, "reviews", "sentiment", base))}
+SELECT model_set, eval_set, run, row_id, label AS y, true AS label_known, true AS score_fits{agrees}
+FROM folds WHERE part = 'test'"""
+
+
 _WORDS = "[w FOR w IN regexp_split_to_array(lower(review), '[^\\p{L}\\p{N}]+') IF w <> '']"
 _ALL_TEXTS = f"texts AS (SELECT doc_id AS row_id, replace(trim(text, {SPACES}), '\"\"\"', '') AS review FROM documents)"
 
@@ -493,4 +501,15 @@ SELECT sha256(text) AS content_key, any_value(length(text)) AS n_chars FROM docu
     "embed_cached_lookup": f"""WITH {_ALL_TEXTS}, {_buckets("texts", 16)}
 SELECT t.row_id, sha256(t.review) AS content_key, b.place, count(*)::DOUBLE AS value
 FROM texts t JOIN buckets b ON t.row_id = b.row_id GROUP BY t.row_id, sha256(t.review), b.place""",
+    "fit_rf": _fit_rows(),
+    "fit_rf_depth_15": _fit_rows(),
+    "fit_dt": _fit_rows(),
+    "fit_logreg": _fit_rows(),
+    "fit_logreg_one_vs_rest": _fit_rows(),
+    "fit_svm": _fit_rows(argmax=False),
+    "fit_densenet": _fit_rows(),
+    "fit_densenet_weighted": _fit_rows(),
+    "fit_densenet_early_stopping": _fit_rows(),
+    "fit_logreg_adam": _fit_rows(),
+    "transfer_logreg": _fit_rows("transfer", "en"),
 }
