@@ -32,6 +32,9 @@ HEADLINES = (
     "fit_logreg",
     "fit_dt",
     "fit_densenet",
+    "fit_densenet_early_stopping",
+    "run_metrics",
+    "report_lines",
 )
 
 

@@ -97,6 +97,11 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_rare_class(_long_enough(spark, sf_dir))
 
 
+def _review_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews without their texts: one read of the documents, whatever is counted, split and marked afterwards."""
+    return drop_rare_class(durable(_long_enough(spark, sf_dir).select("dataset", "row_id", "sentiment")))
+
+
 def _text_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(_reviews(spark, sf_dir), HashedTfEmbedder()).select(
         "dataset", "row_id", F.col("sentiment").alias("label"), "embedding"
@@ -169,27 +174,27 @@ def _parts(df: DataFrame) -> DataFrame:
 
 
 def strat_split_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(stratified_split(_reviews(spark, sf_dir), runs=RUNS, test_fraction="0.3"))
+    return _parts(stratified_split(_review_keys(spark, sf_dir), runs=RUNS, test_fraction="0.3"))
 
 
 def strat_split_80(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(stratified_split(_reviews(spark, sf_dir), runs=RUNS, test_fraction="0.8"))
+    return _parts(stratified_split(_review_keys(spark, sf_dir), runs=RUNS, test_fraction="0.8"))
 
 
 def strat_sample_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed number of training rows, or 90 % where a dataset has no more rows than that."""
     target = train_rows_for_target(F.col("n_group"), F.lit(50))
-    return _parts(stratified_split(_reviews(spark, sf_dir), n_train=target, runs=RUNS))
+    return _parts(stratified_split(_review_keys(spark, sf_dir), n_train=target, runs=RUNS))
 
 
 def quota_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = group_sizes(_reviews(spark, sf_dir), ["dataset"])
+    sizes = group_sizes(_review_keys(spark, sf_dir), ["dataset"])
     n_train = train_rows_for_test_fraction(F.col("n_group"), "0.3")
     return _plain(allocate_quota(sizes.withColumn("n_train", n_train), ["dataset"]))
 
 
 def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(with_runs(_reviews(spark, sf_dir).select("dataset", "row_id"), RUNS))
+    return _plain(with_runs(_review_keys(spark, sf_dir).select("dataset", "row_id"), RUNS))
 
 
 def _fold_parts(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
@@ -212,7 +217,7 @@ def transfer_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_fallback_90_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 70:30 mix over reviews, where the small datasets fall back to a 90:10 split."""
-    points = _reviews(spark, sf_dir).select("dataset", "row_id", F.col("sentiment").alias("label"))
+    points = _review_keys(spark, sf_dir).select("dataset", "row_id", F.col("sentiment").alias("label"))
     parts = explode_runs(make_folds(points, "mix", "en", RUNS).rows, RUNS)
     return _plain(parts.select("model_set", "eval_set", "row_id", "label", "run", "part"))
 

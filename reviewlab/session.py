@@ -16,6 +16,9 @@ CONTROL_ROWS = 100_000
 """Most rows a control table (class counts, cut points, class lists) may have to be held by the driver."""
 
 
+LOCAL_FOLDER = "reviewlab.local.folder"
+
+
 def get_session(app: str = "reviewlab", master: str | None = None, **conf: object) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -38,13 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary folder, removed at exit, stands in only when that is unset and the session runs in local mode.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get(LOCAL_FOLDER, None)
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="reviewlab-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+        spark.conf.set(LOCAL_FOLDER, folder)
     return folder
 
 
