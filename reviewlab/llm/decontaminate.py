@@ -28,25 +28,31 @@ from pyspark.sql import functions as F
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
 BLOCK_WORDS = 2_000_000
-CACHED_TOKENS = 500_000
+CACHED_TOKENS = 200_000
 NOT_WORD = re.compile(r"[\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
+class _WordHashes(dict):
+    """Token -> 64-bit hash of its word, 0 if it has no letter or digit."""
+
+    def __missing__(self, token: str) -> int:
+        word = NOT_WORD.sub("", token.lower())
+        found = self[token] = xxhash.xxh64_intdigest(word) | 1 if word else 0
+        return found
+
+
 class WordHasher:
     """64-bit hashes of a text's words; tokens are hashed once per task."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _WordHashes()
 
     def words(self, text: str | None) -> np.ndarray:
-        tokens, known = (text or "").split(), self.known
-        if len(known) > CACHED_TOKENS:
-            known.clear()
-        for token in {t for t in tokens if t not in known}:
-            word = NOT_WORD.sub("", token.lower())
-            known[token] = xxhash.xxh64_intdigest(word) | 1 if word else 0
-        hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        tokens = (text or "").split()
+        if len(self.known) > CACHED_TOKENS:
+            self.known.clear()
+        hashes = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
         return hashes[hashes != 0]
 
 

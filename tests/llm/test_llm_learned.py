@@ -65,14 +65,18 @@ def test_scores_of_awkward_rows(spark, awkward, empty):
     train = spark.createDataFrame(
         [(i, ("clean words in a row " if i % 2 else "JUNK!! ### ") * (i % 7 + 1), i % 2) for i in range(60)], "doc_id bigint, text string, label int"
     )
-    for module, score in ((quality, quality.score_quality), (toxicity, toxicity.score_toxicity)):
-        model = module.train(train)
-        rows = score(awkward, model).collect()
+    for module, features, score in (
+        (quality, quality.with_statistics, quality.score_quality),
+        (toxicity, toxicity.with_terms, toxicity.score_toxicity),
+    ):
+        known, asked = features(train, "label"), features(awkward)
+        model = module.train(known)
+        rows = score(asked, model).collect()
         assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 for r in rows)
         assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
-        assert score(empty, model).collect() == []
-        for few in (train.limit(0), train.where("label = 1"), train.withColumn("label", F.lit(None).cast("int"))):
-            assert len(score(awkward, module.train(few)).collect()) == len(AWKWARD)
+        assert score(features(empty), model).collect() == []
+        for few in (known.limit(0), known.where("label = 1"), known.withColumn("label", F.lit(None).cast("int"))):
+            assert len(score(asked, module.train(few)).collect()) == len(AWKWARD)
 
 
 def test_machine_learns_pairs_that_weights_cannot():
