@@ -50,7 +50,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
             F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "row_key", "pos"
         )
     )
-    common = (
+    # Written out, so that the join below sees its size: broadcast if small, else a shuffle whose hot keys can be split.
+    common = durable(
         lines.groupBy("h1", "h2", "doc_id")
         .agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2")

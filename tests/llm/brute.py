@@ -6,7 +6,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import xxhash
 
 
@@ -96,5 +95,3 @@ def crc32(data):
     return zlib.crc32(data)
 
 
-def frame(rows):
-    return pd.DataFrame(rows)
