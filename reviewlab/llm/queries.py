@@ -53,9 +53,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    model = toxicity.train(_labelled(spark, sf_dir, "toxic", docs.where(fold(3) != 1)), max_fit_rows=16_000)
-    scored = toxicity.score_toxicity(docs, model)
+    hashed = durable(toxicity.with_terms(documents(spark, sf_dir)))
+    model = toxicity.train(_labelled(spark, sf_dir, "toxic", hashed.where(fold(3) != 1)), max_fit_rows=16_000)
+    scored = toxicity.score_toxicity(hashed, model)
     predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", predicted)
 

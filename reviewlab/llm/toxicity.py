@@ -1,6 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are lower-cased words and their first letters. Class counts of all hashed terms over all training rows, summed in
+Terms are lower-cased words and their first letters. One pass hashes the terms of every text; training and scoring read
+these term lists, never the texts again. Class counts of all hashed terms over all training rows, summed in
 Spark, pick the terms that tell the classes apart. On these the machine learns a weight and a factor vector per term,
 so that pairs (an insult with a mention of a group) count beyond the sum of their weights. The fit takes a sample of at
 most about ``max_fit_rows`` training rows, chosen by the hash of the id, which bounds the one task that fits; all rows
@@ -123,16 +124,40 @@ def choose_terms(counts: np.ndarray, rows: np.ndarray, most: int, least_z: float
     return index
 
 
+def with_terms(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, the carried columns and ``terms``, the sorted buckets of every row's text. No shuffle."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = TermHasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                terms = pa.array([hasher.buckets(t.as_py()) for t in part.column(0)], pa.list_(pa.int32()))
+                yield pa.record_batch([*part.columns[1:], terms], names=[*part.schema.names[1:], "terms"])
+
+    rows = keyed(docs, *carry).select("text", "doc_id", *carry)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(compute, f"{fields}terms array<int>")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a list column end to end, and the number of each row."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values, np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+
+
 def train(labelled: DataFrame, max_fit_rows: int = 16_000, max_terms: int = 2_048, rank: int = 4) -> FactorizationMachine:
-    """Fits on ``labelled`` (doc_id, text, label 0/1; other labels are left out)."""
-    rows = labelled.select("doc_id", F.col("text").cast("string"), F.col("label").cast("int")).where("label IN (0, 1)")
+    """Fits on ``labelled`` (doc_id, terms, label 0/1; other labels are left out)."""
+    rows = labelled.select("doc_id", "terms", F.col("label").cast("int")).where("label IN (0, 1)")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, table = TermHasher(), np.zeros((2, BUCKETS + 1), np.int64)
+        table = np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
-            for text, label in zip(batch.column(1), batch.column(2).to_pylist()):
-                table[label, hasher.buckets(text.as_py())] += 1
-                table[label, BUCKETS] += 1
+            labels = batch.column(2).to_numpy(zero_copy_only=False)
+            values, row = _lists(batch.column(1))
+            for label in (0, 1):
+                table[label, :BUCKETS] += np.bincount(values[labels[row] == label], minlength=BUCKETS)
+                table[label, BUCKETS] += (labels == label).sum()
         for label in (0, 1):
             at = np.flatnonzero(table[label])
             columns = [pa.array(np.full(len(at), label), pa.int32()), pa.array(at, pa.int32()), pa.array(table[label][at])]
@@ -152,10 +177,11 @@ def train(labelled: DataFrame, max_fit_rows: int = 16_000, max_terms: int = 2_04
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = TermHasher()
         for batch in batches:
-            found = [shared.value[hasher.buckets(t.as_py())] for t in batch.column(1)]
-            terms = pa.array([x[x >= 0] for x in found], pa.list_(pa.int64()))
+            values, row = _lists(batch.column(1))
+            places = shared.value[values]
+            ends = np.r_[0, np.cumsum(np.bincount(row[places >= 0], minlength=batch.num_rows))]
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places[places >= 0], pa.int64()))
             yield pa.record_batch([batch.column(0), batch.column(2), terms], names=["doc_id", "label", "terms"])
 
     def fit(table: pa.Table) -> pa.Table:
@@ -171,18 +197,19 @@ def train(labelled: DataFrame, max_fit_rows: int = 16_000, max_terms: int = 2_04
     return FactorizationMachine(index, fitted["bias"], np.array(fitted["weights"]), np.array(fitted["factors"]).reshape(-1, rank))
 
 
-def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """doc_id, score. One pass over whole texts, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_toxicity(hashed: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """doc_id, score of rows with ``terms``."""
+    shared = hashed.sparkSession.sparkContext.broadcast(model)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, machine = TermHasher(), shared.value
+        machine = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [machine.index[hasher.buckets(t.as_py())] for t in batch.column(1)]
-            found = [x[x >= 0] for x in found]
-            raw = machine.raw(np.concatenate(found), np.cumsum([len(x) for x in found]))
-            yield pa.record_batch([batch.column(0), pa.array(sigmoid(raw))], names=["doc_id", "score"])
+            values, row = _lists(batch.column(1))
+            places = machine.index[values]
+            ends = np.cumsum(np.bincount(row[places >= 0], minlength=batch.num_rows))
+            scores = pa.array(sigmoid(machine.raw(places[places >= 0], ends)))
+            yield pa.record_batch([batch.column(0), scores], names=["doc_id", "score"])
 
-    return keyed(docs).mapInArrow(compute, "doc_id bigint, score double")
+    return hashed.select("doc_id", "terms").mapInArrow(compute, "doc_id bigint, score double")
