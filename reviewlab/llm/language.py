@@ -19,7 +19,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -218,11 +217,16 @@ class _Labeller:
         languages, k = self.model.languages, len(self.model.languages)
         if len(self.known) > CACHED_TOKENS:
             self.reset()
-        split = [t.split() if t and k else [] for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        lengths = np.array([len(x) for x in split], np.int64)
+        whole = [t or "" for t in texts] if k else [""] * len(texts)
+        unique: set[str] = set()
+        for text in whole:  # split twice, so that only one text's tokens are held at a time
+            unique.update(text.split())
+        self.learn(unique)
+        index = self.known.__getitem__
+        found = [np.fromiter(map(index, text.split()), np.int32) for text in whole]
+        lengths = np.array([len(x) for x in found], np.int64)
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
+        rows = np.concatenate(found)
         path = viterbi(self.scores, rows, starts, lengths, self.model.switch) if k else np.zeros(0, np.uint8)
         letters = self.letters[rows]
         for start, n in zip(starts.tolist(), lengths.tolist()):
