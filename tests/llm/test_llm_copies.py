@@ -125,6 +125,40 @@ def test_edited_passages_are_found(spark):
     assert {r.doc_id for r in repeats.repeated_passages(frame).collect()} == {0, 1, 2}
 
 
+def _meet(a, b):
+    """Whether two texts have a key in common."""
+    hasher, keys = decontaminate.WordHasher(), []
+    for text in (a, b):
+        values = repeats.shingles(hasher.words(text))
+        columns = []
+        for f in range(repeats.HASHES):
+            found = repeats.ranks(values, f)
+            at = np.array(repeats.compact_windows(found, 46), np.int64).reshape(-1, 3)
+            columns.append(((found[at[:, 1]] ^ np.uint64(f)).view(np.int64), np.full(len(at), f), *at[:, [0, 1, 2]].T))
+        keys.append(set(repeats._join_intervals(*map(np.concatenate, zip(*columns)), 46)[0].tolist()))
+    return bool(keys[0] & keys[1])
+
+
+@pytest.mark.parametrize("kind", ["substituted", "inserted"])
+@pytest.mark.parametrize("edits, size", [(1, 50), (2, 100), (3, 150)])
+def test_edited_passages_of_similarity_meet(kind, edits, size):
+    """Brute force knows which pairs reach 0.8; at most one in fifty of them may share no key."""
+    rng, similar, lost = random.Random(size), 0, 0
+    for _ in range(100):
+        passage = rng.choices(WORDS, k=size)
+        edited = list(passage)
+        for _ in range(edits):
+            at = rng.randrange(6, len(edited) - 6)
+            edited[at : at + (kind == "substituted")] = [f"new{rng.random()}"]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (passage, edited))
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        similar += 1
+        one, two = (" ".join([*rng.choices(WORDS, k=rng.randrange(150)), *x, *rng.choices(WORDS, k=80)]) for x in (passage, edited))
+        lost += not _meet(one, two)
+    assert similar >= 20 and lost <= similar / 50
+
+
 def test_compact_windows_cover_every_span():
     rng = np.random.default_rng(2)
     for distinct in (True, False):
