@@ -159,6 +159,15 @@ def test_edited_passages_of_similarity_meet(kind, edits, size):
     assert similar >= 20 and lost <= similar / 50
 
 
+def test_every_passage_of_an_alignment_is_found(spark):
+    head, foot = _text("head", 60), _text("foot", 55)
+    texts = [f"{head} {_text(seed, 200)} {foot}" for seed in ("x", "y")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = repeats.repeated_passages(frame).collect()
+    assert {r.doc_id for r in rows} == {0, 1}
+    assert all([(p["first"], p["after"]) for p in r.passages] == [(0, 60), (260, 315)] for r in rows)
+
+
 def test_compact_windows_cover_every_span():
     rng = np.random.default_rng(2)
     for distinct in (True, False):
