@@ -10,6 +10,12 @@ all pairs, and exact copies are one fingerprint throughout: every class comes ou
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; a null id gets a
 fingerprint and the class of its group, which is named by the smallest id there (null if there is none); rows that
 repeat an id stay rows; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are passed through.
+
+``keep_one_similar`` works on similarity instead of a radius: texts are linked if the Jaccard similarity of their word
+shingles reaches it. Pairs whose numbers of shingles allow it are compared by 128-bit fingerprints within a radius that
+is wide for 0.8 (``WIDE``), all against all, and what is near enough is verified on the shingles themselves. Blocks
+bound nothing at such a radius, so the comparisons grow with the square of the texts of like size; texts that are
+already connected make no pairs. Texts without a word are alike.
 """
 
 from __future__ import annotations
@@ -22,25 +28,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.llm.common import keyed
+from reviewlab.llm.common import arrow_rows, keyed
 from reviewlab.session import durable
 
 TILE = 1_024
 KERNEL = 512
+TIGHT, WIDE = (12, 22), (22, 38)
+"""Most differing bits of the first 64 and of all 128: of links looked for first, and of any pair that is verified."""
+BLOCK_ROWS = 500_000
+SKETCH_ROWS = 1_000
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def simhash(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint of one text: bit set if it is set in over half of the shingle hashes."""
+def shingle_hashes(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of a text, one of all words if there are fewer; none without a word."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII blanks only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest, n = xxhash.xxh64_intdigest, words_per_shingle
     if len(words) <= n:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(n))))
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint: bit set if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype("<u8").view(np.uint8)
@@ -49,6 +63,11 @@ def simhash(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int
     return int.from_bytes(bits.tobytes(), "little")
 
 
+def simhash(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint of one text: bit set if it is set in over half of the shingle hashes."""
+    return majority(shingle_hashes(text, words_per_shingle, seed))
+
+
 def with_fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, row_key (hash of the text, tells rows of one id apart), fp (bigint that holds the 64 bits)."""
 
@@ -227,14 +246,146 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+SKETCH = pa.schema(
+    [("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("n", pa.int32()), ("held", pa.binary())]
+)
+
+
+def with_sketches(docs: DataFrame, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, row_key, fp and fp2 (128 bits), n and held: number and sorted hashes of the distinct shingles."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, held = np.zeros((2, batch.num_rows), np.uint64), [], []
+            for i, text in enumerate(batch.column(1)):
+                distinct = np.unique(shingle_hashes(text.as_py(), words_per_shingle, seed))
+                mixed = (distinct ^ (distinct >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                prints[:, i] = majority(distinct), majority(mixed ^ (mixed >> np.uint64(32)))
+                sizes.append(len(distinct))
+                held.append(distinct.tobytes())
+            columns = [*prints.view(np.int64), sizes, held]
+            columns = [batch.column(0), batch.column(2), *(pa.array(c, f.type) for c, f in zip(columns, list(SKETCH)[2:]))]
+            yield pa.record_batch(columns, schema=SKETCH)
+
+    rows = keyed(docs, row_key("text").alias("row_key"))
+    return rows.mapInArrow(compute, "doc_id bigint, row_key bigint, fp bigint, fp2 bigint, n int, held binary")
+
+
+def _by_size(batch) -> list[np.ndarray]:
+    """row_key, fp, fp2, n, part in order of (n, row_key)."""
+    columns = [batch.column(c).to_numpy() for c in ("row_key", "fp", "fp2", "n", "part")]
+    order = np.lexsort((columns[0], columns[3]))
+    key, fp, fp2, n, part = (c[order] for c in columns)
+    return [key, fp.view(np.uint64), fp2.view(np.uint64), n.astype(np.int64), part]
+
+
+def _similar(left: list, right: list, reach: tuple[int, int], similarity: float, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of different parts, the left before the right in order of (n, row_key); with ``one`` the first of a row."""
+    key, fp, fp2, n, part = left
+    key2, gp, gp2, m, part2 = right
+    for i in range(0, len(key), KERNEL):
+        at = slice(i, i + KERNEL)
+        top = int(np.searchsorted(m, n[at][-1] / similarity + 1e-6, "right"))
+        open_rows = np.ones(len(key[at]), bool)
+        for j in range(int(np.searchsorted(m, n[i], "left")), top, KERNEL):
+            to = slice(j, min(j + KERNEL, top))
+            x, y = np.nonzero(np.bitwise_count(fp[at][:, None] ^ gp[to][None, :]) <= reach[0])
+            x, y = x + i, y + j
+            good = (part[x] != part2[y]) & ((n[x] < m[y]) | ((n[x] == m[y]) & (key[x] < key2[y])))
+            good &= n[x] >= similarity * m[y] - 1e-6
+            x, y = x[good], y[good]
+            good = np.bitwise_count(fp[x] ^ gp[y]).astype(int) + np.bitwise_count(fp2[x] ^ gp2[y]) <= reach[1]
+            x, y = x[good], y[good]
+            if one:
+                x, first = np.unique(x, return_index=True)
+                fresh = open_rows[x - i]
+                x, y = x[fresh], y[first[fresh]]
+                open_rows[x - i] = False
+            if len(x):
+                yield key[x], key2[y]
+
+
+def near_pairs(sketches: DataFrame, reach: tuple[int, int], similarity: float, one: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b: pairs of row_key of different ``part`` that may be similar.
+
+    The sketches are taken in blocks of about ``block_rows``; one block at a time is broadcast and all stream past it.
+    """
+    spark, out = sketches.sparkSession, None
+    blocks = max(1, -(-sketches.count() // block_rows))
+    block = F.pmod(F.xxhash64("row_key", F.lit("block")), F.lit(blocks))
+
+    def finder(shared):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            right = shared.value
+            for batch in batches:
+                for a, b in _similar(_by_size(batch), right, reach, similarity, one) if batch.num_rows else ():
+                    yield pa.record_batch([pa.array(a), pa.array(b)], schema=LINKS)
+
+        return find
+
+    for number in range(blocks):
+        shared = spark.sparkContext.broadcast(_by_size(sketches.where(block == number).toArrow().combine_chunks()))
+        part = durable(sketches.mapInArrow(finder(shared), "a bigint, b bigint"))
+        shared.unpersist()
+        out = part if out is None else out.union(part)
+    return out
+
+
+def similar_links(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingles have at least that Jaccard similarity."""
+    involved = pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct()
+    sets = durable(rows.join(involved, "row_key", "left_semi").select("row_key", "held").dropDuplicates(["row_key"]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("row_key").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
+    with arrow_rows(pairs.sparkSession, SKETCH_ROWS):
+        return durable(pairs.join(one, "a").join(two, "b").select("a", "b", "held_a", "held_b").mapInArrow(compare, "a bigint, b bigint"))
+
+
+def similar_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """doc_id, row_key, root (names the class) for every row: classes of texts linked by shingle similarity.
+
+    Close fingerprints are linked first, one link a text; then every pair not yet connected is looked at.
+    """
+    with arrow_rows(docs.sparkSession, SKETCH_ROWS):
+        rows = durable(with_sketches(docs, words_per_shingle))
+    sketches = durable(rows.select("row_key", "fp", "fp2", "n").distinct())
+    close = near_pairs(sketches.withColumn("part", F.col("row_key")), TIGHT, similarity, True)
+    first = similar_links(close, rows, similarity)
+    roots = connected(first).select(F.col("node").alias("row_key"), F.col("root").alias("part"))
+    parted = durable(sketches.join(roots, "row_key", "left").withColumn("part", F.coalesce("part", "row_key")))
+    links = first.union(similar_links(near_pairs(parted, WIDE, similarity, False), rows, similarity))
+    linked = connected(links).select(F.col("node").alias("row_key"), "root")
+    return rows.select("doc_id", "row_key").join(linked, "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one row left of each class of similar texts, chosen as in ``keep_one``."""
+    return _first_rows(docs, similar_classes(docs, similarity, words_per_shingle))
+
+
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` with one row left of each class: the smallest id's, or the smallest text key's without ids.
+    """The rows of ``docs`` with one row left of each class: the smallest id's, or the smallest text key's without ids."""
+    return _first_rows(docs, classes(docs, radius))
+
+
+def _first_rows(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """The first row of each class.
 
     The narrow table of kept rows is joined back to the texts on (id, text key); rows that repeat both are one row.
     """
     no_id = F.lit(-(1 << 63))
     first = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", no_id).alias("id"), F.col("row_key").alias("text"))
-    kept = classes(docs, radius).groupBy("root").agg(F.min(first).alias("keep")).select("keep.id", "keep.text")
+    kept = classed.groupBy("root").agg(F.min(first).alias("keep")).select("keep.id", "keep.text")
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), no_id).alias("id"),
         row_key("text").alias("text"),

@@ -95,6 +95,37 @@ def test_one_of_each_class_stays(awkward, empty):
     assert simhash.keep_one(empty).collect() == [] and simhash.classes(empty).collect() == []
 
 
+def test_the_near_copies_stage_equals_all_pairs(spark, documents, awkward):
+    """Against all pairs of five-word shingle sets at 0.8, over the table and edited copies down to that similarity."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(8), [*documents, (None, "no id"), (10**6, None), (10**6 + 1, " ")]
+    for n in range(120):
+        words = rng.choices(WORDS, k=rng.choice((25, 60, 100, 300)))
+        edited = list(words)
+        for _ in range(max(1, rng.randrange(len(words) // 40 + 1))):
+            edited[rng.randrange(6, len(words) - 6)] = f"new{n}"
+        rows += [(10**7 + 2 * n, " ".join(words)), (10**7 + 2 * n + 1, " ".join(edited).upper())]
+    split = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+    root = list(range(len(rows)))
+    for j, b in enumerate(sets):
+        for i in range(j):
+            a = sets[i]
+            if 10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    classes = {}
+    for (doc_id, text), r in zip(rows, root):
+        classes.setdefault(r, []).append((doc_id is None, -1 if doc_id is None else doc_id))
+    want = {min(c)[1] for c in classes.values()}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.near_copies(spark, frame, SF).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == want and len(want) < len(rows) - 60
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, awkward, SF).collect()]
+    assert {1, 4, 5, 7, 9} <= {i for i, _ in rows} and not {2, 3, 6, 8, 10} & {i for i, _ in rows}
+
+
 def test_repeated_passages_are_found(spark, documents):
     rows = LLM_QUERIES["op2_repeated_passages"](spark, SF).collect()
     words = {i: [w for w in (re.sub(r"[\W_]+", "", t.lower()) for t in x.split()) if w] for i, x in documents}
