@@ -31,9 +31,9 @@ from reviewlab.operators.weights import with_weights
 from reviewlab.session import control_rows
 
 MODEL_LIMIT = 10_000
-FIT_SHARDS = 2
-"""Default number of hash shards that a fit's rows are put in. It fixes the layout, on which a forest's draws depend, for
-every cluster and input size; give ``shards`` in proportion to the cluster for large fits."""
+SHARD_ROWS = 20_000
+"""Training rows of a hash shard at most, about: a fit's rows are put in ceil(rows / SHARD_ROWS) shards, two at least. The
+layout, on which a forest's draws depend, follows from the rows alone and is the same on every cluster."""
 
 # The settings of the experiments' models. Trees without a depth limit get Spark's deepest.
 SVM_TOLERANCE = 1e-3
@@ -203,6 +203,11 @@ FITS: dict[str, Callable[..., Fitted]] = {
 }
 
 
+def fit_shards(rows: int) -> int:
+    """How many hash shards the training rows of one fit are put in."""
+    return max(2, -(-rows // SHARD_ROWS))
+
+
 def weighted_models(folds: Folds) -> tuple[DataFrame, list[dict]]:
     """The balanced weights as a control table, and per model its class list, their weights and the total weight."""
     weights, known = control_rows(folds.weights, MODEL_LIMIT)
@@ -229,7 +234,7 @@ class SparkClassifier:
     options: dict = field(default_factory=dict)
     label: str | None = None
     threads: int | None = None
-    shards: int = FIT_SHARDS
+    shards: int | None = None
 
     @property
     def name(self) -> str:
@@ -253,8 +258,9 @@ class SparkClassifier:
             else:
                 index = (F.array_position(listed, F.col("label")) - 1).cast("double")
                 train = with_weights(mine.where(in_run("train_mask", run)).withColumn("run", F.lit(run)), weights)
-                shard = F.pmod(F.xxhash64("row_id", F.lit(folds.base_seed)), F.lit(self.shards))
-                train = train.withColumn("label_index", index).repartition(self.shards, shard).sortWithinPartitions("row_id")
+                shards = self.shards or fit_shards(entry["rows"])
+                shard = F.pmod(F.xxhash64("row_id", F.lit(folds.base_seed)), F.lit(shards))
+                train = train.withColumn("label_index", index).repartition(shards, shard).sortWithinPartitions("row_id")
                 given = FitInput(train, classes, entry["total"], folds.base_seed + run)
                 scored = FITS[self.kind](given, **self.options)(test)
             return scored.select(

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlab.operators import classifiers
 from reviewlab.operators.classifiers import SparkClassifier
 from reviewlab.operators.densenet import DenseNet, _forward, _gradient, _layers, _shapes, adam_logistic, transform
 from reviewlab.operators.folds import Folds
@@ -45,6 +46,18 @@ def test_balanced_weights_sum_to_the_rows(folds):
     assert with_weights(rows, weights).agg(F.sum("weight")).first()[0] == pytest.approx(64)
 
 
+def test_fits_read_shards_by_their_rows(easy, monkeypatch):
+    seen = []
+    fit = classifiers.FITS["RT"]
+    monkeypatch.setitem(classifiers.FITS, "RT", lambda given: seen.append((given.rows.count(), given.rows.rdd.getNumPartitions())) or fit(given))
+    SparkClassifier("RT").score(easy)
+    assert [n for _, n in seen] == [2] * RUNS
+    seen.clear()
+    monkeypatch.setattr(classifiers, "SHARD_ROWS", 10)
+    SparkClassifier("RT").score(easy)
+    assert seen and all(n == -(-rows // 10) > 2 for rows, n in seen)
+
+
 MODELS = [
     SparkClassifier("RF", {"trees": 5}),
     SparkClassifier("RF", {"trees": 5, "depth": 15, "weighted": False}),
