@@ -58,6 +58,18 @@ def test_fits_read_shards_by_their_rows(easy, monkeypatch):
     assert seen and all(n == -(-rows // 10) > 2 for rows, n in seen)
 
 
+def test_each_run_of_a_bounded_network_draws_its_own_rows(easy):
+    net = DenseNet(max_fit_rows=40)
+    entries = easy.weights.groupBy("model_set", "run").agg(F.sum("n").alias("n"))
+    drawn = {run: set() for run in range(RUNS)}
+    for r in net.drawn(easy, entries).collect():
+        drawn[r.run].add(r.row_id)
+    train = [{r.row_id for r in easy.rows.where(f"train_mask >> {run} & 1 = 1").collect()} for run in range(RUNS)]
+    both = train[0] & train[1]
+    ours, theirs = drawn[0] & both, drawn[1] & both
+    assert ours and theirs and len(ours & theirs) < 0.7 * min(len(ours), len(theirs))
+
+
 MODELS = [
     SparkClassifier("RF", {"trees": 5}),
     SparkClassifier("RF", {"trees": 5, "depth": 15, "weighted": False}),
