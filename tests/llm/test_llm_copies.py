@@ -190,6 +190,19 @@ def test_edited_passages_of_similarity_meet(kind, edits, size):
     assert similar >= 20 and lost <= similar / 50
 
 
+def test_all_texts_of_a_passage_are_partners_and_frequent_words_hide_none(spark):
+    common, texts = _text("common", 40), [f"{_text(f'a{i}', 70)} {PASSAGE} {_text(f'b{i}', 70)}" for i in range(7)]
+    for i in range(25):
+        texts.append(f"{_text(f'c{i}', 90)} {common} {_text(f'd{i}', 90)}")
+    for i in range(20):
+        passage = f"{_text(f'e{i}', 10)} {common} {_text(f'f{i}', 10)}"
+        texts += [f"{_text(f'{side}{i}', 80)} {passage} {_text(f'{side}{i}+', 80)}" for side in "gh"]
+    rows = {r.doc_id: r for r in repeats.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert rows.keys() == {*range(7), *range(32, 72)}
+    assert all(rows[i].n_links == 6 for i in range(7)) and all(rows[i].n_links == 1 for i in range(32, 72))
+    assert all(rows[i].class_id == rows[i + 1].class_id == i for i in range(32, 72, 2))
+
+
 def test_every_passage_of_an_alignment_is_found(spark):
     head, foot = _text("head", 60), _text("foot", 55)
     texts = [f"{head} {_text(seed, 200)} {foot}" for seed in ("x", "y")]
