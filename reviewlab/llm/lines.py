@@ -1,8 +1,9 @@
 """Line dedup: lines that many documents share stay in one document only. Column expressions only.
 
-Lines are reduced to 128-bit hashes of their keys. A pre-aggregated count finds the keys of enough documents; the
-lines of those keys are range-partitioned by (hash, document, position), which deals a very common line over many
-tasks, sorted by document and position, and streamed: occurrences after the first document leave. What comes out per
+Lines are reduced to 128-bit hashes of their keys. A pre-aggregated count finds the keys of enough documents and the
+document that keeps each; the lines of those keys are range-partitioned by (hash, document, position), which deals a very
+common line over many tasks. The order decides nothing: occurrences outside the keeper leave, row by row, as the aggregate
+already knows it. What comes out per
 document is not text but a sparse keep bitmap: 64 lines to a word, words without dropped lines left out.
 
 Defined results: a null or empty text is one empty line; rows that repeat an id count as one document, each row with
