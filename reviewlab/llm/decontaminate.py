@@ -4,13 +4,13 @@ Each mask selects some positions of a short window of words and ignores the othe
 words at the ignored positions. The seeds of the benchmark are hashed into a sorted table; documents stream past it,
 their seed hashes are looked up, and every hit fixes an alignment of document and item. Along the alignment the longest
 stretch with at least ``similarity`` equal words is found; it counts as a leak from ``min_words`` words on (the whole
-item if that is shorter). The masks together catch every stretch of 13 words with two substitutions and of 15 with three.
+item, judged from end to end, if that is not longer). The masks together catch every stretch of 13 words with two substitutions and of 15 with three.
 
 The benchmark is taken in blocks of at most about ``BLOCK_WORDS`` words. One block's table is broadcast at a time, and
 documents are compared with every block, so neither side's size is limited and documents are never shuffled.
 
-Words are runs of letters and digits of blank-separated tokens, lower-cased. Defined results: null and empty texts, and
-items of fewer words than the shortest mask (five), match nothing; rows that repeat an id are each compared; an empty
+Words are runs of letters and digits of blank-separated tokens, lower-cased. Defined results: null and empty texts
+match nothing; items of under five words match where all their words do; rows that repeat an id are each compared; an empty
 benchmark or table gives no matches; a null item id is kept as null; columns besides those named are passed through.
 """
 
@@ -102,6 +102,7 @@ class SeedTable:
     item: list[np.ndarray]
     place: list[np.ndarray]
     bitmap: np.ndarray
+    blocks: dict | None = None
 
     @classmethod
     def build(cls, items: list[tuple]) -> SeedTable:
@@ -119,9 +120,32 @@ class SeedTable:
             bitmap[all_hashes >> np.uint64(42)] = True
         return cls([i for i, _ in items], words, hashes, item, place, bitmap)
 
+    def short_alignments(self, words: np.ndarray, min_words: int, similarity: float) -> set[tuple[int, int]]:
+        """(item, shift) where an item of at most ``min_words`` words may lie.
+
+        Such an item is cut into one block more than it may have unequal words, so that one block is whole; blocks are
+        found by their first words, five at most.
+        """
+        if self.blocks is None:
+            self.blocks = {}
+            for item, own in enumerate(self.words):
+                if not 0 < len(own) <= min_words:
+                    continue
+                parts = 1 + int((1 - similarity) * len(own) + 1e-9)
+                cuts = [len(own) * k // parts for k in range(parts + 1)]
+                for low, high in zip(cuts, cuts[1:]):
+                    size = min(high - low, len(_MIX))
+                    seed = int(seeds(own[low : low + size], tuple(range(size)), 0)[0])
+                    self.blocks.setdefault(size, {}).setdefault(seed, []).append((item, low))
+        found = set()
+        for size, known in self.blocks.items():
+            for at, seed in enumerate(seeds(words, tuple(range(size)), 0).tolist()):
+                found.update((item, at - low) for item, low in known.get(seed, ()))
+        return found
+
     def matches(self, words: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
         """(item, document start, item start, words, equal words): the best stretch of each alignment that is a leak."""
-        alignments = set()
+        alignments = self.short_alignments(words, min_words, similarity)
         for number, mask in enumerate(MASKS):
             own = seeds(words, mask, number)
             at = np.flatnonzero(self.bitmap[own >> np.uint64(42)])
@@ -137,8 +161,13 @@ class SeedTable:
             theirs = self.words[item]
             first, last = max(0, -shift), min(len(theirs), len(words) - shift)
             equal = theirs[first:last] == words[first + shift : last + shift]
-            start, end = longest_stretch(equal, similarity)
-            if end - start >= min(min_words, len(theirs)) and end > start:
+            if len(theirs) <= min_words:
+                # A short item is judged as a whole, also where its ends differ or lie outside of the document.
+                start, end = 0, len(equal) if equal.sum() >= similarity * len(theirs) - 1e-9 else 0
+            else:
+                start, end = longest_stretch(equal, similarity)
+                end = end if end - start >= min_words else start
+            if end > start:
                 out.append((item, first + start + shift, first + start, end - start, int(equal[start:end].sum())))
         return out
 

@@ -248,6 +248,17 @@ def test_leaks_bear_substitutions_and_awkward_rows(spark, awkward, empty):
     assert decontaminate.without_leaks(awkward, bench.limit(0)).count() == len(AWKWARD)
 
 
+def test_short_items_are_judged_as_a_whole():
+    hasher = decontaminate.WordHasher()
+    for n in range(1, 14):
+        words = _text(f"short{n}", n).split()
+        table = decontaminate.SeedTable.build([(1, " ".join(words))])
+        for gone in range(-1, n):
+            held = [w if k != gone else "other" for k, w in enumerate(words)]
+            found = table.matches(hasher.words(" ".join(["x", "y", *held, "z"])), 13, 0.8)
+            assert bool(found) == (gone < 0 or n >= 5), (n, gone)
+
+
 def test_masks_catch_two_of_thirteen_and_three_of_fifteen():
     from itertools import combinations
 
