@@ -7,16 +7,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType
 
 from reviewlab.functions.scores import argmax_label, binarise, softmax
 from reviewlab.functions.student import paired_p_ten_runs
 from reviewlab.functions.text import cap_tokens, clean_text
-from reviewlab.operators.classifiers import SparkClassifier
+from reviewlab.operators import densenet, linear, trees
 from reviewlab.operators.comparison import compare_models, paired_t, run_summary, welch_t
 from reviewlab.operators.densenet import adam_logistic, plain_network, short_network, weighted_network
 from reviewlab.operators.embedding import (
@@ -59,7 +60,7 @@ from reviewlab.operators.sampling import (
     with_runs,
 )
 from reviewlab.operators.weights import balanced_weights, train_class_counts, with_weights
-from reviewlab.plans.protocols import Knn, accuracy_metrics, make_folds
+from reviewlab.plans.protocols import Knn, accuracy_metrics, make_folds, own_train_eval, retrain_eval
 from reviewlab.session import durable, shared_folder
 from reviewlab.sources.reports import mix_summary_lines, own_summary_lines, report_lines
 from reviewlab.sources.tables import VECTOR_SETS, points_from_embeddings, reviews_from_documents
@@ -480,32 +481,94 @@ def embed_cached_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- fitted models --------------------------------------------------------------------------------
 
 
-def _fitted(model, runs: int = RUNS, protocol: str = "own", base: str | None = None) -> Query:
-    """Fit and score over all runs; every test row with its checks.
+def _text_folds(spark: SparkSession, sf_dir: str, protocol: str = "own", base: str | None = None) -> Folds:
+    return make_folds(_text_points(spark, sf_dir), protocol, base, RUNS).stored()
+
+
+def _scores(rows: DataFrame, digits: int) -> DataFrame:
+    columns = ["model_set", "eval_set", "run", "row_id", "y", "yhat"]
+    return _plain(rows.select(*columns, F.round("score", digits).alias("score")))
+
+
+def _exact_fit(model, digits: int = 6) -> Query:
+    """Fit and score over all runs: labels and scores of every test row, which SQL finds on its own."""
+    return lambda spark, sf_dir: _scores(model.score(_text_folds(spark, sf_dir)), digits)
+
+
+def _stored_fit(model, transform: Callable[[DataFrame, DataFrame], DataFrame], digits: int = 6) -> Query:
+    """Fit on the base, keep the models as files, read them again and score the other datasets with them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folds = _text_folds(spark, sf_dir, "transfer", "en")
+        place = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+        model.fit(folds).write.parquet(place)
+        return _scores(transform(spark.read.parquet(place), folds.rows.where(F.col("test_mask") != 0)), digits)
+
+    return query
+
+
+LEARNED = 0.6
+
+
+def _fitted(model, transform: Callable[[DataFrame, DataFrame], DataFrame], measured: bool = True) -> Query:
+    """Fit once and score over all runs; every test row with its checks.
 
     ``label_known``: the predicted label is a class of its model; ``score_fits``: there is a score in [0, 1] just where the
-    model has two classes; ``argmax_agrees``: that score points to the label (left out where margins decide the label).
+    model has two classes; ``argmax_agrees``: that score points to the label; ``learned``: over the training rows of the
+    model, the share that it gets right, averaged over the classes, is over ``LEARNED`` (a predictor that ignores the rows
+    has 1 / number of classes; not ``measured`` where a model stops before that can be asked of it).
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folds = make_folds(_text_points(spark, sf_dir), protocol, base, runs).stored()
-        rows = model.score(folds).join(folds.classes, ["model_set", "run"], "left")
-        score, two = F.col("score"), F.size("classes") == 2
-        second = F.col("yhat") == F.get("classes", F.lit(1))
-        agrees = ~two | (F.abs(score - 0.5) < 1e-6) | ((score > 0.5) == second)
-        checks = {
-            "label_known": F.coalesce(F.array_contains("classes", F.col("yhat")), F.lit(False)),
-            "score_fits": F.when(two, F.coalesce(score.between(0, 1), F.lit(False))).otherwise(score.isNull()),
-            "argmax_agrees": F.coalesce(agrees, F.lit(False)),
-        }
-        if model.name == "SVM":
-            del checks["argmax_agrees"]
-        columns = [check.alias(name) for name, check in checks.items()]
-        return _plain(rows.select("model_set", "eval_set", "run", "row_id", "y", *columns))
+        folds = _text_folds(spark, sf_dir)
+        models = model.fit(folds)
+        seen = transform(models, folds.rows.withColumn("test_mask", F.col("train_mask")).where(F.col("test_mask") != 0))
+        recall = seen.groupBy("model_set", "run", "y").agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("recall"))
+        learned = recall.groupBy("model_set", "run").agg((F.avg("recall") > LEARNED).alias("learned"))
+        rows = transform(models, folds.rows.where(F.col("test_mask") != 0))
+        rows = rows.join(folds.classes, ["model_set", "run"], "left").join(learned, ["model_set", "run"], "left")
+        checks = [*_label_checks(), _argmax_agrees()]
+        if measured:
+            checks.append(F.coalesce("learned", F.lit(False)).alias("learned"))
+        return _plain(rows.select("model_set", "eval_set", "run", "row_id", "y", *checks))
 
     return query
 
 
+def _label_checks() -> list[Column]:
+    known = F.coalesce(F.array_contains("classes", F.col("yhat")), F.lit(False))
+    fits = F.when(F.size("classes") == 2, F.coalesce(F.col("score").between(0, 1), F.lit(False))).otherwise(F.col("score").isNull())
+    return [known.alias("label_known"), fits.alias("score_fits")]
+
+
+def _argmax_agrees() -> Column:
+    score, second = F.col("score"), F.col("yhat") == F.get("classes", F.lit(1))
+    agrees = (F.size("classes") != 2) | (F.abs(score - 0.5) < 1e-6) | ((score > 0.5) == second)
+    return F.coalesce(agrees, F.lit(False)).alias("argmax_agrees")
+
+
+def fit_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support vector machines of all runs. ``optimal``: the duality gap of every pair of classes, found again from the
+    stored weights and the training rows, is at most a thousandth of the objective."""
+    folds, model = _text_folds(spark, sf_dir), linear.linear_svm()
+    models = model.fit(folds)
+    gaps = model.certificates(models, folds).select("model_set", "run", "classes", (F.col("measure") <= 1e-3).alias("optimal"))
+    rows = linear.transform(models, folds.rows.where(F.col("test_mask") != 0)).join(gaps, ["model_set", "run"], "left")
+    return _plain(rows.select("model_set", "eval_set", "run", "row_id", "y", *_label_checks(), F.coalesce("optimal", F.lit(False)).alias("optimal")))
+
+
+def own_train_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of a tree's accuracy over ten runs, through the own-train protocol."""
+    _, summary, _ = own_train_eval(_text_points(spark, sf_dir), [trees.decision_tree()], [("en", "de")], RUNS)
+    return _plain(summary.where("metric = 'accuracy'").select("model_set", "eval_set", "mean", "std", "runs"))
+
+
+def retrain_mix_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired tests of logistic regression, retrained with a 70:30 mix per external dataset."""
+    _, tests = retrain_eval(_text_points(spark, sf_dir), "en", [linear.softmax_logistic()], RUNS)
+    return _plain(tests.select("a", "b", "model_set", "kind", "mean_difference", "t", "df", "p"))
+
+
 def own_train_knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbour votes over the hashed texts."""
     folds = make_folds(_text_points(spark, sf_dir), "own", None, RUNS).stored()
@@ -515,7 +578,7 @@ def own_train_knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of several model kinds over the reviews, own-train, ten runs."""
     folds = make_folds(_text_points(spark, sf_dir), "own", None, RUNS).stored()
-    models = [Knn(), SparkClassifier("RT"), short_network()]
+    models = [Knn(), trees.decision_tree(), short_network()]
     rows = None
     for model in models:
         part = model.score(folds).withColumn("model", F.lit(model.name))
@@ -577,17 +640,20 @@ QUERIES: dict[str, Query] = {
     "embed_user_model": embed_user_model,
     "embed_distinct_texts": embed_distinct_texts,
     "embed_cached_lookup": embed_cached_lookup,
-    "fit_rf": _fitted(SparkClassifier("RF")),
-    "fit_rf_depth_15": _fitted(SparkClassifier("RF", {"depth": 15, "weighted": False})),
-    "fit_dt": _fitted(SparkClassifier("RT")),
-    "fit_logreg": _fitted(SparkClassifier("REGRESSION")),
-    "fit_logreg_one_vs_rest": _fitted(SparkClassifier("REGRESSION_OVR")),
-    "fit_svm": _fitted(SparkClassifier("SVM")),
-    "fit_densenet": _fitted(short_network()),
-    "fit_densenet_weighted": _fitted(weighted_network()),
-    "fit_densenet_early_stopping": _fitted(plain_network()),
-    "fit_logreg_adam": _fitted(adam_logistic()),
-    "transfer_logreg": _fitted(SparkClassifier("REGRESSION"), protocol="transfer", base="en"),
+    "fit_rf": _fitted(trees.random_forest(), trees.transform),
+    "fit_rf_depth_15": _fitted(trees.random_forest(depth=15, weighted=False), trees.transform),
+    "fit_dt": _exact_fit(trees.decision_tree()),
+    "transfer_dt": _stored_fit(trees.decision_tree(), trees.transform),
+    "own_train_dt": own_train_dt,
+    "fit_logreg": _exact_fit(linear.softmax_logistic(), 4),
+    "fit_logreg_one_vs_rest": _exact_fit(linear.one_vs_rest_logistic(), 4),
+    "transfer_logreg": _stored_fit(linear.softmax_logistic(), linear.transform, 4),
+    "retrain_mix_logreg": retrain_mix_logreg,
+    "fit_svm": fit_svm,
+    "fit_densenet": _fitted(short_network(), densenet.transform),
+    "fit_densenet_weighted": _fitted(weighted_network(), densenet.transform),
+    "fit_densenet_early_stopping": _fitted(plain_network(), densenet.transform, measured=False),
+    "fit_logreg_adam": _fitted(adam_logistic(), densenet.transform, measured=False),
     "own_train_knn_text": own_train_knn_text,
     "compare_fitted_models": compare_fitted_models,
 }

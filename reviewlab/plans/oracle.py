@@ -257,11 +257,10 @@ def _split_rows(n_train: str) -> str:
     return f"{_with(CLEAN, split('reviews', 'sentiment', n_train))} SELECT dataset, row_id, run, part FROM split"
 
 
-def _fit_rows(protocol: str = "own", base: str = "base", argmax: bool = True) -> str:
+def _fit_rows(*checks: str) -> str:
     """Every test row of every run; the checks of a fit must all hold."""
-    agrees = ", true AS argmax_agrees" if argmax else ""
-    return f"""{_with(CLEAN, folds(protocol, "reviews", "sentiment", base))}
-SELECT model_set, eval_set, run, row_id, label AS y, true AS label_known, true AS score_fits{agrees}
+    return f"""{_with(CLEAN, folds("own", "reviews", "sentiment"))}
+SELECT model_set, eval_set, run, row_id, label AS y, {", ".join(f"true AS {check}" for check in checks)}
 FROM folds WHERE part = 'test'"""
 
 
@@ -274,6 +273,166 @@ def _buckets(source: str, width: int) -> str:
 buckets AS (SELECT row_id, ('0x' || substr(md5(word), 1, 7))::BIGINT % {width} AS place FROM words)"""
 
 
+def _hashed_vectors(width: int = 256) -> str:
+    """CTE ``sparse`` (row_id, place, v): the reviews' hashed term counts, scaled to length 1, in single precision."""
+    return f"""{_buckets("reviews", width)},
+tf AS MATERIALIZED (SELECT row_id, place, count(*) AS n FROM buckets GROUP BY row_id, place),
+lengths AS (SELECT row_id, sqrt(sum(n * n)::DOUBLE) AS length FROM tf GROUP BY row_id),
+sparse AS MATERIALIZED (SELECT tf.row_id, place, (n / length)::FLOAT::DOUBLE AS v FROM tf JOIN lengths l ON tf.row_id = l.row_id)"""
+
+
+def _text_folds(protocol: str, base: str) -> tuple[str, ...]:
+    return CLEAN, folds(protocol, "reviews", "sentiment", base), WEIGHTS, _hashed_vectors()
+
+
+def tree_scores(protocol: str = "own", base: str = "base", depth: int = 30, width: int = 256) -> str:
+    """WITH ... ``scored``: one weighted Gini tree per model, a level per step, and what it says of the test rows."""
+    levels = [
+        f"""
+ever AS (SELECT model_set, row_id, bool_or(part = 'train') AS trains FROM folds GROUP BY model_set, row_id),
+x AS MATERIALIZED (
+  SELECT e.model_set, e.row_id, e.trains, p.place, coalesce(s.v, 0) AS v
+  FROM ever e CROSS JOIN (SELECT unnest(range({width})) AS place) p LEFT JOIN sparse s ON s.row_id = e.row_id AND s.place = p.place),
+ends AS (SELECT model_set, place, min(v) AS low, max(v) AS high FROM x WHERE trains GROUP BY model_set, place),
+cells AS (
+  SELECT x.model_set, row_id, x.place, trains,
+         greatest(0, least(1023, floor((v - low) / CASE WHEN high > low THEN high - low ELSE 1 END * 1024))) AS cell
+  FROM x JOIN ends e ON x.model_set = e.model_set AND x.place = e.place),
+bins AS MATERIALIZED (
+  SELECT model_set, row_id, place,
+         least(31, coalesce(sum(trains::INT) OVER (PARTITION BY model_set, place ORDER BY cell RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * 32
+               // sum(trains::INT) OVER (PARTITION BY model_set, place)::BIGINT) AS bin
+  FROM cells),
+class_weights AS (
+  SELECT model_set, run, max(weight) FILTER (label = 'Negatief') AS w0, max(weight) FILTER (label = 'Neutraal') AS w1,
+         max(weight) FILTER (label = 'Positief') AS w2 FROM weights GROUP BY model_set, run),
+state0 AS (SELECT model_set, eval_set, run, row_id, label, part, 1::BIGINT AS node FROM folds)"""
+    ]
+    for i in range(depth):
+        levels.append(f"""
+open{i} AS (
+  SELECT model_set, run, node FROM state{i} WHERE part = 'train' AND node >= {1 << i} GROUP BY ALL HAVING count(DISTINCT label) > 1),
+seen{i} AS (
+  SELECT s.model_set, s.run, s.node, b.place, b.bin, count(*) FILTER (label = 'Negatief') AS n0,
+         count(*) FILTER (label = 'Neutraal') AS n1, count(*) FILTER (label = 'Positief') AS n2
+  FROM state{i} s JOIN open{i} o ON s.model_set = o.model_set AND s.run = o.run AND s.node = o.node
+  JOIN bins b ON b.model_set = s.model_set AND b.row_id = s.row_id WHERE part = 'train' GROUP BY ALL),
+sums{i} AS (
+  SELECT *, sum(n0) OVER before AS l0, sum(n1) OVER before AS l1, sum(n2) OVER before AS l2,
+         sum(n0) OVER whole AS t0, sum(n1) OVER whole AS t1, sum(n2) OVER whole AS t2
+  FROM seen{i}
+  WINDOW before AS (PARTITION BY model_set, run, node, place ORDER BY bin), whole AS (PARTITION BY model_set, run, node, place)),
+mass{i} AS (
+  SELECT s.model_set, s.run, node, place, bin, l0 + l1 + l2 < t0 + t1 + t2 AS splits,
+         coalesce(l0 * w0, 0) AS l0, coalesce(l1 * w1, 0) AS l1, coalesce(l2 * w2, 0) AS l2,
+         coalesce((t0 - l0) * w0, 0) AS r0, coalesce((t1 - l1) * w1, 0) AS r1, coalesce((t2 - l2) * w2, 0) AS r2,
+         coalesce(t0 * w0, 0) AS t0, coalesce(t1 * w1, 0) AS t1, coalesce(t2 * w2, 0) AS t2
+  FROM sums{i} s JOIN class_weights w ON s.model_set = w.model_set AND s.run = w.run),
+best{i} AS MATERIALIZED (
+  SELECT model_set, run, node, place, bin FROM (
+    SELECT *, round(((l0 * l0 + l1 * l1 + l2 * l2) / (l0 + l1 + l2) + (r0 * r0 + r1 * r1 + r2 * r2) / (r0 + r1 + r2)) / (t0 + t1 + t2)
+           - (t0 * t0 + t1 * t1 + t2 * t2) / ((t0 + t1 + t2) * (t0 + t1 + t2)), 9) AS gain
+    FROM mass{i} WHERE splits)
+  WHERE gain > 1e-7 QUALIFY row_number() OVER (PARTITION BY model_set, run, node ORDER BY gain DESC, place, bin) = 1),
+state{i + 1} AS MATERIALIZED (
+  SELECT s.model_set, s.eval_set, s.run, s.row_id, s.label, s.part,
+         CASE WHEN t.node IS NULL THEN s.node WHEN b.bin <= t.bin THEN 2 * s.node ELSE 2 * s.node + 1 END AS node
+  FROM state{i} s LEFT JOIN best{i} t ON s.model_set = t.model_set AND s.run = t.run AND s.node = t.node
+  LEFT JOIN bins b ON b.model_set = s.model_set AND b.row_id = s.row_id AND b.place = t.place)""")
+    levels.append(f"""
+votes AS (
+  SELECT s.model_set, s.run, s.node, s.label, count(*) * any_value(w.weight) AS v
+  FROM state{depth} s JOIN weights w ON s.model_set = w.model_set AND s.run = w.run AND s.label = w.label
+  WHERE part = 'train' GROUP BY s.model_set, s.run, s.node, s.label),
+known AS (
+  SELECT l.model_set, l.run, l.node, c.label, round(coalesce(v.v, 0) / l.total, 12) AS share,
+         row_number() OVER (PARTITION BY l.model_set, l.run, l.node ORDER BY c.label) AS class_place,
+         count(*) OVER (PARTITION BY l.model_set, l.run, l.node) AS n_classes
+  FROM (SELECT model_set, run, node, sum(v) AS total FROM votes GROUP BY model_set, run, node) l
+  JOIN weights c ON c.model_set = l.model_set AND c.run = l.run
+  LEFT JOIN votes v ON v.model_set = l.model_set AND v.run = l.run AND v.node = l.node AND v.label = c.label),
+leaves AS (
+  SELECT model_set, run, node, first(label ORDER BY share DESC, label) AS yhat,
+         max(CASE WHEN n_classes = 2 AND class_place = 2 THEN share END) AS score
+  FROM known GROUP BY model_set, run, node),
+scored AS (
+  SELECT s.model_set, s.eval_set, s.run, s.row_id, s.label AS y, l.yhat, l.score
+  FROM state{depth} s JOIN leaves l ON s.model_set = l.model_set AND s.run = l.run AND s.node = l.node WHERE part = 'test')""")
+    return _with(*_text_folds(protocol, base), *levels)
+
+
+def logistic_scores(protocol: str = "own", base: str = "base", one_vs_rest: bool = False, steps: int = 150, width: int = 256) -> str:
+    """WITH ... ``scored``: L2 logistic regression by accelerated gradient steps from zero, of fixed length and number.
+
+    ``fit`` holds weights and look-ahead weights of every step. Two classes have one logit, for the second.
+    """
+    share = "0.25" if one_vs_rest else "CASE WHEN two THEN 0.25 ELSE 0.5 END"
+    if one_vs_rest:
+        chance = "1 / (1 + exp(-z.z))"
+        free = "f.v"
+    else:
+        chance = "exp(z.z - top) / (sum(exp(z.z - top)) OVER whole + CASE WHEN two THEN exp(-top) ELSE 0 END)"
+        free = f"CASE WHEN f.place = {width} THEN 0 ELSE f.v END"
+    tables = f"""
+vectors AS MATERIALIZED (
+  SELECT row_id, place, v FROM sparse UNION ALL SELECT DISTINCT row_id, {width}, 1.0::DOUBLE FROM reviews),
+outputs AS MATERIALIZED (
+  SELECT model_set, run, label, weight, n_classes = 2 AS two FROM (
+    SELECT *, row_number() OVER (PARTITION BY model_set, run ORDER BY label) AS class_place,
+           count(*) OVER (PARTITION BY model_set, run) AS n_classes
+    FROM weights) WHERE n_classes > 2 OR class_place = 2),
+trained AS MATERIALIZED (
+  SELECT f.model_set, f.run, f.row_id, f.label, w.weight, sum(w.weight) OVER (PARTITION BY f.model_set, f.run) AS total
+  FROM folds f JOIN weights w ON f.model_set = w.model_set AND f.run = w.run AND f.label = w.label WHERE part = 'train'),
+bounds AS MATERIALIZED (
+  SELECT model_set, run, label, bound, (sqrt(bound) - 1) / (sqrt(bound) + 1) AS rate FROM (
+    SELECT o.model_set, o.run, o.label, 1 + {share} * 2 * t.total AS bound
+    FROM outputs o JOIN (SELECT model_set, run, sum(weight) AS total FROM trained GROUP BY model_set, run) t
+      ON o.model_set = t.model_set AND o.run = t.run)),
+fit AS (
+  SELECT 0 AS step, o.model_set, o.run, o.label, p.place, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v
+  FROM outputs o CROSS JOIN (SELECT unnest(range({width + 1})) AS place) p
+  UNION ALL
+  SELECT step + 1, model_set, run, label, place, moved, moved + rate * (moved - w) FROM (
+    SELECT f.step, f.model_set, f.run, f.label, f.place, f.w, b.rate, f.v - (coalesce(g.g, 0) + {free}) / b.bound AS moved
+    FROM fit f
+    JOIN bounds b ON b.model_set = f.model_set AND b.run = f.run AND b.label = f.label
+    LEFT JOIN (
+      SELECT c.model_set, c.run, c.label, x.place, sum(c.off * x.v) AS g FROM (
+        SELECT z.model_set, z.run, z.row_id, z.label, t.weight * ({chance} - (t.label = z.label)::INT) AS off
+        FROM (
+          SELECT *, greatest(max(z) OVER (PARTITION BY model_set, run, row_id), CASE WHEN two THEN 0 ELSE -1e300 END) AS top
+          FROM (
+            SELECT t.model_set, t.run, t.row_id, f.label, o.two, sum(f.v * x.v) AS z
+            FROM trained t JOIN vectors x ON x.row_id = t.row_id
+            JOIN fit f ON f.model_set = t.model_set AND f.run = t.run AND f.place = x.place
+            JOIN outputs o ON o.model_set = f.model_set AND o.run = f.run AND o.label = f.label
+            GROUP BY t.model_set, t.run, t.row_id, f.label, o.two)) z
+        JOIN trained t ON t.model_set = z.model_set AND t.run = z.run AND t.row_id = z.row_id
+        WINDOW whole AS (PARTITION BY z.model_set, z.run, z.row_id)) c
+      JOIN vectors x ON x.row_id = c.row_id GROUP BY c.model_set, c.run, c.label, x.place) g
+      ON g.model_set = f.model_set AND g.run = f.run AND g.label = f.label AND g.place = f.place
+    WHERE f.step < {steps})),
+logits AS (
+  SELECT f.model_set, f.eval_set, f.run, f.row_id, f.label AS y, w.label, o.two, sum(w.w * x.v) AS z
+  FROM folds f JOIN vectors x ON x.row_id = f.row_id
+  JOIN fit w ON w.step = {steps} AND w.model_set = f.model_set AND w.run = f.run AND w.place = x.place
+  JOIN outputs o ON o.model_set = w.model_set AND o.run = w.run AND o.label = w.label
+  WHERE f.part = 'test' GROUP BY ALL),
+scored AS (
+  SELECT l.model_set, eval_set, l.run, row_id, y,
+         CASE WHEN any_value(two) AND max(z) <= 0 THEN any_value(c.classes[1]) ELSE first(l.label ORDER BY z DESC, l.label) END AS yhat,
+         CASE WHEN any_value(two) THEN 1 / (1 + exp(-max(z))) END AS score
+  FROM logits l JOIN classes c ON c.model_set = l.model_set AND c.run = l.run
+  GROUP BY l.model_set, eval_set, l.run, row_id, y
+  UNION ALL
+  SELECT f.model_set, f.eval_set, f.run, f.row_id, f.label, c.classes[1], NULL
+  FROM folds f JOIN classes c ON c.model_set = f.model_set AND c.run = f.run WHERE part = 'test' AND len(c.classes) = 1)"""
+    return _with(*_text_folds(protocol, base), tables).replace("WITH", "WITH RECURSIVE", 1)
+
+
+_SCORED = "SELECT model_set, eval_set, run, row_id, y, yhat, round(score, {digits}) AS score FROM scored"
+
 
 _MATRIX_LINES = """
 axis AS (
@@ -501,15 +660,23 @@ SELECT sha256(text) AS content_key, any_value(length(text)) AS n_chars FROM docu
     "embed_cached_lookup": f"""WITH {_ALL_TEXTS}, {_buckets("texts", 16)}
 SELECT t.row_id, sha256(t.review) AS content_key, b.place, count(*)::DOUBLE AS value
 FROM texts t JOIN buckets b ON t.row_id = b.row_id GROUP BY t.row_id, sha256(t.review), b.place""",
-    "fit_rf": _fit_rows(),
-    "fit_rf_depth_15": _fit_rows(),
-    "fit_dt": _fit_rows(),
-    "fit_logreg": _fit_rows(),
-    "fit_logreg_one_vs_rest": _fit_rows(),
-    "fit_svm": _fit_rows(argmax=False),
-    "fit_densenet": _fit_rows(),
-    "fit_densenet_weighted": _fit_rows(),
-    "fit_densenet_early_stopping": _fit_rows(),
-    "fit_logreg_adam": _fit_rows(),
-    "transfer_logreg": _fit_rows("transfer", "en"),
+    "fit_rf": _fit_rows("label_known", "score_fits", "argmax_agrees", "learned"),
+    "fit_rf_depth_15": _fit_rows("label_known", "score_fits", "argmax_agrees", "learned"),
+    "fit_dt": f"{tree_scores()} {_SCORED.format(digits=6)}",
+    "transfer_dt": f"{tree_scores('transfer', 'en')} {_SCORED.format(digits=6)}",
+    "own_train_dt": f"""{tree_scores()}, {ACCURACY.strip()}
+SELECT model_set, eval_set, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS runs
+FROM facts GROUP BY model_set, eval_set""",
+    "fit_logreg": f"{logistic_scores()} {_SCORED.format(digits=4)}",
+    "fit_logreg_one_vs_rest": f"{logistic_scores(one_vs_rest=True)} {_SCORED.format(digits=4)}",
+    "transfer_logreg": f"{logistic_scores('transfer', 'en')} {_SCORED.format(digits=4)}",
+    "retrain_mix_logreg": f"""{logistic_scores("mix", "en")}, {ACCURACY.strip()}, {PAIRED.strip().replace("'base'", "'en'")}
+SELECT a, b, model_set, 'paired' AS kind, round(mean_difference, 6) AS mean_difference, round(t, 6) AS t, df,
+       round({P_VALUE}, 6) AS p
+FROM paired""",
+    "fit_svm": _fit_rows("label_known", "score_fits", "optimal"),
+    "fit_densenet": _fit_rows("label_known", "score_fits", "argmax_agrees", "learned"),
+    "fit_densenet_weighted": _fit_rows("label_known", "score_fits", "argmax_agrees", "learned"),
+    "fit_densenet_early_stopping": _fit_rows("label_known", "score_fits", "argmax_agrees"),
+    "fit_logreg_adam": _fit_rows("label_known", "score_fits", "argmax_agrees"),
 }

@@ -15,6 +15,8 @@ CHECKED = [
     "confusion_overlap",
     "roc_auc_vectors",
     "embed_cached_lookup",
+    "fit_dt",
+    "fit_svm",
 ]
 
 

@@ -2,11 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlab.operators import classifiers
-from reviewlab.operators.classifiers import SparkClassifier
 from reviewlab.operators.densenet import DenseNet, _forward, _gradient, _layers, _shapes, adam_logistic, transform
 from reviewlab.operators.folds import Folds
+from reviewlab.operators.linear import linear_svm, one_vs_rest_logistic, softmax_logistic
 from reviewlab.operators.metrics import accuracy
+from reviewlab.operators.trees import decision_tree, random_forest
 from reviewlab.operators.weights import balanced_weights, train_class_counts, with_weights
 from reviewlab.plans import protocols
 from reviewlab.plans.protocols import Knn, make_folds, own_train_eval, retrain_eval, transfer_eval
@@ -46,18 +46,6 @@ def test_balanced_weights_sum_to_the_rows(folds):
     assert with_weights(rows, weights).agg(F.sum("weight")).first()[0] == pytest.approx(64)
 
 
-def test_fits_read_shards_by_their_rows(easy, monkeypatch):
-    seen = []
-    fit = classifiers.FITS["RT"]
-    monkeypatch.setitem(classifiers.FITS, "RT", lambda given: seen.append((given.rows.count(), given.rows.rdd.getNumPartitions())) or fit(given))
-    SparkClassifier("RT").score(easy)
-    assert [n for _, n in seen] == [2] * RUNS
-    seen.clear()
-    monkeypatch.setattr(classifiers, "SHARD_ROWS", 10)
-    SparkClassifier("RT").score(easy)
-    assert seen and all(n == -(-rows // 10) > 2 for rows, n in seen)
-
-
 def test_each_run_of_a_bounded_network_draws_its_own_rows(easy):
     net = DenseNet(max_fit_rows=40)
     entries = easy.weights.groupBy("model_set", "run").agg(F.sum("n").alias("n"))
@@ -71,12 +59,12 @@ def test_each_run_of_a_bounded_network_draws_its_own_rows(easy):
 
 
 MODELS = [
-    SparkClassifier("RF", {"trees": 5}),
-    SparkClassifier("RF", {"trees": 5, "depth": 15, "weighted": False}),
-    SparkClassifier("RT"),
-    SparkClassifier("REGRESSION"),
-    SparkClassifier("REGRESSION_OVR"),
-    SparkClassifier("SVM", {"folds": 2, "steps": 20}),
+    random_forest(5),
+    random_forest(5, depth=15, weighted=False),
+    decision_tree(),
+    softmax_logistic(),
+    one_vs_rest_logistic(),
+    linear_svm(),
     DenseNet((16,), 20, 16, learning_rate=0.01),
     DenseNet((8,), 40, 16, learning_rate=0.01, weighted=False, tolerance=1e-4, early_stopping=True),
     DenseNet((), 20, 16, learning_rate=0.05),
@@ -102,7 +90,7 @@ def test_three_classes_have_labels_but_no_score(folds, model):
     assert all(r.score is None and r.yhat in ("Negatief", "Neutraal", "Positief") for r in rows)
 
 
-@pytest.mark.parametrize("model", [SparkClassifier("REGRESSION"), SparkClassifier("RF", {"trees": 3}), DenseNet((4,), 3, 8)], ids=lambda m: m.name)
+@pytest.mark.parametrize("model", [softmax_logistic(), random_forest(3), DenseNet((4,), 3, 8)], ids=lambda m: m.name)
 def test_same_seed_same_scores(easy, model):
     def run():
         return sorted((r.run, r.row_id, r.yhat, r.score) for r in model.score(easy).collect())
@@ -113,7 +101,7 @@ def test_same_seed_same_scores(easy, model):
 def test_a_single_training_class_is_predicted_everywhere(spark):
     rows = [("d", i, "A", [float(i)]) for i in range(10)]
     one = make_folds(spark.createDataFrame(rows, "dataset string, row_id bigint, label string, embedding array<float>"), "own", None, 1)
-    for model in (SparkClassifier("REGRESSION"), DenseNet((2,), 1, 4), Knn()):
+    for model in (softmax_logistic(), linear_svm(), decision_tree(), random_forest(3), DenseNet((2,), 1, 4), Knn()):
         assert {(r.yhat, r.score) for r in model.score(one).collect()} == {("A", None)}
 
 
@@ -159,7 +147,7 @@ def test_fitted_networks_are_kept_and_reloaded(spark, easy, tmp_path):
 
 
 def test_forests_depend_on_nothing_but_their_rows(easy):
-    model = SparkClassifier("RF", {"trees": 5}, shards=4)
+    model = random_forest(5)
     runs = []
     for parts in (1, 9):
         folds = Folds.of(easy.rows.repartition(parts), RUNS)
