@@ -14,10 +14,11 @@ are packed each; an empty table gives no rows; columns besides ``doc_id`` and ``
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from reviewlab.session import durable
 
 LOCAL_ITEMS = 500_000
 MAX_OPEN = 4_096
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
+CACHED_PARTS = 150_000
 BIN_BITS = 40
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
@@ -39,12 +41,12 @@ PIECES = pa.schema(
 
 
 class ChunkedTokenizer:
-    """Token ids of whole texts from the ids of parts that recur, each encoded once by the tokenizer itself.
+    """Token ids of whole texts from the ids of chunks that recur, each found once.
 
     A byte-level pre-tokenizer never joins a space that precedes a non-blank, a single line break between non-blanks, or
     the marks after a letter or digit to what stands before them, so texts may be cut there: into chunks at spaces, and
-    unknown chunks into parts at line breaks and closing marks. Parts are encoded together, with a special token between
-    them, where the vocabulary has one.
+    new chunks into parts at line breaks and closing marks. A part of letters only, with or without a space before it, is
+    one pre-token, so the model's own merges give its ids without another scan; other parts go through the tokenizer.
     """
 
     INNER_BLANK = re.compile(r" (?:\s|$)")
@@ -55,10 +57,17 @@ class ChunkedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
-        self.between = special[0] if special else None
-        self.known, self.older = {}, {}
-        self.parts, self.older_parts = {}, {}
+        self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        steps = json.loads(self.tokenizer.to_str())
+        cut = steps.get("pre_tokenizer") or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.letters_alone = plain and not steps.get("normalizer") and not any(t.content.strip().isalpha() for t in added)
+        self.bytes_as_text = byte_characters()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         return self.CUT.split(text) if self.INNER_BLANK.search(text) else text.split(" ")
@@ -67,50 +76,68 @@ class ChunkedTokenizer:
         stem = word.rstrip(self.MARKS)
         return [word] if stem == word or not stem[-1:].isalnum() else [stem, word[len(stem) :]]
 
-    def split(self, chunk: str, before: str) -> list[str]:
-        """The parts of a chunk that has ``before`` (a space or nothing) in front."""
+    def split(self, chunk: str) -> list[str]:
         if "\n" not in chunk:
-            return self.split_marks(before + chunk)
+            return self.split_marks(chunk)
         lines = chunk.split("\n")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            return [before + chunk]
-        parts = self.split_marks(before + lines[0])
+        if any(not x or x == " " or x[at].isspace() or x[-1].isspace() for x, at in zip(lines, [chunk[0] == " ", *[0] * len(lines)])):
+            return [chunk]
+        parts = self.split_marks(lines[0])
         for line in lines[1:]:
             parts += ["\n", *self.split_marks(line)]
         return parts
 
-    def learn(self, parts: set[str]) -> None:
-        if len(self.parts) > CACHED_CHUNKS:  # what is still in use comes over from the older half when it is next met
-            self.parts, self.older_parts = {}, self.parts
-        new = [p for p in parts if p not in self.parts]
-        self.parts.update((p, self.older_parts[p]) for p in new if p in self.older_parts)
-        new = [p for p in new if p not in self.parts]
-        plain = [p for p in new if self.between and self.between[1] not in p]
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between[1].join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.between[0])
-            for part, first, last in zip(some, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]):
-                self.parts[part] = ids[first:last].tobytes()
-        for part in new:
-            if part not in self.parts:
-                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-                self.parts[part] = np.array(ids, "<u4").tobytes()
+    def part_ids(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.older_parts.get(part)
+            if found is None:
+                if self.letters_alone and (part[1:] if part[0] == " " else part).isalpha():
+                    whole = part if part.isascii() else part.encode().decode("latin-1")
+                    ids = [t.id for t in self.model.tokenize(whole.translate(self.bytes_as_text))]
+                else:
+                    ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.parts) >= CACHED_PARTS:
+                self.parts, self.older_parts = {}, self.parts
+            self.parts[part] = found
+        return found
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Of a chunk that stands after a space and is not in ``known``."""
+        found = self.older.get(chunk)
+        if found is None:
+            stem = chunk.rstrip(self.MARKS)
+            if stem.isalpha():
+                found = self.part_ids(" " + stem)
+                if stem != chunk:
+                    found += self.part_ids(chunk[len(stem) :])
+            else:
+                found = b"".join(map(self.part_ids, self.split(" " + chunk)))
+        if len(self.known) >= CACHED_CHUNKS:  # what is still in use comes over from the older half when it is next met
+            self.known, self.older = {}, self.known
+        self.known[chunk] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        chunks = self.chunks(text)
+        ids = list(map(self.known.get, chunks))
+        ids[0] = b"".join(map(self.part_ids, self.split(chunks[0]))) if chunks[0] else b""
+        if None in ids:
+            ids = [self.chunk_ids(c) if i is None else i for c, i in zip(chunks, ids)]
+        return b"".join(ids)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        unknown = [c for c in set(chain.from_iterable(chunks[1:] for chunks in cut)) if c not in known]
-        known.update((c, older[c]) for c in unknown if c in older)
-        fresh = {c: self.split(c, " ") for c in unknown if c not in known}
-        heads = [self.split(chunks[0], "") for chunks in cut]
-        self.learn({p for parts in (*fresh.values(), *heads) for p in parts})
-        part = self.parts.__getitem__
-        for chunk, parts in fresh.items():
-            known[chunk] = b"".join(map(part, parts))
-        return [b"".join([*map(part, head), *map(known.__getitem__, chunks[1:])]) for head, chunks in zip(heads, cut)]
+        return list(map(self.encode, texts))
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if visible, else the next from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)) - set(visible))
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=2)
