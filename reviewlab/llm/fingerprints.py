@@ -5,9 +5,10 @@ spans are equal in constant time and give longest common extensions by binary se
 length and both hashes of the whole text; likeness of two fingerprinted texts is the share of the longer one that their
 longest common extensions, forward from the start and backward from the end, cover (1 for equal texts).
 
-``edited_neighbours`` needs each document next to its successor in descending id order: documents are dealt into id
-ranges, each range also gets the first document of the following range as a guest, and a task streams its sorted range,
-so the texts are shuffled once and nothing is ordered in one task.
+``edited_neighbours`` needs each document next to its successor in descending id order: documents are dealt into id ranges
+of about ``ZONE_ROWS`` rows (``MOST_ZONES`` at most), and a task streams its sorted range, so the texts are read and
+shuffled once and nothing is ordered in one task. The first and the last document of each range are written beside the
+results, and a join of these few pairs every last one with the first of the next range.
 
 Defined results: a null text is the empty text, which is fully like itself and not at all like others; null ids come
 last in the order, equal ids are ordered by text hash; a single document is its own successor; an empty table gives no
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.llm.common import batched, keyed
+from reviewlab.llm.common import arrow_rows, batched, keyed
+from reviewlab.session import durable
 
 PRIMES = ((2_147_483_647, 911_382_323), (2_147_483_629, 972_663_749))
 _POWERS: dict[int, np.ndarray] = {}
@@ -140,59 +142,79 @@ NEIGHBOURS = pa.schema(
 )
 
 
+RESULT, FIRST, LAST = 0, 1, 2
+OUT = pa.schema([("kind", pa.int32()), ("zone", pa.int64()), *NEIGHBOURS, ("text", pa.string())])
+ZONE_ROWS, MOST_ZONES, SUBZONES = 1_000, 10_000, 64
+TEXTS_AT_ONCE = 256
+
+
+def _pair(before: tuple, after: PrefixHash, text: str) -> tuple:
+    """The ``NEIGHBOURS`` row of (id, text, hashes) beside the text that follows it."""
+    doc_id, own, hashed = before
+    changed = edited(own, text)
+    other = PrefixHash(changed)
+    digest = hashlib.sha256(changed.encode()).hexdigest()
+    return (doc_id, hashed.n, digest, hashed.fingerprint(), other.fingerprint(), hashed.likeness(other), hashed.likeness(after))
+
+
 def _compare_stream(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (zone, guest, doc_id, text) in order: every own row is paired with the row after it in its zone."""
-    zone = held = None
-    for at, guest, doc_id, text in rows:
+    """Rows (zone, doc_id, text) in order: every row but the last of a zone beside the row after it; and both ends."""
+    nothing, zone, held = (None,) * (len(NEIGHBOURS) - 1), None, None
+    for at, doc_id, text in rows:
         text = text or ""
-        if at != zone:
-            zone, held = at, None
-        elif held is None:
-            continue  # further guests: copies of the first
         this = PrefixHash(text)
-        if held is not None:
-            before_id, before, hashed = held
-            changed = edited(before, text)
-            other = PrefixHash(changed)
-            digest = hashlib.sha256(changed.encode()).hexdigest()
-            yield (
-                before_id, hashed.n, digest, hashed.fingerprint(), other.fingerprint(), hashed.likeness(other), hashed.likeness(this)
-            )
-        held = None if guest else (doc_id, text, this)
+        if at != zone:
+            if held is not None:
+                yield (LAST, zone, held[0], *nothing, held[1])
+            yield (FIRST, at, doc_id, *nothing, text)
+        else:
+            yield (RESULT, at, *_pair(held, this, text), None)
+        zone, held = at, (doc_id, text, this)
+    if held is not None:
+        yield (LAST, zone, held[0], *nothing, held[1])
+
+
+def zone_cuts(ids: DataFrame, zones: int) -> tuple[list[int], list[int]]:
+    """Sorted bounds of about ``zones`` id ranges of as many rows, and the ids that fill more than a range of their own."""
+    share = [k / zones for k in range(1, zones)] or [0.5]
+    found = ids.agg(F.percentile_approx("doc_id", share, min(10_000, 10 * zones + 100)).alias("cuts")).first()["cuts"] or []
+    hot = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    return sorted({*found, *(v + 1 for v in hot if v < (1 << 63) - 1)}), hot
 
 
 def edited_neighbours(docs: DataFrame, zones: int | None = None) -> DataFrame:
     """Every document beside its edited text and its successor: the columns of ``NEIGHBOURS``."""
     spark = docs.sparkSession
-    zones = zones or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    share = [k / zones for k in range(1, zones)] or [0.5]
-    found = ids.agg(F.percentile_approx("doc_id", share, 100 * zones).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(found or []))
-    zone = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_of(F.col("doc_id"), cuts))
-    rows = keyed(docs, F.xxhash64("text").alias("text_hash")).withColumn("zone", zone)
-
-    # One row per zone, so their number is set by the configuration and not by the data.
-    head = F.max(F.struct("doc_id", "text_hash")).alias("head")
-    heads = sorted(rows.groupBy("zone").agg(head).collect(), key=lambda r: -r["zone"])
-    if not heads:
-        return spark.createDataFrame([], rows.mapInArrow(lambda b: b, _ddl()).schema)
-    into = [(heads[i - 1]["zone"], *heads[i]["head"]) for i in range(len(heads))]
-    guests = spark.createDataFrame(into, "to_zone int, head_id bigint, head_hash bigint")
-    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_hash"))
-    visiting = rows.join(F.broadcast(guests), same).select(F.col("to_zone").alias("zone"), F.lit(1).alias("guest"), "doc_id", "text", "text_hash")
-    every = rows.select("zone", F.lit(0).alias("guest"), "doc_id", "text", "text_hash").union(visiting)
-    ordered = every.repartition("zone").sortWithinPartitions("zone", "guest", F.desc_nulls_last("doc_id"), F.desc("text_hash"))
+    zones = zones or max(1, min(MOST_ZONES, -(-ids.count() // ZONE_ROWS)))
+    cuts, hot = zone_cuts(ids, zones)
+    # An id that fills a range, and rows without id, are dealt on by text hash, which is the order among equal ids.
+    by_hash = F.col("doc_id").isNull() | F.col("doc_id").isin(hot) if hot else F.col("doc_id").isNull()
+    within = F.when(by_hash, F.shiftright("text_hash", 58) + SUBZONES // 2).otherwise(0)
+    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_of(F.col("doc_id"), cuts))
+    rows = keyed(docs, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")).withColumn("zone", at.cast("bigint") * SUBZONES + within)
+    ordered = rows.repartition("zone").sortWithinPartitions(F.desc("zone"), F.desc_nulls_last("doc_id"), F.desc("text_hash"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream():
-            for batch in batches:
-                for part in range(0, batch.num_rows, 256):
-                    yield from zip(*(c.to_pylist() for c in batch.slice(part, 256).columns[:4]))
+        stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("zone", "doc_id", "text"))))
+        yield from batched(_compare_stream(stream), OUT, TEXTS_AT_ONCE)
 
-        yield from batched(_compare_stream(stream()), NEIGHBOURS, 1024)
-
-    return ordered.mapInArrow(compute, _ddl())
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc_id, own, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found.append(_pair((doc_id, own, PrefixHash(own)), PrefixHash(text), text))
+            yield from batched(found, NEIGHBOURS, TEXTS_AT_ONCE)
+
+    with arrow_rows(spark, TEXTS_AT_ONCE):
+        written = durable(ordered.select("zone", "doc_id", "text").mapInArrow(compute, f"kind int, zone bigint, {_ddl()}, text string"))
+    ends = written.where(F.col("kind") != RESULT).select("kind", "zone", "doc_id", "text")
+    used = sorted((r.zone for r in ends.where(F.col("kind") == FIRST).select("zone").collect()), reverse=True)
+    follows = spark.createDataFrame(list(zip(used, [*used[1:], *used[:1]])), "zone bigint, next bigint")
+    last = ends.where(F.col("kind") == LAST).select("zone", "doc_id", F.col("text").alias("own")).join(F.broadcast(follows), "zone")
+    first = ends.where(F.col("kind") == FIRST).select(F.col("zone").alias("next"), "text")
+    joined = last.join(first, "next").select("doc_id", "own", "text").mapInArrow(pairs, _ddl())
+    return written.where(F.col("kind") == RESULT).select(NEIGHBOURS.names).unionByName(joined)
 
 
 def _ddl() -> str:

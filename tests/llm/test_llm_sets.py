@@ -188,6 +188,22 @@ def test_fingerprints_of_awkward_rows(spark, awkward, empty):
     assert fingerprints.fingerprint_documents(awkward).count() == len(AWKWARD)
 
 
+def test_rows_without_id_and_repeated_ids_are_dealt_out(spark):
+    """Ids in descending order, none last, equal ids by text hash from the greatest; hot ids fill many partitions."""
+    rng = random.Random(2)
+    rows = [(None, f"none {i} " * 5) for i in range(300)] + [(7, f"seven {i} " * 5) for i in range(300)]
+    rows += [(i, "".join(rng.choices("ab c", k=rng.randrange(40)))) for i in range(-100, 200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashes = {(r.doc_id, r.text): r.h for r in frame.withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda d: (d[0] is None, -(d[0] or 0), -hashes[d]))
+    want = sorted(repr((i, len(t), brute.sha256(t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]))) for k, (i, t) in enumerate(order))
+    for zones in (1, 6, 40):
+        found = fingerprints.edited_neighbours(frame, zones).collect()
+        assert sorted(repr((r.doc_id, r.n_chars, r.edited_sha256)) for r in found) == want
+    cuts, hot = fingerprints.zone_cuts(frame.select("doc_id"), 12)
+    assert hot == [7] and {7, 8} <= set(cuts)
+
+
 def test_spans_and_extensions():
     rng = random.Random(3)
     a = "".join(rng.choices("ab", k=400))
