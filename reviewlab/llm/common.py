@@ -54,6 +54,11 @@ def batched(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Itera
         yield _batch(held, schema)
 
 
+def release_memory() -> None:
+    """Give freed Arrow memory back at the end of a task: Python workers live on and other stages follow in them."""
+    pa.default_memory_pool().release_unused()
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlab.llm.common import release_memory
+
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 256
 CACHED_TOKENS = 500_000
@@ -47,7 +49,9 @@ def script_of(char: str) -> str:
 
 
 def letters_of(token: str) -> str:
-    return "".join(LETTERS.findall(token.lower()))
+    """The letters of a token in lower case, by Unicode category: numbers such as one half or a Roman one are none."""
+    found = "".join(LETTERS.findall(token.lower()))
+    return found if found.isalpha() else "".join(filter(str.isalpha, found))
 
 
 def _buckets_of(values: np.ndarray) -> np.ndarray:
@@ -272,6 +276,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...
                 named = [[{"first": a, "after": b, "lang": x} for a, b, x in s] for s in spans]
                 columns = [pa.array(v, f.type) for v, f in zip((lang, score, named), SPANS)]
                 yield pa.record_batch(part.columns[1:] + columns, names=[*part.schema.names[1:], *SPANS.names])
+        release_memory()
 
     rows = docs.select(F.col("text").cast("string").alias("text"), *[f"`{c}`" for c in carry])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.llm.common import batched, keyed
+from reviewlab.llm.common import batched, keyed, release_memory
 from reviewlab.session import durable
 
 LOCAL_ITEMS = 500_000
@@ -129,6 +129,10 @@ class ChunkedTokenizer:
             ids = [self.chunk_ids(c) if i is None else i for c, i in zip(chunks, ids)]
         return b"".join(ids)
 
+    def rest(self) -> None:
+        """Between tasks only the younger halves are kept."""
+        self.older, self.older_parts = {}, {}
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return list(map(self.encode, texts))
 
@@ -173,6 +177,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, width: int = 1024, end_id: int
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(rows(batches), PIECES, 1024)
+        _tokenizer(tokenizer).rest()
+        release_memory()
 
     return keyed(docs).mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
