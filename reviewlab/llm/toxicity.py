@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from reviewlab.llm.common import keyed
 
+DRAW_BITS = 60
 BUCKETS = 1 << 18
 STEM = 5
 CACHED_TOKENS = 500_000
@@ -174,7 +175,7 @@ def train(labelled: DataFrame, max_fit_rows: int = 16_000, max_terms: int = 2_04
 
     shared = labelled.sparkSession.sparkContext.broadcast(index)
     share = min(1.0, max_fit_rows / int(totals.sum()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << DRAW_BITS)) < int(share * (1 << DRAW_BITS)))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +189,13 @@ def train(labelled: DataFrame, max_fit_rows: int = 16_000, max_terms: int = 2_04
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         terms = [np.array(x, np.int64) for x in table["terms"].to_pylist()]
         machine = fit_machine(shared.value, terms, table["label"].to_numpy().astype(float), rank)
-        return pa.table({"bias": [machine.bias], "weights": [machine.weights.tolist()], "factors": [machine.factors.ravel().tolist()]})
+        both = len(set(table["label"].to_pylist())) == 2
+        return pa.table({"bias": [machine.bias], "weights": [machine.weights.tolist()], "factors": [machine.factors.ravel().tolist()], "both": [both]})
 
     features = sample.mapInArrow(positions, "doc_id bigint, label int, terms array<bigint>")
-    fitted = features.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "bias double, weights array<double>, factors array<double>").first()
-    if fitted is None:
-        return FactorizationMachine(np.full(BUCKETS, -1), -1.0, np.zeros(1), np.zeros((1, rank)))
+    fitted = features.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "bias double, weights array<double>, factors array<double>, both boolean").first()
+    if fitted is None or not fitted["both"]:
+        raise ValueError(f"a draw of about {max_fit_rows} of {int(totals.sum())} labelled rows has only one class: raise max_fit_rows")
     return FactorizationMachine(index, fitted["bias"], np.array(fitted["weights"]), np.array(fitted["factors"]).reshape(-1, rank))
 
 

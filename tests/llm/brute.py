@@ -36,6 +36,19 @@ def components(prints, radius=2):
     return [root(i) for i in range(len(values))]
 
 
+def similar_classes(texts, k=5):
+    """Index of the first member by position for every text: classes linked by k-word shingle sets alike by 0.8 or more."""
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in split]
+    root = list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
 def line_key(line):
     return re.sub("[A-Z]", lambda m: m.group().lower(), line.strip(" \t\n\x0b\x0c\r"))
 

@@ -145,6 +145,28 @@ def test_languages_of_mixed_and_awkward_rows(spark, awkward, empty):
     assert {r.lang_pred for r in language.label_languages(awkward, none).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(spark):
+    model = language.train(spark.read.parquet(f"{SF}/documents.parquet").where(fold(4) != 2))
+    texts = ["½", "²", "①", "Ⅷ", "12 ½ ²!", "½x", "ª", "word ½"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r.lang_pred for r in language.label_languages(docs, model).collect()}
+    assert [rows[i] == "und" for i in range(8)] == [True] * 5 + [False] * 3
+    assert {r.doc_id for r in language.with_known_language(docs, model).collect()} == {5, 6, 7}
+
+
+def test_toxicity_draws_whatever_the_share(spark):
+    """A share that is tiny beside the table still draws rows, and a draw of one class is no silent constant."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 7, F.when(F.col("id") % 2 == 0, " awful stuff").otherwise(" fine thing")).alias("text"))
+    labelled = durable(toxicity.with_terms(docs).withColumn("label", (F.col("doc_id") % 2 == 0).cast("int")))
+    scores = toxicity.score_toxicity(labelled, toxicity.train(labelled, max_fit_rows=40)).collect()
+    assert np.mean([(r.score > 0.5) == (r.doc_id % 2 == 0) for r in scores]) > 0.95
+    marked = F.col("doc_id") % 200 == 0
+    rare = docs.withColumn("text", F.when(marked, F.lit("strange words here")).otherwise(F.col("text")))
+    rare = toxicity.with_terms(rare).withColumn("label", marked.cast("int"))
+    with pytest.raises(ValueError, match="only one class"):
+        toxicity.train(rare, max_fit_rows=4)
+
+
 def test_scripts_narrow_the_candidates():
     model = language.LanguageModel(["el", "en"], np.zeros((language.BUCKETS, 2), np.float32), np.zeros((len(language.SCRIPTS), 2), bool))
     model.seen[language.SCRIPTS.index("Greek"), 0] = model.seen[language.SCRIPTS.index("Latin"), 1] = True
@@ -161,7 +183,7 @@ def test_pipeline_equals_the_plain_version(spark):
     docs = [(i, t) for i, t in docs if any(c.isalpha() for c in t or "")]
     docs = [(i, out[2]) for i, out in brute.line_dedup(docs).items()]
     docs.sort()
-    docs = [d for k, (d, r) in enumerate(zip(docs, brute.components([brute.simhash(t) for _, t in docs]))) if k == r]
+    docs = [d for k, (d, r) in enumerate(zip(docs, brute.similar_classes([t for _, t in docs]))) if k == r]
     docs = [(i, t) for i, t in docs if not any(x in " ".join(t.lower().split()) for x in items)]
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in rows} == {i for i, _ in docs}
