@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from reviewlab.functions.text import cap_tokens, split_tokens
 from reviewlab.operators.joins import lookup_join
+from reviewlab.operators.sampling import in_run
 
 
 def pool(states: np.ndarray, how: str = "first") -> np.ndarray:
@@ -82,31 +83,64 @@ class HashedTfEmbedder:
 
     def fit(self, df: DataFrame, col: str = "review") -> HashedTfEmbedder:
         """Document counts per bucket: at most ``width`` rows reach the driver."""
-        seen = df.select(F.explode(F.array_distinct(self._buckets(col))).alias("bucket"))
-        n = df.where(F.col(col).isNotNull()).count()
-        counts = {r["bucket"]: r["df"] for r in seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).collect()}
-        idf = tuple(math.log((n + 1) / (counts.get(b, 0) + 1)) for b in range(self.width))
-        return replace(self, idf=idf)
+        return self.fit_runs(df.withColumn("_all", F.lit(1).cast("bigint")), "_all", 1, col)[0]
 
-    def transform(self, df: DataFrame, col: str = "review", into: str = "embedding") -> DataFrame:
-        width, scale, normalise = self.width, np.array(self.idf or [1.0] * self.width), self.normalise
+    def fit_runs(self, df: DataFrame, mask: str, runs: int, col: str = "review") -> list[HashedTfEmbedder]:
+        """One embedder per run, from the rows whose ``mask`` has the run's bit: the texts are read and hashed once.
+
+        Document counts of all buckets and runs come from one aggregate; the last row, of bucket -1, has the numbers of rows.
+        """
+        known = df.where(F.col(col).isNotNull()).select(F.array_append(F.array_distinct(self._buckets(col)), F.lit(-1)).alias("b"), mask)
+        per_run = [F.count_if(in_run(mask, run)).alias(f"run_{run}") for run in range(runs)]
+        counts = {r["bucket"]: r for r in known.select(F.explode("b").alias("bucket"), mask).groupBy("bucket").agg(*per_run).collect()}
+
+        def idf(run: int) -> tuple[float, ...]:
+            n = counts[-1][f"run_{run}"] if -1 in counts else 0
+            seen = [counts[b][f"run_{run}"] if b in counts else 0 for b in range(self.width)]
+            return tuple(math.log((n + 1) / (df + 1)) for df in seen)
+
+        return [replace(self, idf=idf(run)) for run in range(runs)]
 
-        kind = {"float": "float32", "double": "float64"}[self.precision]
+    def _scaled(self, counts: np.ndarray) -> np.ndarray:
+        """Vectors [row, bucket] of word counts."""
+        vectors = counts * np.array(self.idf or [1.0] * self.width)
+        if self.normalise:
+            lengths = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+            vectors = np.divide(vectors, lengths, out=vectors, where=lengths > 0)
+        return vectors.astype({"float": "float32", "double": "float64"}[self.precision])
+
+    def transform(self, df: DataFrame, col: str = "review", into: str = "embedding") -> DataFrame:
+        embedder = self
 
         @F.pandas_udf(f"array<{self.precision}>")
         def vector(buckets: pd.Series) -> pd.Series:
-            def one(found: np.ndarray | None) -> np.ndarray | None:
-                if found is None:
-                    return None
-                counts = np.bincount(np.asarray(found, "int64"), minlength=width) * scale
-                length = np.sqrt((counts**2).sum()) if normalise else 0.0
-                return (counts / length if length else counts).astype(kind)
-
-            return buckets.map(one, na_action="ignore")
+            vectors = embedder._scaled(_counts(buckets, embedder.width))
+            return pd.Series([v if known else None for v, known in zip(vectors, buckets.notna())])
 
         return df.withColumn(into, vector(self._buckets(col)))
 
 
+def transform_runs(df: DataFrame, embedders: Sequence[HashedTfEmbedder], col: str = "review", into: str = "embeddings") -> DataFrame:
+    """Add the vectors of ``col`` under each of several embedders of one kind, as an array: the texts are hashed once."""
+    first = embedders[0]
+
+    @F.pandas_udf(f"array<array<{first.precision}>>")
+    def vectors(buckets: pd.Series) -> pd.Series:
+        counts = _counts(buckets, first.width)
+        found = [e._scaled(counts) for e in embedders]
+        return pd.Series([[v[i] for v in found] if known else None for i, known in enumerate(buckets.notna())])
+
+    return df.withColumn(into, vectors(first._buckets(col)))
+
+
+def _counts(buckets: pd.Series, width: int) -> np.ndarray:
+    """[row, bucket]: how often each bucket occurs, for all rows of a batch at once; a null row has none."""
+    lists = [b if b is not None else () for b in buckets]
+    row = np.repeat(np.arange(len(lists)), [len(b) for b in lists])
+    flat = np.concatenate(lists).astype(np.int64) if len(row) else np.zeros(0, np.int64)
+    return np.bincount(row * width + flat, minlength=len(lists) * width).reshape(len(lists), width).astype(np.float64)
+
+
 def embed(df: DataFrame, embedder, col: str = "review", into: str = "embedding") -> DataFrame:
     """Add the vector of ``col`` to every row."""
     return embedder.transform(df, col, into)

@@ -7,15 +7,16 @@ to (key, y, yhat) counts or (key, score) counts with map-side partial aggregatio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlab.session import durable
 
 KEYS = ("protocol", "model", "model_set", "eval_set", "run")
-AUC_CELLS = 256
 
 
 def keys_of(df: DataFrame, keys: Sequence[str] | None = None) -> list[str]:
@@ -158,14 +159,13 @@ def auc_ready(scored: DataFrame, classes: DataFrame | Sequence[str], keys: Seque
 
 
 def roc_auc(
-    scored: DataFrame, classes: DataFrame | Sequence[str], keys: Sequence[str] | None = None, cells: int = AUC_CELLS
+    scored: DataFrame, classes: DataFrame | Sequence[str], keys: Sequence[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Area under the ROC curve, ties at half weight; null where the test rows are all of one class.
 
-    Rows collapse to counts per distinct score. The running count of negatives over sorted scores is then taken in
-    two levels, inside value ranges and over the ranges of a key, so that no task sorts a whole key. The ranges
-    come from approximate quantiles over all keys; any ranges give the same area. The counts are written out, as the
-    quantiles and the area both read them and the scored rows should be computed once.
+    Rows collapse to counts per distinct score, which are range-partitioned by key and score, so that no task holds a whole
+    key. A task runs through its sorted counts and gives a few numbers per key and stretch; the running count of negatives
+    is then taken over the stretches of a key. The counts are written out, as the ranges and the area both read them.
     """
     keys = keys_of(scored, keys)
     known = _with_classes(scored, classes).where((F.size("classes") == 2) & F.col("score").isNotNull())
@@ -176,20 +176,27 @@ def roc_auc(
             F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"), F.count_if(stranger).alias("strangers")
         )
     )
-    quantiles = [i / cells for i in range(1, cells)]
-    bounds = by_score.agg(F.percentile_approx("score", quantiles, 10 * cells).alias("bounds"))
-    ranged = by_score.withColumn("bounds", bounds.scalar()).withColumn(
-        "cell", F.size(F.filter("bounds", lambda b: b < F.col("score")))
+    order = [*keys, "score"]
+    dealt = by_score.repartitionByRange(ranges, *order) if ranges else by_score.repartitionByRange(*order)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            frame = batch.to_pandas()
+            below = frame.groupby(keys, dropna=False, sort=False)["q"].cumsum() - frame["q"]
+            frame["won"] = frame["p"] * (below + frame["q"] / 2)
+            sums = frame.groupby(keys, dropna=False, sort=False)[["won", "p", "q", "strangers"]].sum().reset_index()
+            columns = [pa.array([None if v != v else v for v in sums[k].tolist()], batch.schema.field(k).type) for k in keys]
+            places = [pa.array([v] * len(sums), pa.int32()) for v in (part, number)]
+            counts = [pa.array(sums[c], kind) for c, kind in (("won", pa.float64()), ("p", pa.int64()), ("q", pa.int64()), ("strangers", pa.int64()))]
+            yield pa.record_batch([*columns, *places, *counts], [*keys, "part", "number", "won", "p", "q", "strangers"])
+
+    names = ", ".join(f"`{k}` {by_score.schema[k].dataType.simpleString()}" for k in keys)
+    per_stretch = dealt.sortWithinPartitions(*order).mapInArrow(
+        stretches, f"{names}, part int, number int, won double, p bigint, q bigint, strangers bigint"
     )
-    below = Window.partitionBy(*keys, "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.col("p").cast("double") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2)
-    per_cell = (
-        ranged.withColumn("won", inner)
-        .groupBy(*keys, "cell")
-        .agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("strangers").alias("strangers"))
-    )
-    lower = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    total = per_cell.withColumn("won", F.col("won") + F.col("p").cast("double") * F.coalesce(F.sum("q").over(lower), F.lit(0)))
+    lower = Window.partitionBy(*keys).orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    total = per_stretch.withColumn("won", F.col("won") + F.col("p").cast("double") * F.coalesce(F.sum("q").over(lower), F.lit(0)))
     area = F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q"))
     return (
         total.groupBy(*keys)

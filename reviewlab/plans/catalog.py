@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from reviewlab.operators.embedding import (
     distinct_texts,
     embed,
     embed_cached,
+    transform_runs,
 )
 from reviewlab.operators.filters import (
     class_counts,
@@ -437,12 +437,10 @@ def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_hashed_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed tf-idf of the reviews, with the weights learned on the training part of every run in turn."""
-    split = durable(stratified_split(_reviews(spark, sf_dir), runs=RUNS))
-    parts = []
-    for run in range(RUNS):
-        embedder = HashedTfEmbedder(width=64, precision="double").fit(split.where(in_run("train_mask", run)))
-        parts.append(_entries(embed(split, embedder).withColumn("run", F.lit(run)), "run", "row_id"))
-    return reduce(DataFrame.unionByName, parts)
+    split = durable(stratified_split(_reviews(spark, sf_dir), runs=RUNS).select("row_id", "review", "train_mask"))
+    embedders = HashedTfEmbedder(width=64, precision="double").fit_runs(split, "train_mask", RUNS)
+    per_run = transform_runs(split, embedders).select("row_id", F.posexplode("embeddings").alias("run", "embedding"))
+    return _entries(per_run, "run", "row_id")
 
 
 def embed_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:

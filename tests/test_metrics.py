@@ -121,7 +121,7 @@ def test_auc_equals_pair_counting_for_any_ranges(spark, cells, distinct):
     random.seed(distinct)
     rows = [(e, random.choice("AB"), random.randrange(distinct) / distinct) for e in ("x", "y") for _ in range(150)]
     df = spark.createDataFrame(rows, "eval_set string, y string, score double")
-    got = {r.eval_set: r.auc for r in roc_auc(df, ["A", "B"], cells=cells).collect()}
+    got = {r.eval_set: r.auc for r in roc_auc(df, ["A", "B"], ranges=cells).collect()}
     flipped = {r.eval_set: r.auc for r in roc_auc(df.withColumn("score", -F.col("score")), ["A", "B"]).collect()}
     for name in ("x", "y"):
         assert got[name] == pytest.approx(_brute_auc([r[1:] for r in rows if r[0] == name]))
