@@ -188,9 +188,10 @@ def train(labelled: DataFrame, max_fit_rows: int = 16_000, max_terms: int = 2_04
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         terms = [np.array(x, np.int64) for x in table["terms"].to_pylist()]
+        if len(set(table["label"].to_pylist())) < 2:
+            return pa.table({"bias": [0.0], "weights": [[0.0]], "factors": [[0.0]], "both": [False]})
         machine = fit_machine(shared.value, terms, table["label"].to_numpy().astype(float), rank)
-        both = len(set(table["label"].to_pylist())) == 2
-        return pa.table({"bias": [machine.bias], "weights": [machine.weights.tolist()], "factors": [machine.factors.ravel().tolist()], "both": [both]})
+        return pa.table({"bias": [machine.bias], "weights": [machine.weights.tolist()], "factors": [machine.factors.ravel().tolist()], "both": [True]})
 
     features = sample.mapInArrow(positions, "doc_id bigint, label int, terms array<bigint>")
     fitted = features.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "bias double, weights array<double>, factors array<double>, both boolean").first()
