@@ -31,6 +31,10 @@ HEADLINES = (
     "embed_cached_lookup",
     "fit_logreg",
     "fit_dt",
+    "fit_rf",
+    "fit_svm",
+    "transfer_logreg",
+    "embed_hashed_idf",
     "fit_densenet",
     "fit_densenet_early_stopping",
     "run_metrics",

@@ -62,8 +62,8 @@ from reviewlab.operators.sampling import (
 from reviewlab.operators.weights import balanced_weights, train_class_counts, with_weights
 from reviewlab.plans.protocols import Knn, accuracy_metrics, make_folds, own_train_eval, retrain_eval
 from reviewlab.session import durable, shared_folder
-from reviewlab.sources.reports import mix_summary_lines, own_summary_lines, report_lines
-from reviewlab.sources.tables import VECTOR_SETS, points_from_embeddings, reviews_from_documents
+from reviewlab.sources.reports import mix_summary_lines, own_summary_lines, report_lines, write_metrics
+from reviewlab.sources.tables import VECTOR_SETS, Source, ingest_registry, points_from_embeddings, reviews_from_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +140,18 @@ def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(points_from_embeddings(spark, sf_dir).select("dataset", "label", "row_id"))
 
 
+def registry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews as one delimited file set per dataset, read again through a registry and its ingest."""
+    raw = _raw(spark, sf_dir)
+    place = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    names = [r["dataset"] for r in raw.select("dataset").distinct().orderBy("dataset").collect()]
+    sources = [Source(name, f"{place}/{n}", ",;"[n % 2]) for n, name in enumerate(names)]
+    for name, path, sep in sources:
+        one = raw.where(F.col("dataset") == name).select("sentiment", "review")
+        one.write.csv(path, sep=sep, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return ingest_registry(spark, sources, f"{place}/table").select("dataset", "sentiment", "review")
+
+
 def short_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _long_enough(spark, sf_dir)
     return _plain(kept.select("dataset", "row_id", F.length("review").alias("n_chars")))
@@ -359,6 +371,15 @@ def run_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(run_metrics(durable(scored), classes))
 
 
+def stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric table of a protocol, written twice to the same place and read again."""
+    metrics, _, _ = own_train_eval(points_from_embeddings(spark, sf_dir), [Knn()], PAIRS, RUNS)
+    place, metrics = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}", durable(metrics)
+    for _ in range(2):
+        write_metrics(metrics, place)
+    return _plain(spark.read.parquet(place).select("protocol", "model", "model_set", "eval_set", "run", "metric", "value"))
+
+
 def paired_t_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(paired_t(_accuracies(spark, sf_dir, "mix"), BASE).drop("metric"))
 
@@ -588,6 +609,7 @@ def compare_fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "clean_reviews": clean_text_columns,
     "registry_union": registry_union,
+    "registry_files": registry_files,
     "short_text_filter": short_text_filter,
     "rare_class_drop": rare_class_drop,
     "rare_any_class_drop": rare_any_class_drop,
@@ -625,6 +647,7 @@ QUERIES: dict[str, Query] = {
     "retrain_frac_knn": retrain_frac_knn,
     "transfer_knn": transfer_knn,
     "run_metrics": run_metrics_table,
+    "stored_metrics": stored_metrics,
     "paired_t": paired_t_table,
     "paired_t_pvalue": paired_t_pvalue,
     "welch_t": welch_t_table,

@@ -487,6 +487,7 @@ ORACLE: dict[str, str] = {
     "clean_reviews": f"{_with(CLEAN)} SELECT dataset, row_id, sentiment, review FROM clean",
     "registry_union": f"""{_with(CLEAN, VECTORS)}
 SELECT dataset, sentiment AS label, row_id FROM raw UNION ALL SELECT dataset, label, row_id FROM vectors""",
+    "registry_files": f"{_with(CLEAN)} SELECT dataset, sentiment, text AS review FROM raw",
     "short_text_filter": f"{_with(CLEAN)} SELECT dataset, row_id, length(review) AS n_chars FROM long_enough",
     "rare_class_drop": f"{_with(CLEAN)} SELECT dataset, row_id, sentiment FROM reviews",
     "rare_any_class_drop": f"""{_with(CLEAN)}
@@ -595,6 +596,11 @@ SELECT model_set, eval_set, run,
        CASE place WHEN 1 THEN 'accuracy' WHEN 2 THEN 'macro_f1' ELSE 'weighted_f1' END AS metric, round(f1, 6) AS value
 FROM report WHERE place > 0
 UNION ALL SELECT model_set, eval_set, run, 'auc', round(auc, 6) FROM auc""",
+    "stored_metrics": f"""{_knn("own", "uniform", REPORT, AUC)}
+SELECT 'own' AS protocol, 'KNN' AS model, model_set, eval_set, run,
+       CASE place WHEN 1 THEN 'accuracy' WHEN 2 THEN 'macro_f1' ELSE 'weighted_f1' END AS metric, round(f1, 6) AS value
+FROM report WHERE place > 0
+UNION ALL SELECT 'own', 'KNN', model_set, eval_set, run, 'auc', round(auc, 6) FROM auc""",
     "paired_t": f"""{_knn("mix", "uniform", ACCURACY, PAIRED)}
 SELECT model_set, a, b, 'paired' AS kind, round(mean_difference, 6) AS mean_difference, round(t, 6) AS t, df,
        round({P_VALUE}, 6) AS p
