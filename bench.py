@@ -31,7 +31,6 @@ HEADLINES = (
     "embed_cached_lookup",
     "fit_logreg",
     "fit_dt",
-    "fit_rf",
     "fit_svm",
     "transfer_logreg",
     "embed_hashed_idf",
