@@ -193,3 +193,35 @@ def test_bags_draw_about_one_of_each_row():
     assert (drawn[0] != drawn[1]).mean() > 0.4
     used = growth.components(0, np.zeros(200, int), np.arange(1, 201), 100)
     assert used.shape == (200, 10) and all(len(set(u)) == 10 for u in used.tolist()) and len(set(map(tuple, used.tolist()))) > 190
+
+
+def test_forests_score_in_slices_that_hold_one_tree_at_a_time(folds, monkeypatch):
+    models, rows = trees.random_forest(12).fit(folds), folds.rows.where("test_mask <> 0")
+    whole = sorted(map(repr, trees.transform(models, rows).collect()))
+    monkeypatch.setattr(trees, "SLICE_ROWS", 7)
+    context = type(folds.rows.sparkSession.sparkContext)
+    monkeypatch.setattr(context, "broadcast", lambda *_: pytest.fail("nodes reach the driver"))
+    shuffled = models.orderBy("gain", "node")
+    assert sorted(map(repr, trees.transform(shuffled, rows).collect())) == whole and whole
+
+
+@pytest.mark.parametrize("most", [2, 5, 32])
+def test_nodes_of_few_rows_split_as_their_histograms_say(most):
+    rng = np.random.default_rng(most)
+    bins, label = rng.integers(0, 6, (400, 9)).astype(np.uint8), rng.integers(0, 3, 400)
+    size = rng.integers(2, most + 1, 60)
+    row = rng.integers(0, 400, size.sum())
+    copies, weights = rng.integers(1, 4, len(row)), np.array([0.7, 1.0, 3.1])
+    components = np.sort(np.argsort(rng.random((60, 9)), axis=1)[:, :4], axis=1)
+    node = np.repeat(np.arange(60), size)
+    counts = trees._histograms(bins, row, label[row], copies, node, components, 3)
+    whole = np.zeros((60, 4, trees.BINS, 3))
+    for r, n, c in zip(row, node, copies):
+        for j, component in enumerate(components[n]):
+            whole[n, j, bins[r, component], label[r]] += c
+    assert (counts == whole).all()
+    expected = trees.best_splits(counts, components, weights)
+    found = trees._few_rows_splits(bins, row, label[row], copies, size, components, weights)
+    split = expected[0] >= 0
+    assert split.any() and (found[0] == expected[0]).all() and (found[2] == expected[2]).all()
+    assert (found[1][split] == expected[1][split]).all()
