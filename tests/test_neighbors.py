@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from reviewlab.operators import neighbors
 from reviewlab.operators.neighbors import class_shares, nearest_neighbors
 from reviewlab.plans.protocols import Knn, make_folds
 
@@ -88,3 +89,16 @@ def test_scores_are_second_class_shares_of_binary_models_only(points):
     assert all(0 <= r.score <= 1 for r in rows if r.score is not None)
     lists = {r.model_set: r.classes for r in folds.classes.collect()}
     assert lists["two"] == ["Negatief", "Neutraal", "Positief"] and lists["one"] == ["Negatief", "Positief"]
+
+
+@pytest.mark.parametrize("columns", [5, 300, 2000])
+def test_limits_let_enough_rows_through(columns):
+    rng = np.random.default_rng(columns)
+    rough = rng.random((40, columns))
+    rough[:5, 3:] = np.inf
+    rough[5:10, rng.integers(0, columns, columns // 3)] = np.nan
+    limit = neighbors._limit(rough, 3)
+    for row, top in zip(rough, limit):
+        assert (row <= top).sum() >= min(3, np.isfinite(row).sum())
+    if columns == 2000:
+        assert (rough[10:] <= limit[10:, None]).sum() <= 30 * 6
