@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,10 +113,9 @@ class HashedTfEmbedder:
     def transform(self, df: DataFrame, col: str = "review", into: str = "embedding") -> DataFrame:
         embedder = self
 
-        @F.pandas_udf(f"array<{self.precision}>")
-        def vector(buckets: pd.Series) -> pd.Series:
-            vectors = embedder._scaled(_counts(buckets, embedder.width))
-            return pd.Series([v if known else None for v, known in zip(vectors, buckets.notna())])
+        @F.arrow_udf(f"array<{self.precision}>")
+        def vector(buckets: pa.Array) -> pa.Array:
+            return _lists(embedder._scaled(_counts(buckets, embedder.width)), buckets)
 
         return df.withColumn(into, vector(self._buckets(col)))
 
@@ -124,21 +124,32 @@ def transform_runs(df: DataFrame, embedders: Sequence[HashedTfEmbedder], col: st
     """Add the vectors of ``col`` under each of several embedders of one kind, as an array: the texts are hashed once."""
     first = embedders[0]
 
-    @F.pandas_udf(f"array<array<{first.precision}>>")
-    def vectors(buckets: pd.Series) -> pd.Series:
+    @F.arrow_udf(f"array<array<{first.precision}>>")
+    def vectors(buckets: pa.Array) -> pa.Array:
         counts = _counts(buckets, first.width)
-        found = [e._scaled(counts) for e in embedders]
-        return pd.Series([[v[i] for v in found] if known else None for i, known in enumerate(buckets.notna())])
+        found = np.empty((len(buckets), len(embedders), first.width), {"float": "float32", "double": "float64"}[first.precision])
+        for place, embedder in enumerate(embedders):
+            found[:, place] = embedder._scaled(counts)
+        return _lists(found, buckets)
 
     return df.withColumn(into, vectors(first._buckets(col)))
 
 
-def _counts(buckets: pd.Series, width: int) -> np.ndarray:
+def _counts(buckets: pa.Array, width: int) -> np.ndarray:
     """[row, bucket]: how often each bucket occurs, for all rows of a batch at once; a null row has none."""
-    lists = [b if b is not None else () for b in buckets]
-    row = np.repeat(np.arange(len(lists)), [len(b) for b in lists])
-    flat = np.concatenate(lists).astype(np.int64) if len(row) else np.zeros(0, np.int64)
-    return np.bincount(row * width + flat, minlength=len(lists) * width).reshape(len(lists), width).astype(np.float64)
+    lengths = pc.list_value_length(buckets).fill_null(0).to_numpy(zero_copy_only=False)
+    row, flat = np.repeat(np.arange(len(buckets)), lengths), buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.bincount(row * width + flat, minlength=len(buckets) * width).reshape(len(buckets), width).astype(np.float64)
+
+
+def _lists(found: np.ndarray, like: pa.Array) -> pa.Array:
+    """An array of any number of axes as nested lists over its own numbers, null where ``like`` is."""
+    lists = pa.array(found.ravel())
+    for axis in range(found.ndim - 1, 0, -1):
+        n, size = int(np.prod(found.shape[:axis])), found.shape[axis]
+        mask = like.is_null() if axis == 1 and like.null_count else None
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), lists, mask=mask)
+    return lists
 
 
 def embed(df: DataFrame, embedder, col: str = "review", into: str = "embedding") -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlab.operators import embedding
 from reviewlab.operators.embedding import (
     HashedTfEmbedder,
     ModelEmbedder,
@@ -92,3 +93,14 @@ def test_lookup_join_is_whole_with_hot_keys(spark):
     table = spark.range(0, 95).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     got = {(r.id, r.k, r.v) for r in lookup_join(rows, table, "k").collect()}
     assert got == {(i, k, 2 * k if k < 95 else None) for i in range(100) for k in [0 if i < 60 else i]}
+
+
+def test_batches_of_runs_are_lists_over_one_array():
+    import pyarrow as pa
+
+    buckets = pa.array([[0, 1, 1], None, [], [2]], pa.list_(pa.int32())).slice(0, 4)
+    assert embedding._counts(buckets.slice(1), 3).tolist() == [[0, 0, 0], [0, 0, 0], [0, 0, 1]]
+    found = np.arange(24.0).reshape(4, 2, 3)
+    lists = embedding._lists(found, buckets)
+    assert lists.to_pylist() == [None if i == 1 else found[i].tolist() for i in range(4)]
+    assert lists.values.values.buffers()[1].address == found.ctypes.data
