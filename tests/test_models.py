@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlab.operators import densenet
 from reviewlab.operators.densenet import DenseNet, _forward, _gradient, _layers, _shapes, adam_logistic, transform
 from reviewlab.operators.folds import Folds
 from reviewlab.operators.linear import linear_svm, one_vs_rest_logistic, softmax_logistic
@@ -184,3 +185,10 @@ def test_protocols_end_to_end(points):
 def test_protocol_needs_a_model(points):
     with pytest.raises(ValueError):
         protocols.score_protocol(points, "own", [])
+
+
+def test_rows_are_put_in_order_part_by_part():
+    rng = np.random.default_rng(3)
+    whole, order = rng.random((50, 4)).astype("float32"), rng.permutation(50)
+    parts = [whole[:7].copy(), whole[7:30].copy(), whole[30:].copy()]
+    assert (densenet._in_order(parts, order) == whole[order]).all() and not parts
