@@ -278,3 +278,22 @@ def test_longest_stretch_is_the_longest():
                     best = max(best, j - i)
         start, end = decontaminate.longest_stretch(equal, 0.8)
         assert end - start <= best and (best == 0 or end - start >= best - 4)
+
+
+def test_near_pairs_skip_tiles_by_population_count(monkeypatch):
+    """All pairs by hand; sparse fingerprints and dense ones are never compared."""
+    import pyarrow as pa
+
+    rng, seen = np.random.default_rng(4), []
+    n = np.concatenate([rng.integers(1, 40, 500), rng.integers(0, 4, 100)]).astype(np.int32)
+    fp = np.array([int.from_bytes(rng.bytes(8), "little") & int.from_bytes(rng.bytes(8), "little") for _ in range(600)], np.uint64)
+    fp[::2] = ~fp[::2]
+    batch = pa.record_batch([np.arange(600), fp.view(np.int64), fp.view(np.int64), n, np.arange(600) // 2], ["row_key", "fp", "fp2", "n", "part"])
+    rows = simhash._by_band(batch, 0.8)
+    within = simhash._within
+    monkeypatch.setattr(simhash, "_within", lambda *a: (seen.append((a[3], a[4], rows[6][t[0] : t[1]])) or t for t in within(*a)))
+    found = {(int(a), int(b)) for x, y in simhash._similar(rows, rows, (16, 32), 0.8, False) for a, b in zip(x, y)}
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 16
+    want = {(a, b) for a, b in zip(*map(lambda v: v.tolist(), np.nonzero(near))) if a // 2 != b // 2 and (n[a], a) < (n[b], b) and n[a] >= 0.8 * n[b] - 1e-6}
+    assert found == want and len(want) > 50
+    assert all(((least <= ones) & (ones <= most)).all() for least, most, ones in seen)
