@@ -297,3 +297,33 @@ def test_near_pairs_skip_tiles_by_population_count(monkeypatch):
     want = {(a, b) for a, b in zip(*map(lambda v: v.tolist(), np.nonzero(near))) if a // 2 != b // 2 and (n[a], a) < (n[b], b) and n[a] >= 0.8 * n[b] - 1e-6}
     assert found == want and len(want) > 50
     assert all(((least <= ones) & (ones <= most)).all() for least, most, ones in seen)
+
+
+def test_near_copies_meet_under_shared_keys_only(spark, monkeypatch):
+    """Every pair alike by 0.8 shares a key in any order of shingles; unlike texts make no pairs, whatever their number."""
+    rng, similarity = random.Random(21), 0.8
+    vocabulary = [f"w{k}" for k in range(4_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=80)) for _ in range(300)]
+    for t in texts[:80]:
+        words = t.split()
+        words[rng.randrange(6, 74)] = f"new{len(texts)}"
+        texts.append(" ".join(words))
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    common = np.unique(np.concatenate(sets))[::3]
+    order = (common, np.arange(3, 3 + len(common)))
+    keys = [set(simhash.prefix(s, order, similarity).tolist()) for s in sets]
+    for i, (a, b) in enumerate(zip(sets[:80], sets[300:])):
+        if len(np.intersect1d(a, b)) >= similarity * len(np.union1d(a, b)):
+            assert keys[i] & keys[300 + i]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made, near = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda *a: made.append((a, near(*a))) or made[0][1])
+    found = {r.doc_id: r.root for r in simhash.similar_classes(rows).collect()}
+    assert sum(found[i] == found[300 + i] for i in range(80)) > 70 and len(set(found.values())) == 380 - sum(found[i] == found[300 + i] for i in range(80))
+    (shared, parted, _), pairs = made[0]
+    assert shared.select("row_key").distinct().count() <= 160 and pairs.count() <= 10
+    alone = parted.withColumn("part", F.col("row_key"))
+    want = {(r.a, r.b) for r in near(shared, alone, similarity).collect()}
+    monkeypatch.setattr(simhash, "SMALL_GROUP", 1)
+    assert len(want) > 70 and want == {(r.a, r.b) for r in near(shared, alone, similarity, 1).collect()}
