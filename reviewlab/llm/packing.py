@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -32,23 +32,43 @@ from reviewlab.session import durable
 
 LOCAL_ITEMS = 500_000
 MAX_OPEN = 4_096
-CACHED_CHUNKS = 250_000
-CACHED_PARTS = 150_000
+CACHED_CHUNKS = 100_000
+CACHED_PARTS = 400_000
 BIN_BITS = 40
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
 )
 
 
+class PartIds(dict):
+    """Ids by part; a part that is missing comes over from the older half or is found."""
+
+    def __init__(self, older: dict[str, bytes], find: Callable[[str], bytes]) -> None:
+        self.older, self.find = older, find
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        if found is None:
+            found = self.find(part)
+        self[part] = found
+        return found
+
+
 class ChunkedTokenizer:
-    """Token ids of whole texts from the ids of chunks that recur, each found once.
+    """Token ids of whole texts from the ids of parts that recur, each found once.
 
-    A byte-level pre-tokenizer never joins a space that precedes a non-blank, a single line break between non-blanks, or
-    the marks after a letter or digit to what stands before them, so texts may be cut there: into chunks at spaces, and
-    new chunks into parts at line breaks and closing marks. A part of letters only, with or without a space before it, is
+    Texts of characters whose class is beyond doubt (``DOUBT``) are cut into pre-tokens by the pre-tokenizer's own pattern;
+    the model's merges give the ids of each. Other texts are cut where that is safe: a byte-level pre-tokenizer never joins
+    a space that precedes a non-blank, a single line break between non-blanks, or the marks after a letter or digit to what
+    stands before them, so texts may be cut there: into chunks at spaces, and new chunks into parts at line breaks and
+    closing marks. A part of letters only, with or without a space before it, is
     one pre-token, so the model's own merges give its ids without another scan; other parts go through the tokenizer.
     """
 
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ɏͰ-ͳΑ-ΡΣ-ώА-яѐ-џ"
+    DOUBT = re.compile(rf"[^\n\x20-~‐-‧{LETTERS}]")
+    PRE_TOKENS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+    ASCII_PRE_TOKENS = re.compile(PRE_TOKENS.pattern.replace(LETTERS, "A-Za-z"))
     INNER_BLANK = re.compile(r" (?:\s|$)")
     CUT = re.compile(r" (?=\S)")
     MARKS = ".,;:!?"
@@ -63,11 +83,11 @@ class ChunkedTokenizer:
         cut = steps.get("pre_tokenizer") or {}
         plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         self.letters_alone = plain and not steps.get("normalizer") and not any(t.content.strip().isalpha() for t in added)
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
         self.bytes_as_text = byte_characters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.older_parts: dict[str, bytes] = {}
+        self.parts = PartIds({}, self.merged)
 
     def chunks(self, text: str) -> list[str]:
         return self.CUT.split(text) if self.INNER_BLANK.search(text) else text.split(" ")
@@ -88,21 +108,25 @@ class ChunkedTokenizer:
         return parts
 
     def part_ids(self, part: str) -> bytes:
+        if self.letters_alone and (part[1:] if part[0] == " " else part).isalpha():
+            return self.parts[part]
         found = self.parts.get(part)
         if found is None:
-            found = self.older_parts.get(part)
+            found = self.parts.older.get(part)
             if found is None:
-                if self.letters_alone and (part[1:] if part[0] == " " else part).isalpha():
-                    whole = part if part.isascii() else part.encode().decode("latin-1")
-                    ids = [t.id for t in self.model.tokenize(whole.translate(self.bytes_as_text))]
-                else:
-                    ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
                 found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.parts) >= CACHED_PARTS:
-                self.parts, self.older_parts = {}, self.parts
             self.parts[part] = found
         return found
 
+    def merged(self, pre_token: str) -> bytes:
+        if pre_token.isascii() and pre_token.isprintable():
+            whole = pre_token.replace(" ", self.bytes_as_text[32])
+        else:
+            whole = pre_token.encode().decode("latin-1").translate(self.bytes_as_text)
+        ids = [t.id for t in self.model.tokenize(whole)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def chunk_ids(self, chunk: str) -> bytes:
         """Of a chunk that stands after a space and is not in ``known``."""
         found = self.older.get(chunk)
@@ -114,7 +138,7 @@ class ChunkedTokenizer:
                     found += self.part_ids(chunk[len(stem) :])
             else:
                 found = b"".join(map(self.part_ids, self.split(" " + chunk)))
-        if len(self.known) >= CACHED_CHUNKS:  # what is still in use comes over from the older half when it is next met
+        if len(self.known) >= CACHED_CHUNKS:
             self.known, self.older = {}, self.known
         self.known[chunk] = found
         return found
@@ -122,6 +146,12 @@ class ChunkedTokenizer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if len(self.parts) >= CACHED_PARTS:  # what is still in use comes over from the older half when it is next met
+            older, self.parts = self.parts, PartIds({}, self.merged)
+            self.parts.older, older.older = older, {}
+        if self.letters_alone and not self.DOUBT.search(text) and not self.added.search(text):
+            cut = self.ASCII_PRE_TOKENS if text.isascii() else self.PRE_TOKENS
+            return b"".join(map(self.parts.__getitem__, cut.findall(text)))
         chunks = self.chunks(text)
         ids = list(map(self.known.get, chunks))
         ids[0] = b"".join(map(self.part_ids, self.split(chunks[0]))) if chunks[0] else b""
@@ -131,7 +161,7 @@ class ChunkedTokenizer:
 
     def rest(self) -> None:
         """Between tasks only the younger halves are kept."""
-        self.older, self.older_parts = {}, {}
+        self.older, self.parts.older = {}, {}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return list(map(self.encode, texts))
