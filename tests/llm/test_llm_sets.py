@@ -217,3 +217,13 @@ def test_spans_and_extensions():
         assert ha.forward(i, hb, j) == ext
         back = next((k for k in range(min(i, j)) if a[i - 1 - k] != b[j - 1 - k]), min(i, j))
         assert ha.backward(i, hb, j) == back
+
+
+def test_plain_texts_are_cut_by_the_pre_tokenizers_pattern():
+    tokenizer = packing.ChunkedTokenizer(TOKENIZER)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab. ,\n'sdté09–“Яω(!", k=rng.randint(1, 16))) for _ in range(2000)]
+    texts += ["don't we'll 's x", "end.\nNext,  two \n ", " ", "\n\n"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    tokenizer.tokenizer = None  # pre-tokens need the merges only, and no chunk is kept beside them
+    assert tokenizer.encode_batch(texts) == want and not tokenizer.known and " a" in tokenizer.parts
