@@ -212,6 +212,55 @@ def test_every_passage_of_an_alignment_is_found(spark):
     assert all([(p["first"], p["after"]) for p in r.passages] == [(0, 60), (260, 315)] for r in rows)
 
 
+def test_texts_with_only_a_frequent_line_in_common_do_not_meet(spark):
+    """A line of 30 words in 40 texts made 38 of them meet all 40; two of them share a passage beyond the line."""
+    line, passage = _text("line", 30), f"{_text('before', 15)} {_text('line', 30)} {_text('after', 15)}"
+    texts = [f"{_text(f'p{i}', 90)} {passage if i in (20, 30) else line} {_text(f'q{i}', 90)}" for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("text_id", F.col("doc_id"))
+    copies = rows.select("text_id", F.col("doc_id").alias("first_doc"))
+    place = "key bigint, text_id bigint, anchor int, first int, last int"
+    keys = durable(spark.createDataFrame([(1, i, 100, 60, 145) for i in range(40)], place))
+    failed = keys.where("text_id NOT IN (0, 39)")
+    pairs = repeats.likely_pairs(keys, failed, rows, copies, 50, 0.8)
+    assert {(r.text_id, r.other) for r in pairs.collect()} == {(20, 30), (30, 20)}
+    second = repeats.second_candidates(keys, failed, pairs).collect()
+    assert {(r.text_id, r.other, r["shift"], r["first"], r["last"]) for r in second} == {(20, 30, 0, 60, 145), (30, 20, 0, 60, 145)}
+
+
+def test_rare_places_are_in_every_recurring_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(46, 250))
+        rare = repeats._rare_places(rng.integers(1, 4, n) ** 3, 46, 8 / 9)
+        size = int(rng.integers(46, n + 1))
+        at, same = int(rng.integers(0, n - size + 1)), np.zeros(n, bool)
+        same[at : at + size] = True
+        same[at + rng.choice(size, int(size / 9), replace=False)] = False
+        # The worst case: what is missed are rare places, as many as the share allows.
+        worst = same.copy()
+        worst[at : at + size] = True
+        worst[at + np.flatnonzero(rare[at : at + size])[: int(size / 9)]] = False
+        assert (rare & same).any() and (rare & worst).any()
+
+
+def test_windows_of_many_texts_equal_those_of_each():
+    rng = np.random.default_rng(4)
+    for least in (2, 10, 46):
+        texts = [rng.integers(1, high, int(rng.integers(least, 300))).astype(np.uint64) for high in (2**62, 6, 2, 2**62)]
+        text, *at = repeats.compact_windows_of(np.concatenate(texts), np.cumsum([len(x) for x in texts]), least)
+        for i, values in enumerate(texts):
+            assert sorted(zip(*(x[text == i].tolist() for x in at))) == sorted(repeats.compact_windows(values, least))
+
+
+def test_longest_stretch_equals_the_plain_version():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        equal = rng.random(int(rng.integers(0, 40))) < rng.random()
+        best = max((b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if equal[a:b].sum() * 1000 >= 800 * (b - a)), default=0)
+        start, end = decontaminate.longest_stretch(equal, 0.8)
+        assert end - start <= best and equal[start:end].sum() * 10 >= 8 * (end - start) and bool(best) == (end > start)
+
+
 def test_compact_windows_cover_every_span():
     rng = np.random.default_rng(2)
     for distinct in (True, False):
