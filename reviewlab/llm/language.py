@@ -19,6 +19,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from reviewlab.llm.common import release_memory
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 256
-CACHED_TOKENS = 500_000
-WORDS_AT_ONCE = 3_000_000
+CACHED_TOKENS = 250_000
+HASHED_AT_ONCE = 20_000
+WORDS_AT_ONCE = 1_000_000
 UNKNOWN = "und"
 
 # First code points of script ranges (Unicode blocks) and the script that each begins.
@@ -108,37 +110,49 @@ class LanguageModel:
         return scores.astype(np.float32), letters
 
 
-def train(docs: DataFrame, smoothing: float = 0.05) -> LanguageModel:
-    """Bucket counts per language over all of ``docs`` (text, lang), summed in Spark."""
+class _BucketCounts:
+    """How often each language's texts hold a bucket, and their letters by script, over as many texts as come.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        words: dict[str, Counter] = {}
-
-        def flush() -> None:
-            for lang, counter in words.items():
-                table = tables.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                found = [(w, n) for w, n in ((letters_of(t), n) for t, n in counter.items()) if w]
-                if not found:
-                    continue
-                known, counts = [w for w, _ in found], np.array([n for _, n in found])
+    Of tokens, ``CACHED_TOKENS`` and one text's are held, and ``HASHED_AT_ONCE`` words are hashed together.
+    """
+
+    def __init__(self) -> None:
+        self.tables: dict[str, np.ndarray] = {}
+        self.words: dict[str, Counter] = {}
+
+    def add(self, text: str, lang: str) -> None:
+        self.words.setdefault(lang, Counter()).update(text.split())
+        if sum(map(len, self.words.values())) > CACHED_TOKENS:
+            self.flush()
+
+    def flush(self) -> None:
+        for lang, counter in self.words.items():
+            table = self.tables.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
+            found = ((w, n) for w, n in ((letters_of(t), n) for t, n in counter.items()) if w)
+            while part := list(islice(found, HASHED_AT_ONCE)):
+                known, counts = [w for w, _ in part], np.array([n for _, n in part])
                 for owner, buckets in features(known):
                     table[:BUCKETS] += np.bincount(buckets, counts[owner], BUCKETS).astype(np.int64)
                 scripts = np.array([SCRIPTS.index(script_of(w[0])) for w in known])
                 held = counts * np.fromiter(map(len, known), np.int64, len(known))
                 table[BUCKETS:] += np.bincount(scripts, held, len(SCRIPTS)).astype(np.int64)
-            words.clear()
+        self.words.clear()
+
 
+def train(docs: DataFrame, smoothing: float = 0.05) -> LanguageModel:
+    """Bucket counts per language over all of ``docs`` (text, lang), summed in Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _BucketCounts()
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(text.as_py().split())
-            if sum(map(len, words.values())) > CACHED_TOKENS:
-                flush()
-        flush()
-        for lang, table in tables.items():
+                counts.add(text.as_py(), lang)
+        counts.flush()
+        for lang, table in counts.tables.items():
             at = np.flatnonzero(table)
             columns = [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())]
             yield pa.record_batch(columns, names=["lang", "bucket", "n"])
+        release_memory()
 
     rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -210,8 +224,8 @@ class _Labeller:
             room = max(last, 2 * len(self.letters)) - len(self.letters)
             self.scores = np.concatenate([self.scores, np.zeros((room, self.scores.shape[1]), np.float32)])
             self.letters = np.concatenate([self.letters, np.zeros(room, np.int64)])
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), HASHED_AT_ONCE):
+            part = new[at : at + HASHED_AT_ONCE]
             end = first + at + len(part)
             self.scores[first + at : end], self.letters[first + at : end] = self.model.token_scores(part)
         known.update(zip(new, range(first, last)))

@@ -198,3 +198,23 @@ def test_pipeline_stages_keep_the_columns_and_bear_awkward_rows(spark, awkward,
             docs = durable(stage(spark, docs, SMALL))
             assert docs.columns == awkward.columns, name
         corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+
+
+def test_training_hashes_bounded_groups_of_words_and_counts_all(monkeypatch):
+    taken, features = [], language.features
+    monkeypatch.setattr(language, "features", lambda words: taken.append(len(words)) or features(words))
+    texts = [" ".join(f"{a}{b}{c}" for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz") for a in ("qu", "vo", "ze", "mi") * 2]
+
+    def counted(cached: int, at_once: int):
+        monkeypatch.setattr(language, "CACHED_TOKENS", cached)
+        monkeypatch.setattr(language, "HASHED_AT_ONCE", at_once)
+        counts = language._BucketCounts()
+        for i, text in enumerate(texts):
+            counts.add(text, "ab"[i % 2])
+            assert sum(map(len, counts.words.values())) <= cached
+        counts.flush()
+        return counts.tables
+
+    whole, parts = counted(10**6, 10**6), counted(1000, 100)
+    assert max(taken) == 1352 and max(taken[2:]) == 100
+    assert all((whole[x] == parts[x]).all() for x in "ab") and whole["a"].sum() > 0
