@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlab.operators.filters import clean_reviews, filter_min_length
+from reviewlab.session import durable
 from reviewlab.sources.reports import report_lines, write_lines, write_metrics
 from reviewlab.sources.tables import Source, ingest_registry, read_registry, read_reviews
 from test_metrics import LABELS, scored_from
@@ -179,3 +182,24 @@ def test_report_of_disjoint_labels_and_binary_auc(spark):
     assert lines[0] == "=== EVALUATIE OP BASE TESTDATA ===" and "--- Evaluatie op x (100% test) ---" in lines
     assert "Confusion Matrix x: \u26a0\ufe0f Geen overlappende klassen met base." in lines
     assert not any(line.startswith("AUC-ROC score x") for line in lines)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffled():
+        return {f.name for folder in folders for f in Path(folder).rglob("shuffle_*")}
+
+    before, set_before = shuffled(), spark.conf.get(key, None)
+    rows = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n"))
+    table = durable(rows)
+    assert not shuffled() - before
+    assert spark.conf.get(key, None) == set_before
+    assert table.agg(F.count("*"), F.sum("n")).first()[:] == (700, 5000)
+    spark.conf.set(key, "false")
+    try:
+        durable(rows)
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.unset(key)
