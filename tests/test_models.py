@@ -3,7 +3,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlab.operators import densenet
-from reviewlab.operators.densenet import DenseNet, _forward, _gradient, _layers, _shapes, adam_logistic, transform
+from reviewlab.operators.densenet import (
+    DenseNet,
+    _forward,
+    _gradient,
+    _layers,
+    _shapes,
+    adam_logistic,
+    plain_network,
+    short_network,
+    transform,
+    weighted_network,
+)
 from reviewlab.operators.folds import Folds
 from reviewlab.operators.linear import linear_svm, one_vs_rest_logistic, softmax_logistic
 from reviewlab.operators.metrics import accuracy
@@ -192,3 +203,22 @@ def test_rows_are_put_in_order_part_by_part():
     whole, order = rng.random((50, 4)).astype("float32"), rng.permutation(50)
     parts = [whole[:7].copy(), whole[7:30].copy(), whole[30:].copy()]
     assert (densenet._in_order(parts, order) == whole[order]).all() and not parts
+
+
+def test_a_network_learns_from_all_training_rows(spark):
+    rows = spark.range(200_000).select(
+        F.lit("d").alias("dataset"),
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("label"),
+        F.array(F.lit(0.5).cast("float")).alias("embedding"),
+    )
+    one = make_folds(rows, "own", None, 1)
+    entries = one.weights.groupBy("model_set", "run").agg(F.sum("n").alias("n"))
+    for net in (plain_network(), weighted_network(), short_network(), adam_logistic()):
+        assert net.drawn(one, entries).count() == one.rows.where("train_mask <> 0").count() == 140_000
+
+
+def test_vectors_in_a_file_give_the_same_network(easy):
+    nets = [DenseNet((8,), 6, 8, tolerance=1e-4, early_stopping=True, held_bytes=size) for size in (1 << 27, 300)]
+    held, filed = (sorted((r.run, r.row_id, r.score) for r in net.score(easy).collect()) for net in nets)
+    assert held == filed and len(held) == RUNS * 48
