@@ -376,3 +376,34 @@ def test_near_copies_meet_under_shared_keys_only(spark, monkeypatch):
     want = {(r.a, r.b) for r in near(shared, alone, similarity).collect()}
     monkeypatch.setattr(simhash, "SMALL_GROUP", 1)
     assert len(want) > 70 and want == {(r.a, r.b) for r in near(shared, alone, similarity, 1).collect()}
+
+
+def test_similar_texts_with_distant_fingerprints_are_near_copies(spark):
+    """Texts alike by 0.8 whose 128-bit fingerprints differ in more than 38 bits, or in more than 22 of the first 64."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(5), []
+    while len(rows) < 6:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        bits = []
+        for text in (words, words[:8]):
+            distinct = np.unique(simhash.shingle_hashes(" ".join(text), 5))
+            mixed = (distinct ^ (distinct >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            bits.append((simhash.majority(distinct), simhash.majority(mixed ^ (mixed >> np.uint64(32)))))
+        first, second = ((a ^ b).bit_count() for a, b in zip(*bits))
+        if first > 22 or first + second > 38:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:8]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, frame, SF).collect()} == {0, 2, 4}
+
+
+def test_marks_rule_out_no_similar_pair():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        n, own = int(rng.integers(1, 900)), int(rng.integers(0, 90))
+        both, left, right = (rng.integers(0, 2**63, size, np.uint64) for size in (n, own, int(rng.integers(0, 90))))
+        a, b = (np.frombuffer(simhash.marks_of(np.r_[both, x]), np.uint64)[None, :] for x in (left, right))
+        x = np.zeros(1, np.int64)
+        most = np.array([len(left) + len(right)])
+        assert len(simhash._allowed(np.zeros(1, np.int64), x, x, a, b, most)[0]) == 1
