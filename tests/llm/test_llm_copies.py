@@ -407,3 +407,24 @@ def test_marks_rule_out_no_similar_pair():
         x = np.zeros(1, np.int64)
         most = np.array([len(left) + len(right)])
         assert len(simhash._allowed(np.zeros(1, np.int64), x, x, a, b, most)[0]) == 1
+
+
+def test_texts_alike_to_a_third_are_compared_themselves(spark):
+    """Two texts each share an edited passage of 60 words with a third, at one word's difference; with each other not."""
+    words = _text("hub", 60).split()
+    passages = [" ".join([*words[:at], "edited", *words[at + 1 :]]) if at else " ".join(words) for at in (0, 20, 40)]
+    texts = [f"{_text(f'u{i}', 70)} {p} {_text(f'v{i}', 70)}" for i, p in enumerate(passages)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r.n_links for r in repeats.repeated_passages(frame).collect()}
+    assert rows == {0: 2, 1: 1, 2: 1}
+
+
+def test_every_place_of_a_key_meets_every_other(spark):
+    """Five texts of a key, one of which holds it twice; all pairs that are likely are asked for, at each place."""
+    place = "key bigint, text_id bigint, anchor int, first int, last int"
+    keys = spark.createDataFrame([(1, i, 10 * i, 0, 90) for i in range(5)] + [(1, 4, 70, 30, 120)], place)
+    every = [(a, b) for a in range(5) for b in range(5) if a != b]
+    pairs = spark.createDataFrame(every, "text_id bigint, other bigint")
+    found = {(r.text_id, r.other, r["shift"]) for r in repeats.second_candidates(keys, keys, pairs).collect()}
+    at = {i: [10 * i] for i in range(4)} | {4: [40, 70]}
+    assert found == {(a, b, x - y) for a, b in every for x in at[a] for y in at[b]}
