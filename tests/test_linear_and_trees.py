@@ -225,3 +225,42 @@ def test_nodes_of_few_rows_split_as_their_histograms_say(most):
     split = expected[0] >= 0
     assert split.any() and (found[0] == expected[0]).all() and (found[2] == expected[2]).all()
     assert (found[1][split] == expected[1][split]).all()
+
+
+@pytest.mark.parametrize("base", [1, 2**40])
+def test_trees_travel_in_few_bytes_and_score_alike(base):
+    """A node costs at most 24 bytes of two classes' pieces; numbers beyond four bytes and pieces in any order score alike."""
+    import pyarrow as pa
+
+    growth = trees.Growth(("A", "B"), np.array([1.0, 2.0]), 12, True, 7)
+    rng = np.random.default_rng(2)
+    coded, label, ids = rng.integers(0, trees.BINS, (3_000, 6)).astype(np.uint8), rng.integers(0, 2, 3_000), np.arange(3_000)
+    x = (rng.random((500, 6)) * 3).astype(np.float32)
+    of_cell = np.repeat(np.arange(trees.BINS, dtype=np.uint8), trees.CELLS // trees.BINS)
+    bins = trees.Bins(np.zeros(6), np.full(6, 3.0), np.tile(of_cell, (6, 1)))
+    level = trees._joined(list(trees.grow(growth, 0, {0: 1}, coded, label, {0: growth.copies(ids, 0, 0)})))
+    table = trees._node_table("s", 0, growth, level, bins).combine_chunks()
+    nodes = {r["node"]: r for r in table.to_pylist()}
+    pieces = pa.Table.from_batches(list(trees._pieces(reversed(table.to_batches(400)))))
+    assert sum(pieces[name].nbytes for name in trees.PIECES) <= 24 * len(nodes)
+    if base > 1:  # the same tree with numbers that need eight bytes: a chain of right turns above its root
+        top = [1]
+        while top[-1] < base:
+            top.append(2 * top[-1] + 1)
+        root = top[-1]
+        moved = [dict(r, node=(root << (n.bit_length() - 1)) + n - (1 << (n.bit_length() - 1))) for n, r in nodes.items()]
+        leaf = next(r for r in nodes.values() if r["component"] is None)
+        for above in top[:-1]:
+            moved += [dict(nodes[1], node=above, component=0, cell=-1), dict(leaf, node=2 * above)]
+        pieces = pa.Table.from_batches(list(trees._pieces(pa.Table.from_pylist(moved, table.schema).to_batches())))
+
+    held = pa.array(list(x), pa.list_(pa.float32()))
+    batch = pa.record_batch([pa.array(["s"] * 500), pa.array(["s"] * 500), np.arange(500), pa.array(["A"] * 500), held], ["model_set", "eval_set", "row_id", "label", "embedding"])
+    rows = trees._Slice([batch])
+    rows.add(pieces)
+    for row, found in zip(x, rows.shares):
+        at, cells = 1, trees.cells_of(row[None, :], bins.low, bins.high)[0]
+        while nodes[at]["component"] is not None:
+            at = 2 * at + int(cells[nodes[at]["component"]] > nodes[at]["cell"])
+        votes = np.array(nodes[at]["votes"])
+        assert found.tolist() == (votes / votes.sum()).tolist()
