@@ -428,3 +428,21 @@ def test_every_place_of_a_key_meets_every_other(spark):
     found = {(r.text_id, r.other, r["shift"]) for r in repeats.second_candidates(keys, keys, pairs).collect()}
     at = {i: [10 * i] for i in range(4)} | {4: [40, 70]}
     assert found == {(a, b, x - y) for a, b in every for x in at[a] for y in at[b]}
+
+
+def test_stretches_are_all_that_a_plain_search_finds():
+    """Also those that the longest one overlaps, and in a part no place that the whole does not give."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        same = rng.random(90) < rng.choice([0.75, 0.85, 0.92, 1.0])
+        want = np.zeros(90, bool)
+        for i in np.flatnonzero(same):
+            for j in np.flatnonzero(same) + 1:
+                if j - i >= 20 and 9 * same[i:j].sum() >= 8 * (j - i):
+                    want[i:j] = True
+        found, part = np.zeros(90, bool), np.zeros(90, bool)
+        for start, end in repeats.stretches(same, 8 / 9, 20):
+            found[start:end] = True
+        for start, end in repeats.stretches(same[10:70], 8 / 9, 20):
+            part[10 + start : 10 + end] = True
+        assert (found == want).all() and not (part & ~found).any()
